@@ -62,10 +62,13 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
                  totals: bool = True, n: int | None = None) -> DataFrame:
     """Add, per key and in `order`, the sum over all strictly earlier rows (`<name>_before`) and the key total.
 
-    `order` must be unique per key (aggregate first). Missing sums count as 0.
+    `order` must be unique per key (aggregate first). Missing sums count as 0. With n = 1 a plain window is used,
+    for series whose length the calendar bounds.
     """
     keys = list(keys)
     base = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"__x_{s}") for s, c in sums.items()])
+    if n == 1:
+        return _bounded_sums(base, keys, order, list(sums), totals)
     base = with_segment(base, order, n)
     part = base.groupBy(*keys, SEG).agg(*[F.sum(f"__x_{s}").alias(f"__p_{s}") for s in sums])
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -81,6 +84,14 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
     return out.drop(SEG, *[f"__x_{s}" for s in sums], *[f"__c_{s}" for s in sums])
 
 
+def _bounded_sums(base: DataFrame, keys: list[str], order: str, names: list[str], totals: bool) -> DataFrame:
+    whole = Window.partitionBy(*keys)
+    past = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = base.select("*", *[F.coalesce(F.sum(f"__x_{s}").over(past), F.lit(0)).alias(f"{s}_before") for s in names],
+                      *[F.sum(f"__x_{s}").over(whole).alias(f"{s}_total") for s in names if totals])
+    return out.drop(*[f"__x_{s}" for s in names])
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None,
                     n: int | None = None) -> DataFrame:
     """One row per key and distinct value: `n` rows equal, `n_before` rows smaller, `n_total` rows of the key.
