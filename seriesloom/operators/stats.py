@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seriesloom.functions.pvalues import p_value, t_critical
 from seriesloom.operators.aggregates import ratio
@@ -120,7 +121,7 @@ def sen_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float =
     The input is a series with one row per period, so a key is as long as the calendar. Slopes are formed lag by lag
     inside the task and never become rows.
     """
-    schema = df.select(*keys).schema.add("n", "bigint").add("sen_slope", "double")
+    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("n", T.LongType()), T.StructField("sen_slope", T.DoubleType())])
     width = len(list(keys))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -433,9 +434,8 @@ def poisson_trend(counts: DataFrame, keys: Sequence[str], x: str, n: str, scale:
 
     Takes one count per period and key, so a key is as long as the calendar.
     """
-    schema = counts.select(*keys).schema
-    for c in ("n_periods", "rate", "lr"):
-        schema = schema.add(c, "double")
+    schema = T.StructType([*counts.select(*keys).schema.fields,
+                           *[T.StructField(c, T.DoubleType()) for c in ("n_periods", "rate", "lr")]])
     width = len(list(keys))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -637,23 +637,29 @@ def surge_ratio(df: DataFrame, keys: Sequence[str], year: str, value: str, base:
     return m.filter((F.col("base_mean") >= min_base) & (F.col("peak_mean") >= min_peak) & (F.col("surge") >= min_ratio))
 
 
-def period_attention(df: DataFrame, keys: Sequence[str], month: str, value: str, periods: dict[str, tuple[int, int]]) -> DataFrame:
-    """Means of the named month ranges, peak month in the `peak` range, dividend, retention and half-life in months.
+def period_attention(df: DataFrame, keys: Sequence[str], month: str, value: str, periods: dict[str, tuple[int, int]],
+                     min_pre: float = 0.0) -> DataFrame:
+    """Means of the named month ranges, peak month, dividend, retention and half-life in months.
 
-    `periods` holds pre, peak, transition and post as inclusive month numbers. Series are monthly, hence bounded.
+    `periods` holds pre, peak, transition and post as inclusive month numbers; means skip zero months and the peak is
+    sought in peak and transition. The half-life is the first later month at or below half the excess over the pre
+    mean. Series are monthly without holes, hence bounded; keys whose pre mean is below `min_pre` are left out.
     """
-    m = {n: F.avg(F.when(F.col(month).between(lo, hi), F.col(value))) for n, (lo, hi) in periods.items()}
-    lo, hi = periods["peak"]
-    in_peak = F.col(month).between(lo, hi) & F.col(value).isNotNull()
+    used = F.col(value) > 0
+    m = {n: F.coalesce(F.avg(F.when(used & F.col(month).between(lo, hi), F.col(value))), F.lit(0.0))
+         for n, (lo, hi) in periods.items()}
+    in_peak = F.col(month).between(*periods["peak"]) | F.col(month).between(*periods["transition"])
     top = F.min_by(F.struct(F.col(month).alias("mi"), F.col(value).cast("double").alias("v")),
                    F.when(in_peak, F.struct(-F.col(value), F.col(month))))
     stats = df.groupBy(*keys).agg(*[c.alias(f"{n}_mean") for n, c in m.items()], top.alias("__top"))
-    stats = stats.withColumns({"peak_month": F.col("__top.mi"), "peak_value": F.col("__top.v")}).drop("__top")
+    stats = stats.filter(F.col("pre_mean") >= min_pre).withColumns(
+        {"peak_month": F.col("__top.mi"), "peak_value": F.col("__top.v")}).drop("__top")
     pre, post, peak = F.col("pre_mean"), F.col("post_mean"), F.col("peak_mean")
-    stats = stats.withColumns({"dividend_pct": 100 * ratio(post - pre, pre), "retention": ratio(post - pre, peak - pre)})
+    stats = stats.withColumns({"peak_ratio": ratio(F.col("peak_value"), pre), "dividend_pct": 100 * ratio(post - pre, pre),
+                               "retention": F.coalesce(ratio(post, peak), F.lit(0.0))})
     after = join_keys(df.select(*keys, month, value), stats.select(*keys, "peak_month", "peak_value", "pre_mean"), list(keys))
-    target = F.col("pre_mean") + (F.col("peak_value") - F.col("pre_mean")) / 2
-    fell = after.filter((F.col(month) > F.col("peak_month")) & (F.col(value) <= target) & (F.col("peak_value") > F.col("pre_mean")))
+    excess = F.col("peak_value") - F.col("pre_mean")
+    fell = after.filter((F.col(month) > F.col("peak_month")) & (excess > 0) & (F.col(value) <= F.col("pre_mean") + excess * 0.5))
     half = fell.groupBy(*keys).agg(F.min(F.col(month) - F.col("peak_month")).alias("half_life"))
     return join_keys(stats, half, list(keys), "left")
 
