@@ -44,8 +44,8 @@ def _numeric(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType.typeName()
     if kind == "date":
         return F.unix_date(F.col(name)).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(F.col(name)).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     return F.col(name).cast("double")
 
 
@@ -131,6 +131,29 @@ def _covers(at: Column) -> Column:
     return (F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n"))
 
 
+def row_positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, descending: bool = False,
+                  name: str = "position", total: str | None = None, n: int | None = None) -> DataFrame:
+    """row_number() per key over (`order`, `tie`) without a window over a whole key; NULLs come last.
+
+    Segments of the order axis are counted first, so a row's number is the count of earlier segments plus its place
+    in its own. `total` names an optional column with the number of rows of the key.
+    """
+    keys = list(keys)
+    base = with_segment(df, order, n)
+    big = 1 << 30
+    seg = F.when(F.col(order).isNull(), F.lit(big)).otherwise(-F.col(SEG) if descending else F.col(SEG))
+    base = base.withColumn(SEG, seg)
+    part = base.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__c").over(whole.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = part.select(*keys, SEG, before.alias("__before"), F.sum("__c").over(whole).alias("__all"))
+    inside = Window.partitionBy(*keys, SEG).orderBy(F.col(order).desc() if descending else F.col(order), tie)
+    out = join_keys(base, carry, [*keys, SEG]).withColumn(name, F.col("__before") + F.row_number().over(inside))
+    if total:
+        out = out.withColumn(total, F.col("__all"))
+    return out.drop(SEG, "__before", "__all")
+
+
 def neighbours(df: DataFrame, keys: Sequence[str], order: str, tie: str | None = None,
                before: dict[str, str] | None = None, after: dict[str, str] | None = None,
                n: int | None = None) -> DataFrame:
