@@ -12,12 +12,12 @@ DATES = list(range(9500, 11500, 250))
 SIGNAL = """sc AS (SELECT o_custkey AS k, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) AS d, o_orderpriority AS kind, o_totalprice / 1000 AS s FROM orders),
 dt AS (SELECT unnest(range(9500, 11500, 250)) AS as_of),
 pk AS (SELECT as_of, k, kind, sum(s * exp(-ln(2) * (as_of - d - 2) / 90.0)) / sum(exp(-ln(2) * (as_of - d - 2) / 90.0)) AS sig FROM sc JOIN dt ON d + 2 <= as_of GROUP BY 1, 2, 3),
-sg AS (SELECT as_of, k, round(avg(sig), 6) AS composite, count(*) AS n_kinds FROM pk GROUP BY 1, 2)"""
+sg AS (SELECT as_of, k, round(avg(sig), 8) AS composite, count(*) AS n_kinds FROM pk GROUP BY 1, 2)"""
 
 
 def signals(t):
     sc = t.orders.select(F.col("o_custkey").alias("k"), F.unix_date(F.col("o_orderdate").cast("date")).alias("d"), F.col("o_orderpriority").alias("kind"), (F.col("o_totalprice") / 1000).alias("s"))
-    return rounded(P.signals_as_of(sc, "k", "d", "kind", "s", DATES), 6, "composite")
+    return rounded(P.signals_as_of(sc, "k", "d", "kind", "s", DATES), 8, "composite")
 
 
 @query("p01_signals", f"WITH {SIGNAL} SELECT as_of, k, composite, n_kinds FROM sg")
@@ -51,12 +51,13 @@ def _(t):
 
 @query("p04_comparison", f"""
 WITH {MRETN}, st AS (SELECT mi, avg(r) AS s FROM rt WHERE r IS NOT NULL AND nation < 5 GROUP BY 1)
-SELECT mi, round(s, 8) AS strategy, round(ew_return, 8) AS benchmark, s > ew_return AS won, round(10000 * exp(sum(ln(1 + s)) OVER (ORDER BY mi)), 4) AS equity,
-  round(10000 * exp(sum(ln(1 + ew_return)) OVER (ORDER BY mi)), 4) AS benchmark_equity FROM st JOIN ew USING (mi)""")
+SELECT mi, round(s, 8) AS strategy, round(ew_return, 8) AS benchmark, s > ew_return AS won, round(ln(10000) + sum(ln(1 + s)) OVER (ORDER BY mi), 8) AS log_equity,
+  round(ln(10000) + sum(ln(1 + ew_return)) OVER (ORDER BY mi), 8) AS log_benchmark FROM st JOIN ew USING (mi)""")
 def _(t):
     r = nation_returns(t)
     out = P.comparison(P.equal_weight(r.filter("nation < 5"), "mi", "r"), P.equal_weight(r, "mi", "r"), "mi", "ew_return", "ew_return")
-    return long_cols(rounded(rounded(out, 8, "strategy", "benchmark"), 4, "equity", "benchmark_equity"), "mi")
+    out = out.withColumns({"log_equity": F.log("equity"), "log_benchmark": F.log("benchmark_equity")}).drop("equity", "benchmark_equity")
+    return long_cols(rounded(out, 8, "strategy", "benchmark", "log_equity", "log_benchmark"), "mi")
 
 
 @query("p04_drawdown", f"""
@@ -91,8 +92,8 @@ def _(t):
 
 @query("p07_debt_projection", f"""
 WITH {MONTHLY}, b AS (SELECT nation, round(sum(value) FILTER (yr = 2000), 2) AS debt, pow(round(sum(value) FILTER (yr = 2000), 2) / round(sum(value) FILTER (yr = 1996), 2), 0.25) - 1 AS g FROM monthly GROUP BY 1)
-SELECT nation, y AS yr, round(debt * pow(1 + g, y - 2025), 3) AS projected_debt, round(least(3.1 + 0.15 * (y - 2025), 4.5), 6) AS projected_rate,
-  round(debt * pow(1 + g, y - 2025) * least(3.1 + 0.15 * (y - 2025), 4.5) / 100, 3) AS projected_interest FROM b, (SELECT unnest(range(2026, 2036)) AS y)""")
+SELECT nation, y AS yr, round(debt * pow(1 + g, y - 2025), 3) AS projected_debt, round(least(3.1::DOUBLE + 0.15 * (y - 2025), 4.5), 6) AS projected_rate,
+  round(debt * pow(1 + g, y - 2025) * least(3.1::DOUBLE + 0.15 * (y - 2025), 4.5) / 100, 3) AS projected_interest FROM b, (SELECT unnest(range(2026, 2036)) AS y)""")
 def _(t):
     at = {y: F.round(F.sum(F.when(F.col("yr") == y, F.col("value"))), 2) for y in (1996, 2000)}
     b = monthly(t).groupBy("nation").agg(at[2000].alias("debt"), (F.pow(at[2000] / at[1996], F.lit(0.25)) - 1).alias("g")).withColumn("rate", F.lit(3.1))

@@ -122,10 +122,10 @@ def _(t):
 @query("k13_scenario_grid", f"""
 WITH {MONTHLY}, b AS (SELECT nation, round(sum(value) / 1e6, 4) AS base FROM monthly WHERE yr = 2000 GROUP BY 1), sc(name, delta) AS (VALUES ('down', -1.0), ('unchanged', 0.0), ('up', 1.0)),
 y AS (SELECT unnest(range(2025, 2036)) AS yr)
-SELECT nation, name AS scenario, yr, round(base * greatest(13 - greatest((yr - 2021) + 13 - 10, 0), 0) / 10.0 * (1.5 + delta) / 100, 6) AS cost
+SELECT nation, name AS scenario, yr, round(base * greatest(13 - greatest((yr - 2021) + 13 - 10, 0), 0) / 10.0 * (1.5 + delta) / 100, 8) AS cost
 FROM b, sc, y""")
 def _(t):
     from seriesloom.operators.portfolio import scenario_grid
     base = monthly(t).filter("yr = 2000").groupBy("nation").agg(F.round(F.sum("value") / 1e6, 4).alias("base"))
     out = scenario_grid(base, "base", F.lit(1.5), 10, [("down", -1.0), ("unchanged", 0.0), ("up", 1.0)], range(2025, 2036), 2021, 13)
-    return out.select("nation", "scenario", F.col("yr").cast("bigint").alias("yr"), F.round("cost", 6).alias("cost"))
+    return out.select("nation", "scenario", F.col("yr").cast("bigint").alias("yr"), F.round("cost", 8).alias("cost"))
