@@ -232,12 +232,14 @@ def web_claims(docs: DataFrame, row_id: str, text: str, per_source: int = 20, mi
     A sentence contained in a better one of the same source is left out. Both lists are bounded by the ten key
     paragraphs of a source and stay inside its row.
     """
-    sents = F.flatten(F.transform(key_paragraphs(F.col(text)), lambda p: plain_sentences(p["text"])))
+    def cleaned(c: Column) -> Column:
+        for pattern, plain in L.CLAIM_CLEANUP:
+            c = strip(F.regexp_replace(c, pattern, plain))
+        return c
+
+    # cleaned inside the array: a filter above the explode then cannot repeat the clean-up per condition
+    sents = F.transform(F.flatten(F.transform(key_paragraphs(F.col(text)), lambda p: plain_sentences(p["text"]))), cleaned)
     rows = docs.select(row_id, *extra, F.posexplode(sents).alias("pos", "claim"))
-    c = F.col("claim")
-    for pattern, plain in L.CLAIM_CLEANUP:
-        c = strip(F.regexp_replace(c, pattern, plain))
-    rows = rows.withColumn("claim", c)
     rows = rows.filter(~rejected(F.col("claim"))).withColumn("informativeness", F.round(informativeness(F.col("claim")), 6))
     rows = rows.filter(F.col("informativeness") >= min_score)
     best = F.array_sort(F.collect_list(F.struct((-F.col("informativeness")).alias("neg"), "pos", "claim")))

@@ -111,7 +111,7 @@ def _(t):
 
 # Documents of one source and language block act as the result list of one question.
 GROUPED = f"""{TERMS}, g AS (SELECT doc_id, concat(lang, '-', doc_id // 25) AS grp FROM documents), ts AS (SELECT grp, doc_id, list_sort(list(term)) AS s FROM kt JOIN g USING (doc_id) GROUP BY 1, 2),
-jp AS (SELECT a.grp, a.doc_id, b.doc_id AS o, len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) AS j FROM ts a LEFT JOIN ts b ON a.grp = b.grp AND a.doc_id <> b.doc_id),
+jp AS (SELECT a.grp, a.doc_id, b.doc_id AS o, CASE WHEN b.doc_id IS NOT NULL THEN len(list_intersect(a.s, b.s)) * 1.0 / len(list_distinct(list_concat(a.s, b.s))) END AS j FROM ts a LEFT JOIN ts b ON a.grp = b.grp AND a.doc_id <> b.doc_id),
 cs AS (SELECT grp, doc_id, avg(j) AS mean_overlap, coalesce(max(j), 0) AS max_overlap, CASE WHEN count(o) = 0 THEN 5 ELSE least(10, CASE WHEN round(avg(j), 12) >= 0.20 THEN 9 WHEN round(avg(j), 12) >= 0.12 THEN 7.5 WHEN round(avg(j), 12) >= 0.06 THEN 6 WHEN round(avg(j), 12) >= 0.03 THEN 4.5 ELSE 3 END
   + CASE WHEN max(j) >= 0.25 THEN 1 ELSE 0 END) END::DOUBLE AS consistency FROM jp GROUP BY 1, 2)"""
 
