@@ -25,6 +25,7 @@ from seriesloom.plans.sourcing import BASIN_VALUES, REGION_CASE
 from seriesloom.plans.sqlstats import p_normal, p_t
 from seriesloom.plans.trends import MK_SQL, line_sql
 from seriesloom.plans.windowing import long_cols
+from seriesloom.session import checkpointed
 from seriesloom.sources import dimensions as D
 
 PERIODS = [("full", 0, 79), ("early", 0, 39), ("late", 40, 79)]
@@ -64,13 +65,13 @@ def _(t):
 
 @query("q03_seasonal_trends", f"""
 WITH s AS (SELECT o_orderpriority AS priority, year(o_orderdate) + CASE WHEN month(o_orderdate) = 12 THEN 1 ELSE 0 END AS sy, {SEASON} AS season, round(avg(o_totalprice), 4) AS v FROM orders GROUP BY 1, 2, 3), f AS ({line_sql('s', 'priority, season', 'sy', 'v')})
-SELECT priority, season, CAST(n AS BIGINT) AS n, round(slope, 5) AS slope, round({p_t('tt', '(n - 2)')}, 6) AS p_value, season = first_value(season) OVER (PARTITION BY priority ORDER BY slope DESC) AS fastest FROM f""")
+SELECT priority, season, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round({p_t('tt', '(n - 2)')}, 6) AS p_value, season = first_value(season) OVER (PARTITION BY priority ORDER BY slope DESC) AS fastest FROM f""")
 def _(t):
     s = rounded(A.season_mean(t.orders.withColumnRenamed("o_orderpriority", "priority"), ["priority"], "o_orderdate", "o_totalprice"), 4, "mean_value")
     fit = S.ols_trend(s, ["priority", "season"], "season_year", "mean_value").select("priority", "season", "n", "slope", "p_value")
     best = W.season_extremes(fit, ["priority"], "season", "slope").select("priority", F.col("fastest").alias("__f"))
     out = join_keys(fit, best, ["priority"]).withColumn("fastest", F.col("season") == F.col("__f")).drop("__f")
-    return rounded(rounded(out, 5, "slope"), 6, "p_value")
+    return rounded(out, 6, "slope", "p_value")
 
 
 @query("q04_volatility_index", f"""
@@ -292,12 +293,14 @@ def _(t):
 def _(t):
     """Pages to scores, consistency per language group, claims, near-duplicate removal, themes and their strength."""
     pages = TX.scored_pages(t).filter("ok").withColumn("grp", F.concat_ws("-", F.lit("g"), F.floor(F.col("page_id") / 25).cast("string")))
+    # parsed pages, claims and kept claims feed several branches each: cut the plan after them
+    pages = checkpointed(pages.drop("html"))
     terms = T.key_terms(pages, "page_id", "text").join(pages.select("page_id", "grp"), "page_id").select("grp", "page_id", "term")
     cons = E.consistency(terms, "grp", "page_id").select("page_id", "consistency")
     scored = pages.join(cons, "page_id").withColumn("score", E.composite()).filter("score >= 3")
     claims = T.web_claims(scored, "page_id", "text", extra=["grp", "score"])
-    claims = claims.withColumn("cid", F.col("page_id") * 100 + F.col("rank"))
-    kept = E.dedup_near(claims, ["grp"], "cid", "claim")
+    claims = checkpointed(claims.withColumn("cid", F.col("page_id") * 100 + F.col("rank")))
+    kept = checkpointed(E.dedup_near(claims, ["grp"], "cid", "claim"))
     ct = E.term_frequency(kept, "grp", "cid", "claim")
     dist = E.distinctive_terms(ct, "grp", "cid", ct.select("grp", F.lit("the").alias("term")).distinct())
     themes = E.grow_themes(E.cooccurrence(ct, dist, "grp", "cid"), dist, "grp")
