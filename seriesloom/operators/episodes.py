@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators.aggregates import ratio
 from seriesloom.operators.joins import first_overlap
-from seriesloom.operators.split import exact_quantiles, join_keys, running_sums, with_group_stats
+from seriesloom.operators.split import exact_quantiles, join_keys, neighbours, running_sums, with_group_stats
 from seriesloom.operators.windows import by_time
 
 
@@ -24,8 +24,11 @@ def episodes(df: DataFrame, keys: Sequence[str], time: str, cond: Column, value:
     keys = list(keys)
     rows = df.withColumn("__ok", F.coalesce(cond, F.lit(False)))
     if max_gap is not None:
-        jump = F.col(time) - F.lag(time).over(by_time(keys, time)) > max_gap
-        rows = rows.withColumn("__jump", F.coalesce(jump, F.lit(False)))
+        if n == 1:
+            rows = rows.withColumn("__pt", F.lag(time).over(by_time(keys, time)))
+        else:
+            rows = neighbours(rows, keys, time, before={time: "__pt"}, n=n)
+        rows = rows.withColumn("__jump", F.coalesce(F.col(time) - F.col("__pt") > max_gap, F.lit(False))).drop("__pt")
         breaks = F.when(F.col("__ok"), 0).otherwise(1) + F.when(F.col("__jump"), 1).otherwise(0)
     else:
         breaks = F.when(F.col("__ok"), 0).otherwise(1)

@@ -128,26 +128,37 @@ def jaccard_pairs(items: DataFrame, group: Sequence[str], row_id: str, terms: st
 
     Two sets can only be that similar if they share one of their rarest terms: with terms ordered from rare to
     common, the first |s| - ceil(above * |s|) + 1 of each set must meet. Only these prefixes are joined; the pairs
-    found are then checked on the full sets. Sets of very different size are skipped.
+    found are then checked on the full sets. Pairs whose sizes or positions of the shared term rule it out are skipped.
     """
     group = list(group)
     sized = items.select(*group, row_id, F.col(terms).alias("set"), F.size(terms).alias("size")).filter("size > 0")
     flat = sized.select(*group, row_id, "size", F.explode("set").alias("term"))
     rarity = flat.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("df"))
+    # the sorted list holds the whole set, so heads and full sets below share one exchange
     ranked = join_keys(flat, rarity, [*group, "term"]).groupBy(*group, row_id).agg(
         F.max("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "term"))).alias("order"))
-    prefix = F.slice("order", 1, (F.col("size") - F.ceil(F.col("size") * above) + 1).cast("int"))
-    heads = ranked.select(*group, row_id, "size", F.explode(prefix).alias("h")).select(*group, row_id, "size", F.col("h.term").alias("term"), F.col("h.df").alias("df"))
-    heads = heads.filter("df > 1").drop("df")
-    a = heads.withColumnsRenamed({row_id: "a", "size": "na"})
-    b = heads.withColumnsRenamed({row_id: "b", "size": "nb"})
-    near = a.join(b, [*group, "term"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") > above * F.greatest("na", "nb")))
+
+    def prefix(share: float) -> Column:
+        return (F.col("size") - F.ceil(F.col("size") * share) + 1).cast("int")
+
+    heads = ranked.select(*group, row_id, "size", F.posexplode(F.slice("order", 1, prefix(above))).alias("at", "h")).filter("h.df > 1")
+    heads = heads.select(*group, row_id, "size", "at", F.col("h.term").alias("term"), (F.col("at") < prefix(2 * above / (1 + above))).alias("short"))
+    # the shorter set of a pair shares more than 2t/(1 + t) of its terms, so its prefix may be shorter
+    a = heads.filter("short").drop("short").withColumnsRenamed({row_id: "a", "size": "na", "at": "ia"})
+    b = heads.drop("short").withColumnsRenamed({row_id: "b", "size": "nb", "at": "ib"})
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    needed = F.lit(above / (1 + above)) * (F.col("na") + F.col("nb"))
+    # a pair is found at its first common term; from there at most the shorter rest can be common
+    reachable = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    near = a.join(b, [*group, "term"]).filter(ordered & (F.col("na") > above * F.col("nb")) & (reachable > needed - 1e-9))
     cand = near.select(*group, "a", "b").distinct()
-    left = sized.select(*group, F.col(row_id).alias("a"), F.col("set").alias("sa"))
-    right = sized.select(*group, F.col(row_id).alias("b"), F.col("set").alias("sb"))
+    sets = ranked.select(*group, row_id, F.transform("order", lambda o: o["term"]).alias("set"))
+    left, right = sets.withColumnsRenamed({row_id: "a", "set": "sa"}), sets.withColumnsRenamed({row_id: "b", "set": "sb"})
     both = cand.join(left, [*group, "a"]).join(right, [*group, "b"])
-    j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return both.select(*group, "a", "b", j.alias("jaccard")).filter(F.col("jaccard") > above)
+    shared = F.size(F.array_intersect("sa", "sb"))
+    j = shared / (F.size("sa") + F.size("sb") - shared)
+    out = both.select(*group, F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi"), j.alias("jaccard")).filter(F.col("jaccard") > above)
+    return out.withColumnsRenamed({"__lo": "a", "__hi": "b"})
 
 
 def dedup_near(claims: DataFrame, group: Sequence[str], row_id: str, text: str, above: float = 0.6) -> DataFrame:
@@ -298,13 +309,13 @@ def match_findings(claims: DataFrame, findings: Sequence[str], claim_id: Sequenc
 # ---- search results ------------------------------------------------------------------------------------------
 
 def question_terms(question: Column) -> Column:
-    return F.array_distinct(words_of(question, "^[a-z]+$"))
+    return words_of(question, "^[a-z]+$", distinct=True)
 
 
 def relevance(terms: Column, rank: Column, title: Column, snippet: Column, domain: Column) -> Column:
     """Rank band + title overlap (3) + snippet overlap (2.5) + host bonus, at most 10."""
     def overlap(text: Column) -> Column:
-        return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, F.array_distinct(words_of(text, "^[a-z]+$")))) / F.greatest(F.size(terms), F.lit(1))).otherwise(0.0)
+        return F.when(F.size(terms) > 0, F.size(F.array_intersect(terms, words_of(text, "^[a-z]+$", distinct=True))) / F.greatest(F.size(terms), F.lit(1))).otherwise(0.0)
 
     band = F.when(rank <= 2, 3.0).when(rank <= 5, 2.0).when(rank <= 8, 1.0).otherwise(0.5)
     trusted = domain.rlike("|".join(h.replace(".", r"\.") for h in L.TRUSTED_HOSTS))

@@ -20,10 +20,25 @@ def signals_as_of(scores: DataFrame, key: str, day: str, kind: str, score: str,
     the dates are a fixed list, so a score visits its own later dates by projection and is summed map-side.
     """
     start = F.col(day) + buffer_days
-    later = F.filter(F.array(*[F.lit(int(d)) for d in dates]), lambda d: (d >= start) & ((d - start <= max_age) if max_age is not None else F.lit(True)))
-    live = scores.select(key, kind, score, start.alias("__s"), F.explode(later).alias("as_of"))
-    weight = F.exp(-F.log(F.lit(2.0)) * (F.col("as_of") - F.col("__s")) / half_life)
-    per_kind = live.groupBy("as_of", key, kind).agg((F.sum(F.col(score) * weight) / F.sum(weight)).alias("signal"))
+    ahead = F.array(*[F.lit(int(d)) for d in sorted(dates)])
+
+    def weight(age: Column) -> Column:
+        return F.exp(-F.log(F.lit(2.0)) * age / half_life)
+
+    if max_age is None:
+        # scores due at the same first date are summed once, with weights relative to it, before they visit later dates
+        first = F.get(F.filter(ahead, lambda d: d >= start), F.lit(0))
+        due = scores.select(key, kind, score, start.alias("__s"), first.alias("__first")).filter(F.col("__first").isNotNull())
+        w = weight(F.col("__first") - F.col("__s"))
+        due = due.groupBy(key, kind, "__first").agg(F.sum(F.col(score) * w).alias("__sw"), F.sum(w).alias("__w"))
+        live = due.select("*", F.explode(F.filter(ahead, lambda d: d >= F.col("__first"))).alias("as_of"))
+        fade = weight(F.col("as_of") - F.col("__first"))
+        per_kind = live.groupBy("as_of", key, kind).agg((F.sum(F.col("__sw") * fade) / F.sum(F.col("__w") * fade)).alias("signal"))
+    else:
+        later = F.filter(ahead, lambda d: (d >= start) & (d - start <= max_age))
+        live = scores.select(key, kind, score, start.alias("__s"), F.explode(later).alias("as_of"))
+        w = weight(F.col("as_of") - F.col("__s"))
+        per_kind = live.groupBy("as_of", key, kind).agg((F.sum(F.col(score) * w) / F.sum(w)).alias("signal"))
     return per_kind.groupBy("as_of", key).agg(F.avg("signal").alias("composite"), F.count(F.lit(1)).alias("n_kinds"))
 
 

@@ -36,13 +36,13 @@ def periodogram(df: DataFrame, keys: Sequence[str], step: str, value: str, fs: f
     rows = rows.select(*keys, i.alias("i"), n.alias("n"), x.alias("x"))
     # the mean of the whole detrended series is removed again before windowing, as the density estimate does
     rows = with_group_stats(rows, [*keys, "n"], __c=F.avg("x")).withColumn("w", _hann(F.col("i"), F.col("n")))
-    grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
-    a = 2 * math.pi * F.col("k") * F.col("i") / F.col("n")
+    grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("f_idx"))
+    a = 2 * math.pi * F.col("f_idx") * F.col("i") / F.col("n")
     xw = (F.col("x") - F.col("__c")) * F.col("w")
-    s = grid.groupBy(*keys, "n", "k").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    sides = F.when(2 * F.col("k") == F.col("n"), 1.0).otherwise(2.0)
-    freq = F.col("k") * fs / F.col("n")
-    return s.select(*keys, "k", freq.alias("freq"), (1 / freq).alias("period"),
+    s = grid.groupBy(*keys, "n", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("ww"))
+    sides = F.when(2 * F.col("f_idx") == F.col("n"), 1.0).otherwise(2.0)
+    freq = F.col("f_idx") * fs / F.col("n")
+    return s.select(*keys, "f_idx", freq.alias("freq"), (1 / freq).alias("period"),
                     (sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("ww"))).alias("power"))
 
 
@@ -56,15 +56,15 @@ def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg
     seg = rows.select(*keys, i.alias("i"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     seg = seg.filter("lo <= hi").select(*keys, "i", "x", F.explode(F.sequence("lo", "hi")).alias("seg"))
     seg = with_group_stats(seg, [*keys, "seg"], __c=F.avg("x")).withColumn("j", F.col("i") - F.col("seg") * half)
-    grid = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("k"))
+    grid = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("f_idx"))
     n = F.lit(float(nperseg))
-    a, w = 2 * math.pi * F.col("k") * F.col("j") / n, _hann(F.col("j"), n)
+    a, w = 2 * math.pi * F.col("f_idx") * F.col("j") / n, _hann(F.col("j"), n)
     xw = (F.col("x") - F.col("__c")) * w
-    s = grid.groupBy(*keys, "seg", "k").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(w * w).alias("ww"))
-    sides = F.when(2 * F.col("k") == nperseg, 1.0).otherwise(2.0)
+    s = grid.groupBy(*keys, "seg", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(w * w).alias("ww"))
+    sides = F.when(2 * F.col("f_idx") == nperseg, 1.0).otherwise(2.0)
     p = sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("ww"))
-    return s.groupBy(*keys, "k").agg(F.avg(p).alias("power"), F.count(F.lit(1)).alias("n_segments")).withColumns(
-        {"freq": F.col("k") * fs / nperseg, "period": nperseg / (F.col("k") * fs)})
+    return s.groupBy(*keys, "f_idx").agg(F.avg(p).alias("power"), F.count(F.lit(1)).alias("n_segments")).withColumns(
+        {"freq": F.col("f_idx") * fs / nperseg, "period": nperseg / (F.col("f_idx") * fs)})
 
 
 def period_grid(low: float, high: float, n: int) -> list[float]:
@@ -79,11 +79,11 @@ def lomb_scargle(df: DataFrame, keys: Sequence[str], time: str, value: str, peri
     be raw events: partial aggregation folds every task's rows to one row per key and period.
     """
     rows = with_group_stats(df.filter(F.col(value).isNotNull()).select(*keys, time, value), keys, __m=F.avg(value))
-    grid = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(p).alias("period")) for i, p in enumerate(periods)])
+    grid = F.array(*[F.struct(F.lit(i).alias("f_idx"), F.lit(p).alias("period")) for i, p in enumerate(periods)])
     g = rows.select(*keys, (F.col(value) - F.col("__m")).alias("x"), F.col(time).cast("double").alias("t"), F.inline(grid))
     a = 2 * math.pi * F.col("t") / F.col("period")
     c, s, x = F.cos(a), F.sin(a), F.col("x")
-    m = g.groupBy(*keys, "k", "period").agg(F.sum(x * c).alias("xc"), F.sum(x * s).alias("xs"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"),
+    m = g.groupBy(*keys, "f_idx", "period").agg(F.sum(x * c).alias("xc"), F.sum(x * s).alias("xs"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"),
                                             F.sum(c * s).alias("cs"), F.sum(x * x).alias("xx"))
     tau = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
     ct, st = F.cos(tau), F.sin(tau)
@@ -91,7 +91,7 @@ def lomb_scargle(df: DataFrame, keys: Sequence[str], time: str, value: str, peri
     cc = ct * ct * F.col("cc") + 2 * ct * st * F.col("cs") + st * st * F.col("ss")
     ss = ct * ct * F.col("ss") - 2 * ct * st * F.col("cs") + st * st * F.col("cc")
     power = (ratio(xc * xc, cc) + ratio(xs * xs, ss)) / F.col("xx")
-    return m.select(*keys, "k", "period", power.alias("power"))
+    return m.select(*keys, "f_idx", "period", power.alias("power"))
 
 
 def spectral_peaks(spectrum: DataFrame, keys: Sequence[str], order: str, period: str = "period", power: str = "power", min_ratio: float = 0.1,

@@ -496,8 +496,8 @@ def _omori_grid(rows: DataFrame, keys: Sequence[str], t: str, cs: Column, ps: Co
         (F.pow(end + c, q) - F.pow(c, q)) / F.when(F.abs(q) < 1e-9, 1.0).otherwise(q))
     k = F.col("n") / integral
     ll = F.col("n") * F.log(k) - p * F.col("slog") - F.col("n")
-    return grid.withColumns({"k": k, "log_likelihood": ll}).groupBy(*keys).agg(
-        F.max_by(F.struct("n", "k", "c", "p", "log_likelihood"), F.struct(F.round("log_likelihood", 8), -p, -c)).alias("b")) \
+    return grid.withColumns({"rate_k": k, "log_likelihood": ll}).groupBy(*keys).agg(
+        F.max_by(F.struct("n", "rate_k", "c", "p", "log_likelihood"), F.struct(F.round("log_likelihood", 8), -p, -c)).alias("b")) \
         .select(*keys, "b.*").withColumn("aic", 6 - 2 * F.col("log_likelihood"))
 
 

@@ -51,9 +51,8 @@ def meta_content(html: Column, names: Sequence[str]) -> list[Column]:
     out = []
     for n in names:
         name = n.replace(".", r"\.")
-        for pattern in (rf'(?i)<meta\s[^>]*(name|property)="{name}"[^>]*\scontent="([^"]*)"',
-                        rf'(?i)<meta\s[^>]*content="([^"]*)"[^>]*\s(name|property)="{name}"'):
-            out.append(F.regexp_extract(html, pattern, 2 if "(name|property)" in pattern[:30] else 1))
+        out.append(F.regexp_extract(html, rf'(?i)<meta\s[^>]*(name|property)="{name}"[^>]*\scontent="([^"]*)"', 2))
+        out.append(F.regexp_extract(html, rf'(?i)<meta\s[^>]*content="([^"]*)"[^>]*\s(name|property)="{name}"', 1))
     return out
 
 
@@ -147,9 +146,10 @@ def plain_sentences(text: Column) -> Column:
 
 # ---- terms ---------------------------------------------------------------------------------------------------
 
-def words_of(text: Column, pattern: str = "^[a-z]{3,}$") -> Column:
+def words_of(text: Column, pattern: str = "^[a-z]{3,}$", distinct: bool = False) -> Column:
     """Lower-case words that fully match the pattern; a word is a whole run of letters, digits and underscores."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike(pattern))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.filter(F.array_distinct(runs) if distinct else runs, lambda w: w.rlike(pattern))
 
 
 def without(words: Column, stop_words: Sequence[str]) -> Column:
@@ -165,7 +165,7 @@ def key_terms(docs: DataFrame, row_id: str, text: str, n: int = 30) -> DataFrame
 
 def claim_terms(text: Column) -> Column:
     """Distinct terms of a claim, sorted."""
-    return F.array_sort(without(words_of(text), L.CLAIM_STOP_WORDS))
+    return F.array_sort(without(words_of(text, distinct=True), L.CLAIM_STOP_WORDS))
 
 
 # ---- claims --------------------------------------------------------------------------------------------------

@@ -37,8 +37,8 @@ def _(t):
 SELECT o_orderpriority AS site, CAST(year(o_orderdate) AS BIGINT) AS yr, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2""")
 def _(t):
     path = scratch(t)
-    (t.orders.groupBy(F.col("o_orderpriority").alias("site"), F.date_format("o_orderdate", "yyyy-MM").alias("name"))
-     .agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("flow"))).alias("records")).write.json(path))
+    (t.orders.groupBy(F.col("o_orderpriority").alias("site"), F.floor(F.col("o_orderkey") / 500).alias("block"))
+     .agg(F.collect_list(F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("flow"))).alias("records")).drop("block").write.json(path))
     rows = R.read_records_json(t.spark, path, {"site": "string"}, "records", {"date": "date", "flow": "double"}, whole_file=False)
     return rows.groupBy("site", F.year("date").cast("bigint").alias("yr")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("flow"), 2).alias("total"))
 

@@ -19,38 +19,38 @@ def mega(t):
 WITH {MPRIO}, d AS (SELECT priority, mi - min(mi) OVER w AS i, count(*) OVER w AS n, value / 1e6 - avg(value / 1e6) OVER w AS x, 0.5 - 0.5 * cos(2 * pi() * (mi - min(mi) OVER w) / count(*) OVER w) AS w
   FROM mprio WINDOW w AS (PARTITION BY priority)), k AS (SELECT unnest(range(1, 100)) AS k),
 s AS (SELECT priority, k, n, sum(x * w * cos(2 * pi() * k * i / n)) AS re, sum(x * w * sin(2 * pi() * k * i / n)) AS im, sum(w * w) AS ww FROM d, k WHERE k <= n // 2 GROUP BY ALL)
-SELECT priority, k, round(k * 12.0 / n, 8) AS freq, round(CASE WHEN 2 * k = n THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww), 5) AS power FROM s""")
+SELECT priority, k AS f_idx, round(k * 12.0 / n, 8) AS freq, round(CASE WHEN 2 * k = n THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww), 5) AS power FROM s""")
 def _(t):
     out = H.periodogram(mega(t), ["priority"], "mi", "v").drop("period")
-    return long_cols(rounded(rounded(out, 8, "freq"), 5, "power"), "k")
+    return long_cols(rounded(rounded(out, 8, "freq"), 5, "power"), "f_idx")
 
 
 @query("h02_welch_psd", f"""
 WITH {MPRIO}, sg AS (SELECT unnest([0, 1, 2, 3]) AS seg), a AS (SELECT priority, seg, mi - seg * 16 AS j, value / 1e6 AS v FROM mprio JOIN (SELECT priority, max(mi) AS last FROM mprio GROUP BY 1) USING (priority), sg WHERE mi >= seg * 16 AND mi < seg * 16 + 32 AND seg * 16 + 32 <= last + 1),
 d AS (SELECT priority, seg, j, v - avg(v) OVER (PARTITION BY priority, seg) AS x, 0.5 - 0.5 * cos(2 * pi() * j / 32) AS w FROM a), k AS (SELECT unnest(range(1, 17)) AS k),
 s AS (SELECT priority, seg, k, sum(x * w * cos(2 * pi() * k * j / 32)) AS re, sum(x * w * sin(2 * pi() * k * j / 32)) AS im, sum(w * w) AS ww FROM d, k GROUP BY ALL)
-SELECT priority, k, count(*) AS n_segments, round(avg(CASE WHEN k = 16 THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww)), 5) AS power FROM s GROUP BY 1, 2""")
+SELECT priority, k AS f_idx, count(*) AS n_segments, round(avg(CASE WHEN k = 16 THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww)), 5) AS power FROM s GROUP BY 1, 2""")
 def _(t):
-    out = H.welch_psd(mega(t), ["priority"], "mi", "v", 32).select("priority", "k", "n_segments", "power")
-    return long_cols(rounded(out, 5, "power"), "k")
+    out = H.welch_psd(mega(t), ["priority"], "mi", "v", 32).select("priority", "f_idx", "n_segments", "power")
+    return long_cols(rounded(out, 5, "power"), "f_idx")
 
 
 @query("h03_lomb_scargle", """
 WITH e AS (SELECT user_id, epoch_us(ts) / 3.6e9 - 473352 AS t, value - avg(value) OVER (PARTITION BY user_id) AS x FROM events), g(k, p) AS (VALUES (0, 6.0), (1, 12.0), (2, 24.0), (3, 48.0), (4, 168.0)),
 m AS (SELECT user_id, k, p, sum(x * cos(2 * pi() * t / p)) AS xc, sum(x * sin(2 * pi() * t / p)) AS xs, sum(pow(cos(2 * pi() * t / p), 2)) AS cc, sum(pow(sin(2 * pi() * t / p), 2)) AS ss,
   sum(cos(2 * pi() * t / p) * sin(2 * pi() * t / p)) AS cs, sum(x * x) AS xx FROM e, g GROUP BY 1, 2, 3), q AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS a FROM m)
-SELECT user_id, k, round((pow(xc * cos(a) + xs * sin(a), 2) / (pow(cos(a), 2) * cc + 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * ss)
+SELECT user_id, k AS f_idx, round((pow(xc * cos(a) + xs * sin(a), 2) / (pow(cos(a), 2) * cc + 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * ss)
   + pow(xs * cos(a) - xc * sin(a), 2) / (pow(cos(a), 2) * ss - 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * cc)) / xx, 6) AS power FROM q""")
 def _(t):
     e = t.events.select("user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352).alias("t"))
-    out = H.lomb_scargle(e, ["user_id"], "t", "value", [6.0, 12.0, 24.0, 48.0, 168.0]).select("user_id", "k", "power")
+    out = H.lomb_scargle(e, ["user_id"], "t", "value", [6.0, 12.0, 24.0, 48.0, 168.0]).select("user_id", "f_idx", "power")
     return rounded(out, 6, "power")
 
 
 @query("h04_spectral_peaks")
 def _(t):
     spec = H.periodogram(mega(t), ["priority"], "mi", "v")
-    return rounded(H.spectral_peaks(spec, ["priority"], "k"), 6, "period", "power", "prominence")
+    return rounded(H.spectral_peaks(spec, ["priority"], "f_idx"), 6, "period", "power", "prominence")
 
 
 @query("h04_acf_peaks")

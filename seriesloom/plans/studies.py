@@ -165,7 +165,7 @@ def _(t):
     pairs = neighbourhood_join(mains, cat, 90, F.pow(F.lit(10.0), 0.5 * F.col("m_mag") - 1.78), 1000.0, tags=("mag",))
     fits = S.omori_fit(pairs.select("m_id", (F.col("gap_s") / 86400).alias("d")), ["m_id"], "d", refine=False)
     bath = S.baths_law(pairs, mains.select(F.col("id").alias("m_id"), F.col("mag").alias("main_mag")), "m_id", "main_mag", "mag")
-    return rounded(join_keys(bath.select("m_id", "main_mag", "largest", "n_after", "gap"), fits.select("m_id", "k", "c", "p", "aic"), ["m_id"], "left"), 6, "main_mag", "largest", "gap", "k", "c", "p", "aic")
+    return rounded(join_keys(bath.select("m_id", "main_mag", "largest", "n_after", "gap"), fits.select("m_id", "rate_k", "c", "p", "aic"), ["m_id"], "left"), 6, "main_mag", "largest", "gap", "rate_k", "c", "p", "aic")
 
 
 @query("q10_cycles")
@@ -174,7 +174,7 @@ def _(t):
     m = monthly_priority(t).withColumn("v", F.col("value") / 1e6)
     seg = G.cycle_segments(m, ["priority"], "mi", "v", [(1, 8), (2, 30), (3, 52), (4, 70)], 6)
     fit = S.harmonic_fit(m, ["priority"], "mi", "v", H.period_grid(6, 60, 40)).select("priority", F.col("period").alias("best_period"), "p_value")
-    peak = H.spectral_peaks(H.periodogram(m, ["priority"], "mi", "v"), ["priority"], "k", n_peaks=1).select("priority", F.col("period").alias("peak_years"))
+    peak = H.spectral_peaks(H.periodogram(m, ["priority"], "mi", "v"), ["priority"], "f_idx", n_peaks=1).select("priority", F.col("period").alias("peak_years"))
     out = join_keys(join_keys(seg, fit, ["priority"]), peak, ["priority"], "left")
     return rounded(out.drop("n"), 6, "min_value", "max_value", "total", "asymmetry", "best_period", "p_value", "peak_years")
 

@@ -295,13 +295,13 @@ s AS (SELECT m_id, count(*) AS n, max(d) AS e FROM p WHERE km <= r GROUP BY 1 HA
 g AS (SELECT p.m_id, c, max(n) AS n, max(e) AS e, sum(ln(d + c)) AS sl FROM p JOIN s USING (m_id), (SELECT unnest([0.01, 0.05, 0.2, 1.0, 5.0]) AS c) WHERE km <= r GROUP BY 1, 2),
 l AS (SELECT *, n / ((pow(e + c, 1 - q) - pow(c, 1 - q)) / (1 - q)) AS k FROM g, (SELECT unnest([0.5, 0.7, 0.9, 1.1, 1.3, 1.5]) AS q)),
 f AS (SELECT *, n * ln(k) - q * sl - n AS ll FROM l)
-SELECT m_id, n, round(arg_max(k, (round(ll, 8), -q, -c)), 6) AS k, CAST(arg_max(c, (round(ll, 8), -q, -c)) AS DOUBLE) AS c, CAST(arg_max(q, (round(ll, 8), -q, -c)) AS DOUBLE) AS p,
+SELECT m_id, n, round(arg_max(k, (round(ll, 8), -q, -c)), 6) AS rate_k, CAST(arg_max(c, (round(ll, 8), -q, -c)) AS DOUBLE) AS c, CAST(arg_max(q, (round(ll, 8), -q, -c)) AS DOUBLE) AS p,
  round(max(ll), 6) AS log_likelihood FROM f GROUP BY 1, 2""")
 def _(t):
     _, pairs = aftershocks(t)
     times = pairs.select("m_id", (F.col("gap_s") / 86400.0).alias("d"))
     out = S.omori_fit(times, ["m_id"], "d", refine=False, c_grid=[0.01, 0.05, 0.2, 1.0, 5.0], p_grid=[0.5, 0.7, 0.9, 1.1, 1.3, 1.5])
-    return rounded(out.drop("aic"), 6, "k", "log_likelihood")
+    return rounded(out.drop("aic"), 6, "rate_k", "log_likelihood")
 
 
 @query("e19_omori_refined")
@@ -310,7 +310,7 @@ def _(t):
     times = pairs.select("m_id", (F.col("gap_s") / 86400.0).alias("d"))
     fits = S.omori_fit(times, ["m_id"], "d")
     ks = S.omori_errors(times, fits, ["m_id"], "d").select("m_id", "ks")
-    return rounded(fits.join(ks, "m_id"), 6, "k", "c", "p", "log_likelihood", "aic", "ks")
+    return rounded(fits.join(ks, "m_id"), 6, "rate_k", "c", "p", "log_likelihood", "aic", "ks")
 
 
 @query("e20_baths_law", f"""

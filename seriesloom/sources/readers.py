@@ -65,6 +65,17 @@ def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", "true").csv(path)
 
 
+def read_table(spark: SparkSession, path: str, cpu_heavy: bool = False) -> DataFrame:
+    """A parquet table; with `cpu_heavy` a scan of fewer splits than cores is spread over all cores once.
+
+    Large tables have more splits than cores and are read as they are, so the extra exchange only appears on small
+    inputs, where the work per row outweighs moving it.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if cpu_heavy and df.rdd.getNumPartitions() < cores else df
+
+
 # ---- papers --------------------------------------------------------------------------------------------------
 
 PAPER_COLUMNS = ["title", "authors", "year", "abstract", "doi", "source_ids", "cited_by_count", "venue", "publication_type", "url", "pdf_url"]
