@@ -25,29 +25,31 @@ def _hann(i: Column, n: Column) -> Column:
 
 
 def periodogram(df: DataFrame, keys: Sequence[str], step: str, value: str, fs: float = 12.0) -> DataFrame:
-    """Hann-windowed power density without the zero frequency; missing values count 0 after mean removal.
+    """Hann-windowed power density without the zero frequency; missing values and steps count 0 after mean removal.
 
-    `step` is the integer position of a row. Frequencies are k*fs/n for k = 1 .. n/2; power doubles except at the
-    Nyquist frequency of an even n.
+    `step` is the integer position of a row and n the number of steps from the first to the last. Frequencies are
+    k*fs/n for k = 1 .. n/2; power doubles except at the Nyquist frequency of an even n. The squared window sums to
+    3n/8 whatever is missing.
     """
-    rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value), __n=F.count(F.lit(1)), __i0=F.min(step))
-    i, n = F.col(step) - F.col("__i0"), F.col("__n")
+    rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value), __i0=F.min(step), __i1=F.max(step))
     x = F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0))
-    rows = rows.select(*keys, i.alias("i"), n.alias("n"), x.alias("x"))
-    # the mean of the whole detrended series is removed again before windowing, as the density estimate does
-    rows = with_group_stats(rows, [*keys, "n"], __c=F.avg("x")).withColumn("w", _hann(F.col("i"), F.col("n")))
+    rows = rows.select(*keys, (F.col(step) - F.col("__i0")).alias("i"), (F.col("__i1") - F.col("__i0") + 1).alias("n"), x.alias("x"))
     grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("f_idx"))
     a = 2 * math.pi * F.col("f_idx") * F.col("i") / F.col("n")
-    xw = (F.col("x") - F.col("__c")) * F.col("w")
-    s = grid.groupBy(*keys, "n", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(F.col("w") * F.col("w")).alias("ww"))
+    xw = F.col("x") * _hann(F.col("i"), F.col("n"))
+    s = grid.groupBy(*keys, "n", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"))
     sides = F.when(2 * F.col("f_idx") == F.col("n"), 1.0).otherwise(2.0)
     freq = F.col("f_idx") * fs / F.col("n")
     return s.select(*keys, "f_idx", freq.alias("freq"), (1 / freq).alias("period"),
-                    (sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("ww"))).alias("power"))
+                    (sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("n") * 0.375)).alias("power"))
 
 
 def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg: int, fs: float = 12.0) -> DataFrame:
-    """Mean density over half-overlapping Hann segments, each with its own mean removed; only full segments count."""
+    """Mean density over half-overlapping Hann segments, each with its own mean removed; only full segments count.
+
+    Missing steps count 0 after the overall mean is removed. A segment mean c then adds -c at every step, present or
+    not; against the window that sum is n/4 at the first frequency and nothing elsewhere.
+    """
     half = nperseg // 2
     rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value), __i0=F.min(step), __i1=F.max(step))
     i = F.col(step) - F.col("__i0")
@@ -55,14 +57,15 @@ def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg
     lo, hi = F.greatest(F.lit(0), F.ceil((i - nperseg + 1) / half)), F.least(last, F.floor(i / half))
     seg = rows.select(*keys, i.alias("i"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     seg = seg.filter("lo <= hi").select(*keys, "i", "x", F.explode(F.sequence("lo", "hi")).alias("seg"))
-    seg = with_group_stats(seg, [*keys, "seg"], __c=F.avg("x")).withColumn("j", F.col("i") - F.col("seg") * half)
+    seg = seg.withColumn("j", F.col("i") - F.col("seg") * half)
     grid = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("f_idx"))
     n = F.lit(float(nperseg))
-    a, w = 2 * math.pi * F.col("f_idx") * F.col("j") / n, _hann(F.col("j"), n)
-    xw = (F.col("x") - F.col("__c")) * w
-    s = grid.groupBy(*keys, "seg", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum(w * w).alias("ww"))
+    a = 2 * math.pi * F.col("f_idx") * F.col("j") / n
+    xw = F.col("x") * _hann(F.col("j"), n)
+    s = grid.groupBy(*keys, "seg", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum("x").alias("sx"))
+    re = F.col("re") + F.when(F.col("f_idx") == 1, F.col("sx") / n * (nperseg / 4.0)).otherwise(0.0)
     sides = F.when(2 * F.col("f_idx") == nperseg, 1.0).otherwise(2.0)
-    p = sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("ww"))
+    p = sides * (re * re + F.col("im") * F.col("im")) / (fs * nperseg * 0.375)
     return s.groupBy(*keys, "f_idx").agg(F.avg(p).alias("power"), F.count(F.lit(1)).alias("n_segments")).withColumns(
         {"freq": F.col("f_idx") * fs / nperseg, "period": nperseg / (F.col("f_idx") * fs)})
 
@@ -170,7 +173,8 @@ def morlet_power(df: DataFrame, keys: Sequence[str], step: str, value: str, scal
     """Morlet wavelet power per (time, scale): window half-width 3 scales, period 2 pi s / omega0.
 
     The series is repeated once per scale and each (key, scale) group is one short convolution in its own task, so
-    the shuffle holds n rows per scale instead of n x 6 scale products. Missing values count 0 after mean removal.
+    the shuffle holds n rows per scale instead of n x 6 scale products. Missing values and steps count 0 after mean
+    removal.
     """
     rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value))
     grid = F.array(*[F.lit(float(s)) for s in scales])
@@ -185,9 +189,11 @@ def morlet_power(df: DataFrame, keys: Sequence[str], step: str, value: str, scal
         half = max(int(3 * s), 1)
         eta = np.arange(-half, half + 1) / s
         wave = np.pi ** -0.25 * np.exp(1j * omega0 * eta - eta ** 2 / 2) / np.sqrt(s)
-        x = pdf["x"].to_numpy(float)
-        coef = np.convolve(x, wave[::-1].conj(), mode="full")[half:half + len(x)]
-        out = pd.DataFrame({c: [key[i]] * len(x) for i, c in enumerate(schema.names[:width])}, index=pdf.index)
+        at = (pdf["step"] - pdf["step"].iloc[0]).to_numpy()
+        x = np.zeros(at[-1] + 1)
+        x[at] = pdf["x"].to_numpy(float)
+        coef = np.convolve(x, wave[::-1].conj(), mode="full")[half:half + len(x)][at]
+        out = pd.DataFrame({c: [key[i]] * len(at) for i, c in enumerate(schema.names[:width])}, index=pdf.index)
         return out.assign(scale=s, step=pdf["step"], power=np.abs(coef) ** 2)[schema.names]
 
     out = rows.groupBy(*keys, "scale").applyInPandas(convolve, schema)

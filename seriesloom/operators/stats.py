@@ -543,8 +543,11 @@ def weighted_kde(df: DataFrame, keys: Sequence[str], value: str, weight: Column,
     near = mass.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("g"))
     z = (F.col("lv") - (low + F.col("g") * step)) / bandwidth
     part = F.col("w") / F.col("__total") * F.exp(-0.5 * z * z) / (bandwidth * math.sqrt(2 * math.pi))
-    return near.groupBy(*keys, "g").agg(F.sum(part).alias("density")).withColumn(
-        "x", F.pow(F.lit(10.0), low + F.col("g") * step))
+    hits = near.groupBy(*keys, "g").agg(F.sum(part).alias("density"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")
+    grid = mass.select(*keys).distinct().select(*keys, every) if keys else df.sparkSession.range(1).select(every)
+    return join_keys(grid, hits, [*keys, "g"], "left").select(
+        *keys, "g", F.coalesce("density", F.lit(0.0)).alias("density"), F.pow(F.lit(10.0), low + F.col("g") * step).alias("x"))
 
 
 def valley_detect(curve: DataFrame, keys: Sequence[str], grid: str = "g", x: str = "x", density: str = "density",

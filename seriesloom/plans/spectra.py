@@ -15,9 +15,13 @@ def mega(t):
     return monthly_priority(t).withColumn("v", F.col("value") / 1e6)
 
 
+# Every step of the series, missing ones as 0 after mean removal.
+DENSE = f"""{MPRIO}, sp AS (SELECT priority, min(mi) AS i0, max(mi) - min(mi) + 1 AS n, avg(value / 1e6) AS m FROM mprio GROUP BY 1),
+st AS (SELECT priority, i0, n, m, unnest(range(0, n)) AS i FROM sp), dn AS (SELECT st.priority, n, i, coalesce(value / 1e6 - m, 0) AS x FROM st LEFT JOIN mprio p ON p.priority = st.priority AND p.mi = i0 + i)"""
+
+
 @query("h01_periodogram", f"""
-WITH {MPRIO}, d AS (SELECT priority, mi - min(mi) OVER w AS i, count(*) OVER w AS n, value / 1e6 - avg(value / 1e6) OVER w AS x, 0.5 - 0.5 * cos(2 * pi() * (mi - min(mi) OVER w) / count(*) OVER w) AS w
-  FROM mprio WINDOW w AS (PARTITION BY priority)), k AS (SELECT unnest(range(1, 100)) AS k),
+WITH {DENSE}, d AS (SELECT priority, n, i, x, 0.5 - 0.5 * cos(2 * pi() * i / n) AS w FROM dn), k AS (SELECT unnest(range(1, 100)) AS k),
 s AS (SELECT priority, k, n, sum(x * w * cos(2 * pi() * k * i / n)) AS re, sum(x * w * sin(2 * pi() * k * i / n)) AS im, sum(w * w) AS ww FROM d, k WHERE k <= n // 2 GROUP BY ALL)
 SELECT priority, k AS f_idx, round(k * 12.0 / n, 8) AS freq, round(CASE WHEN 2 * k = n THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww), 5) AS power FROM s""")
 def _(t):
@@ -26,7 +30,7 @@ def _(t):
 
 
 @query("h02_welch_psd", f"""
-WITH {MPRIO}, sg AS (SELECT unnest([0, 1, 2, 3]) AS seg), a AS (SELECT priority, seg, mi - seg * 16 AS j, value / 1e6 AS v FROM mprio JOIN (SELECT priority, max(mi) AS last FROM mprio GROUP BY 1) USING (priority), sg WHERE mi >= seg * 16 AND mi < seg * 16 + 32 AND seg * 16 + 32 <= last + 1),
+WITH {DENSE}, sg AS (SELECT unnest([0, 1, 2, 3]) AS seg), a AS (SELECT priority, seg, i - seg * 16 AS j, x AS v FROM dn, sg WHERE i >= seg * 16 AND i < seg * 16 + 32 AND seg * 16 + 32 <= n),
 d AS (SELECT priority, seg, j, v - avg(v) OVER (PARTITION BY priority, seg) AS x, 0.5 - 0.5 * cos(2 * pi() * j / 32) AS w FROM a), k AS (SELECT unnest(range(1, 17)) AS k),
 s AS (SELECT priority, seg, k, sum(x * w * cos(2 * pi() * k * j / 32)) AS re, sum(x * w * sin(2 * pi() * k * j / 32)) AS im, sum(w * w) AS ww FROM d, k GROUP BY ALL)
 SELECT priority, k AS f_idx, count(*) AS n_segments, round(avg(CASE WHEN k = 16 THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww)), 5) AS power FROM s GROUP BY 1, 2""")

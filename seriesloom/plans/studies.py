@@ -78,7 +78,7 @@ def _(t):
 WITH {MONTHLY}, d AS (SELECT nation, yr, value, abs(value - lag(value) OVER (PARTITION BY nation ORDER BY mi)) AS d FROM monthly),
 y AS (SELECT nation, yr, avg(d) AS swing, stddev_samp(value) AS sd, stddev_pop(value) / avg(value) AS cv, max(value) - min(value) AS rg FROM d GROUP BY 1, 2 HAVING count(*) = 12),
 s AS (SELECT nation, regr_slope(swing, yr) / avg(swing) AS a, regr_slope(sd, yr) / avg(sd) AS b, regr_slope(cv, yr) / avg(cv) AS c, regr_slope(rg, yr) / avg(rg) AS e FROM y GROUP BY 1)
-SELECT nation, round(a, 6) AS swing, round(b, 6) AS std, round((a - e + 10 * c + 10 * b) / (abs(a) + abs(e) + abs(10 * c) + abs(10 * b)), 6) AS volatility FROM s""")
+SELECT nation, round(a, 6) AS swing, round(b, 6) AS std, coalesce(round((a - e + 10 * c + 10 * b) / (abs(a) + abs(e) + abs(10 * c) + abs(10 * b)), 6), 0) AS volatility FROM s""")
 def _(t):
     d = monthly(t).withColumn("d", F.abs(F.col("value") - F.lag("value").over(W.by_time(["nation"], "mi"))))
     y = d.groupBy("nation", "yr").agg(F.count(F.lit(1)).alias("m"), F.avg("d").alias("swing"), F.stddev_samp("value").alias("sd"), (F.stddev_pop("value") / F.avg("value")).alias("cv"),
@@ -90,13 +90,13 @@ def _(t):
 
 @query("q05_model_skill", f"""
 WITH {MONTHLY}, p AS (SELECT o.nation, o.yr, o.value AS o, m.value AS m FROM monthly o JOIN monthly m ON o.nation = m.nation AND o.mi = m.mi + 12)
-SELECT nation, count(*) AS n, round(avg(m - o), 4) AS bias, round(sqrt(avg((m - o) * (m - o))), 3) AS rmse, round(avg(abs(m - o)), 4) AS mae, count(*) FILTER (o > m) AS n_above, count(*) FILTER (o < m) AS n_below,
+SELECT nation, count(*) AS n, round(avg(m - o), 6) AS bias, round(sqrt(avg((m - o) * (m - o))), 3) AS rmse, round(avg(abs(m - o)), 6) AS mae, count(*) FILTER (o > m) AS n_above, count(*) FILTER (o < m) AS n_below,
   round(100.0 * count(*) FILTER (o BETWEEN m * 0.7 AND m * 1.3) / count(*), 6) AS pct_inside FROM p GROUP BY 1""")
 def _(t):
     o = monthly(t).select("nation", "mi", F.col("value").alias("o"))
     m = monthly(t).select("nation", (F.col("mi") + 12).alias("mi"), F.col("value").alias("m"))
     out = S.skill_scores(join_keys(o, m, ["nation", "mi"]), ["nation"], F.col("o"), F.col("m"), F.col("m") * 0.7, F.col("m") * 1.3)
-    return rounded(rounded(rounded(out, 4, "bias", "mae"), 3, "rmse"), 6, "pct_inside")
+    return rounded(rounded(out, 6, "bias", "mae", "pct_inside"), 3, "rmse")
 
 
 @query("q06_gauge_regions", f"""

@@ -75,10 +75,10 @@ i AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY x, y) AS id FRO
 s AS (SELECT a.p_brand, sum(sign(b.x - a.x) * sign(b.y - a.y)) AS s FROM i a JOIN i b ON a.p_brand = b.p_brand AND a.id < b.id GROUP BY 1),
 tx AS (SELECT p_brand, sum(c) AS n, sum(c * (c - 1) / 2.0) AS p, sum(c * (c - 1) * (2 * c + 5)) AS v, sum(c * (c - 1) * (c - 2)) AS v2 FROM (SELECT p_brand, x, count(*) AS c FROM d GROUP BY 1, 2) GROUP BY 1),
 ty AS (SELECT p_brand, sum(c * (c - 1) / 2.0) AS p, sum(c * (c - 1) * (2 * c + 5)) AS v, sum(c * (c - 1) * (c - 2)) AS v2 FROM (SELECT p_brand, y, count(*) AS c FROM d GROUP BY 1, 2) GROUP BY 1),
-z AS (SELECT p_brand, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, s / sqrt((n * (n - 1) / 2.0 - tx.p) * (n * (n - 1) / 2.0 - ty.p)) AS tau_b,
- s / sqrt((n * (n - 1) * (2 * n + 5) - tx.v - ty.v) / 18.0 + 2.0 * tx.p * ty.p / (n * (n - 1)) + tx.v2 * ty.v2 / (9.0 * n * (n - 1) * (n - 2))) AS z
+z AS (SELECT p_brand, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, s / nullif(sqrt((n * (n - 1) / 2.0 - tx.p) * (n * (n - 1) / 2.0 - ty.p)), 0) AS tau_b,
+ s / nullif(sqrt((n * (n - 1) * (2 * n + 5) - tx.v - ty.v) / 18.0 + 2.0 * tx.p * ty.p / (n * (n - 1)) + coalesce(tx.v2 * ty.v2 / nullif(9.0 * n * (n - 1) * (n - 2), 0), 0)), 0) AS z
  FROM s JOIN tx USING (p_brand) JOIN ty USING (p_brand))
-SELECT p_brand, n, s, round(tau_b, 6) AS tau_b, round(z, 6) AS z, round(""" + p_normal("z") + """, 6) AS p_value FROM z""")
+SELECT p_brand, n, s, round(tau_b, 6) AS tau_b, round(z, 6) AS z, CASE WHEN z IS NOT NULL THEN round(""" + p_normal("z") + """, 6) END AS p_value FROM z""")
 def _(t):
     p = t.part.select("p_brand", F.col("p_size").alias("x"), F.floor(F.col("p_retailprice") / 10).alias("y"))
     return rounded(S.kendall_tau_b(p, ["p_brand"], "x", "y", n=None), 6, "tau_b", "z", "p_value")

@@ -243,7 +243,7 @@ def _(t):
 WITH s AS (SELECT c_nationkey AS nation, year(o_orderdate) + CASE WHEN month(o_orderdate) = 12 THEN 1 ELSE 0 END AS sy, {SEASON} AS season, round(avg(o_totalprice), 4) AS v
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
 c AS (SELECT nation, sy, max(v) FILTER (season = CASE WHEN nation % 2 = 0 THEN 'JJA' ELSE 'DJF' END) - max(v) FILTER (season = CASE WHEN nation % 2 = 0 THEN 'DJF' ELSE 'JJA' END) AS d FROM s GROUP BY 1, 2)
-SELECT nation, count(d) AS n, round(regr_slope(d, sy), 3) AS slope, round(regr_r2(d, sy), 6) AS r2 FROM c WHERE d IS NOT NULL GROUP BY 1""")
+SELECT nation, count(d) AS n, CASE WHEN count(d) < 3 THEN 0 ELSE round(regr_slope(d, sy), 3) END::DOUBLE AS slope, CASE WHEN count(d) < 3 THEN 0 ELSE round(regr_r2(d, sy), 6) END::DOUBLE AS r2 FROM c WHERE d IS NOT NULL GROUP BY 1""")
 def _(t):
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nation"), "o_orderdate", "o_totalprice")
     s = rounded(season_mean(o, ["nation"], "o_orderdate", "o_totalprice"), 4, "mean_value")
