@@ -17,7 +17,7 @@ def mega(t):
 
 # Every step of the series, missing ones as 0 after mean removal.
 DENSE = f"""{MPRIO}, sp AS (SELECT priority, min(mi) AS i0, max(mi) - min(mi) + 1 AS n, avg(value / 1e6) AS m FROM mprio GROUP BY 1),
-st AS (SELECT priority, i0, n, m, unnest(range(0, n)) AS i FROM sp), dn AS (SELECT st.priority, n, i, coalesce(value / 1e6 - m, 0) AS x FROM st LEFT JOIN mprio p ON p.priority = st.priority AND p.mi = i0 + i)"""
+st AS (SELECT priority, i0, n, m, unnest(range(0, n)) AS i FROM sp), dn AS (SELECT st.priority, st.n AS n, i, coalesce(value / 1e6 - m, 0) AS x FROM st LEFT JOIN mprio p ON p.priority = st.priority AND p.mi = i0 + i)"""
 
 
 @query("h01_periodogram", f"""

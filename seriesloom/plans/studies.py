@@ -78,7 +78,7 @@ def _(t):
 WITH {MONTHLY}, d AS (SELECT nation, yr, value, abs(value - lag(value) OVER (PARTITION BY nation ORDER BY mi)) AS d FROM monthly),
 y AS (SELECT nation, yr, avg(d) AS swing, stddev_samp(value) AS sd, stddev_pop(value) / avg(value) AS cv, max(value) - min(value) AS rg FROM d GROUP BY 1, 2 HAVING count(*) = 12),
 s AS (SELECT nation, regr_slope(swing, yr) / avg(swing) AS a, regr_slope(sd, yr) / avg(sd) AS b, regr_slope(cv, yr) / avg(cv) AS c, regr_slope(rg, yr) / avg(rg) AS e FROM y GROUP BY 1)
-SELECT nation, round(a, 6) AS swing, round(b, 6) AS std, coalesce(round((a - e + 10 * c + 10 * b) / (abs(a) + abs(e) + abs(10 * c) + abs(10 * b)), 6), 0) AS volatility FROM s""")
+SELECT nation, round(a, 6) AS swing, round(b, 6) AS std, CASE WHEN isfinite((a - e + 10 * c + 10 * b) / (abs(a) + abs(e) + abs(10 * c) + abs(10 * b))) THEN round((a - e + 10 * c + 10 * b) / (abs(a) + abs(e) + abs(10 * c) + abs(10 * b)), 6) ELSE 0 END AS volatility FROM s""")
 def _(t):
     d = monthly(t).withColumn("d", F.abs(F.col("value") - F.lag("value").over(W.by_time(["nation"], "mi"))))
     y = d.groupBy("nation", "yr").agg(F.count(F.lit(1)).alias("m"), F.avg("d").alias("swing"), F.stddev_samp("value").alias("sd"), (F.stddev_pop("value") / F.avg("value")).alias("cv"),
