@@ -42,11 +42,12 @@ def nation_returns(t):
 
 
 @query("p03_benchmark", f"""
-WITH {MRETN} SELECT count(*) AS n, round(exp(sum(ln(1 + ew_return))) - 1, 6) AS total_return, round(pow(exp(sum(ln(1 + ew_return))), 1 / 6.5) - 1, 6) AS annualised,
+WITH {MRETN} SELECT count(*) AS n, round(sum(ln(1 + ew_return)), 8) AS log_total, round(pow(exp(sum(ln(1 + ew_return))), 1 / 6.5) - 1, 6) AS annualised,
   round(avg(ew_return) / stddev_samp(ew_return) * sqrt(12), 6) AS sharpe FROM ew""")
 def _(t):
     ew = P.equal_weight(nation_returns(t), "mi", "r")
-    return rounded(P.performance(ew, [], "ew_return", F.lit(6.5)), 6, "total_return", "annualised", "sharpe")
+    perf = P.performance(ew, [], "ew_return", F.lit(6.5)).withColumn("log_total", F.log1p("total_return")).drop("total_return")
+    return rounded(rounded(perf, 6, "annualised", "sharpe"), 8, "log_total")
 
 
 @query("p04_comparison", f"""

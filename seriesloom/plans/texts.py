@@ -161,18 +161,21 @@ def claim_rows(t):
     return c.select((F.col("doc_id") * 100 + F.col("rank")).alias("claim_id"), "doc_id", F.concat_ws("-", F.lit("q"), (F.col("doc_id") % 5).cast("string")).alias("question"), "claim", "informativeness")
 
 
-@query("l10_dedup_near")
-def _(t):
-    kept = E.dedup_near(t.documents.select("doc_id", "lang", "text"), ["lang"], "doc_id", "text")
-    return kept.select("doc_id", "lang")
-
-
 PAIR_TERMS = f"""dt AS (SELECT doc_id, lang, list_sort(list_filter(list_distinct({Q.words_of('text')}), lambda w: NOT list_contains({Q.words_list(L.CLAIM_STOP_WORDS)}, w))) AS s FROM documents),
 fs AS (SELECT lang, s, min(doc_id) AS doc_id FROM dt WHERE len(s) > 0 GROUP BY 1, 2),
 pr AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM fs a JOIN fs b ON a.lang = b.lang AND a.doc_id < b.doc_id
   AND least(len(a.s), len(b.s)) > 0.6 * greatest(len(a.s), len(b.s)))"""
 
 
+@query("l10_dedup_near", f"""
+WITH RECURSIVE {PAIR_TERMS}, w AS (SELECT doc_id, lang, (SELECT list(a) FROM pr WHERE b = fs.doc_id AND j > 0.6) AS ws, row_number() OVER (ORDER BY doc_id) AS r FROM fs),
+g(r, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.r, CASE WHEN ws IS NULL OR NOT list_has_any(kept, ws) THEN list_append(kept, doc_id) ELSE kept END FROM g JOIN w ON w.r = g.r + 1),
+k AS (SELECT unnest(kept) AS doc_id FROM g WHERE r = (SELECT count(*) FROM w)) SELECT doc_id, lang FROM documents JOIN k USING (doc_id)""")
+def _(t):
+    kept = E.dedup_near(t.documents.select("doc_id", "lang", "text"), ["lang"], "doc_id", "text")
+    return kept.select("doc_id", "lang")
+
+
 @query("l10_similar_pairs", f"WITH {PAIR_TERMS} SELECT lang, a, b, round(j, 8) AS jaccard FROM pr WHERE j > 0.6")
 def _(t):
     d = t.documents.select("doc_id", "lang", T.claim_terms(F.col("text")).alias("s")).filter(F.size("s") > 0)

@@ -202,7 +202,12 @@ def _(t):
     return rounded(rounded(out.drop("pre_slope", "post_slope"), 3, "change"), 6, "z")
 
 
-@query("e13_breakpoint_windowed")
+@query("e13_breakpoint_windowed", f"""
+WITH {MPRIO}, cuts AS (SELECT unnest(range(20, 61, 5))::DOUBLE AS cut), tried AS (SELECT priority, mi, ln(value) AS value, cut FROM mprio, cuts),
+pre AS ({line_sql('tried', 'priority, cut', 'mi', 'value', 'WHERE mi < cut AND mi >= cut - 15')}), post AS ({line_sql('tried', 'priority, cut', 'mi', 'value', 'WHERE mi >= cut AND mi < cut + 15')}),
+z AS (SELECT priority, cut, a.slope AS s0, b.slope AS s1, (b.slope - a.slope) / sqrt(a.se * a.se + b.se * b.se) AS z FROM pre a JOIN post b USING (priority, cut) WHERE a.n >= 10 AND b.n >= 10),
+q AS (SELECT *, count(*) OVER (PARTITION BY priority) AS n_tested, row_number() OVER (PARTITION BY priority ORDER BY abs(z) DESC, cut) AS i FROM z)
+SELECT priority, n_tested, cut, round(s0, 6) AS pre_slope, round(s1, 6) AS post_slope, round(s1 - s0, 6) AS change, round(z, 6) AS z, round({p_normal('z')}, 6) AS p_difference FROM q WHERE i = 1""")
 def _(t):
     out = S.breakpoint_scan(monthly_priority(t).withColumn("lv", F.log("value")), ["priority"], "mi", "lv", range(20, 61, 5), window=15.0)
     return rounded(out, 6, "pre_slope", "post_slope", "change", "z", "p_difference")
@@ -406,11 +411,11 @@ WITH {MPRIO}, s AS (SELECT priority, avg(value) FILTER (mi BETWEEN 0 AND 23) AS
   avg(value) FILTER (mi BETWEEN 36 AND 47) AS trans, avg(value) FILTER (mi BETWEEN 48 AND 78) AS post,
   arg_max(mi, value) FILTER (mi BETWEEN 24 AND 47) AS pm, max(value) FILTER (mi BETWEEN 24 AND 47) AS pv FROM mprio GROUP BY 1),
 h AS (SELECT s.priority, min(mi - pm) AS hl FROM s JOIN mprio USING (priority) WHERE mi > pm AND pv > pre AND value <= pre + (pv - pre) * 0.5 GROUP BY 1)
-SELECT priority, round(pre, 4) AS pre_mean, round(peak, 4) AS peak_mean, round(trans, 4) AS transition_mean, round(post, 4) AS post_mean, CAST(pm AS BIGINT) AS peak_month,
+SELECT priority, round(pre, 5) AS pre_mean, round(peak, 5) AS peak_mean, round(trans, 5) AS transition_mean, round(post, 5) AS post_mean, CAST(pm AS BIGINT) AS peak_month,
   pv AS peak_value, round(pv / pre, 6) AS peak_ratio, round(100 * (post - pre) / pre, 6) AS dividend_pct, round(post / peak, 6) AS retention, CAST(hl AS DOUBLE) AS half_life FROM s LEFT JOIN h USING (priority)""")
 def _(t):
     out = S.period_attention(monthly_priority(t), ["priority"], "mi", "value", {"pre": (0, 23), "peak": (24, 35), "transition": (36, 47), "post": (48, 78)}, 100.0)
-    out = rounded(rounded(out, 4, "pre_mean", "peak_mean", "transition_mean", "post_mean"), 6, "peak_ratio", "dividend_pct", "retention")
+    out = rounded(rounded(out, 5, "pre_mean", "peak_mean", "transition_mean", "post_mean"), 6, "peak_ratio", "dividend_pct", "retention")
     return out.withColumns({"peak_month": F.col("peak_month").cast("bigint"), "half_life": F.col("half_life").cast("double")})
 
 

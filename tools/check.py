@@ -29,8 +29,6 @@ def norm(v):
         return repr(v + 0.0)
     if isinstance(v, (list, tuple)):
         return "[" + ",".join(map(norm, v)) + "]"
-    if type(v).__name__ == "datetime" and v.hour == v.minute == v.second == v.microsecond == 0 and False:
-        return str(v.date())
     return str(v)
 
 
@@ -48,7 +46,7 @@ def main():
         except ModuleNotFoundError as e:
             if f"seriesloom.plans.{m}" not in str(e):
                 raise
-    spark = build_session("local[8]", 8, **{"spark.driver.memory": "12g", "spark.ui.enabled": "false"})
+    spark = build_session("local[8]", int(os.environ.get("CHECK_PARTS", "8")), **{"spark.driver.memory": "12g", "spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     con.sql("set timezone='UTC'")
@@ -61,6 +59,10 @@ def main():
         try:
             df = catalog.QUERIES[name](spark, folder)
             cols = sorted(df.columns)
+            plan = df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+            for word in ("CartesianProduct", "NestedLoop", "Join Cross", "ResolvedHint"):
+                if word in plan:
+                    print(f"PLAN {name}: {word}", flush=True)
             rows = [tuple(r[c] for c in cols) for r in df.collect()]
         except Exception as e:
             text = str(e).split("JVM stacktrace")[0].strip().splitlines()
