@@ -23,21 +23,20 @@ def with_segment(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
     """Add the range segment of `order`: the number of global quantile bounds strictly below it (0 .. n-1).
 
     The bounds come from one `percentile_approx` inside a scalar subquery; the lookup is a binary search in
-    log2(n) steps over the bounds array. NULL order values fall into segment 0.
+    log2(n) steps over the bounds array. Bounds only set the balance, never the result, so they may be rough. NULL
+    order values fall into segment 0.
     """
     n = n or segments(df.sparkSession)
     probs = [i / n for i in range(1, n)]
     numeric = _numeric(df, order)
     bounds = df.select(numeric.alias("o")).agg(
-        F.percentile_approx("o", probs, max(10000, 10 * n)).alias("b")).scalar()
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(n.bit_length() - 1))])
-    return (
-        df.withColumn("__bounds", bounds)
-        .withColumn(SEG, F.aggregate(
-            steps, F.lit(0),
-            lambda pos, step: F.when(F.get(F.col("__bounds"), pos + step - 1) < numeric, pos + step).otherwise(pos)))
-        .drop("__bounds")
-    )
+        F.percentile_approx("o", probs, max(1000, 4 * n)).alias("b")).scalar()
+    out = df.withColumns({"__bounds": bounds, "__order": numeric, SEG: F.lit(0)})
+    for power in reversed(range(n.bit_length() - 1)):
+        step = 1 << power
+        # one projection per step keeps the search inside generated code without repeating sub-expressions
+        out = out.withColumn(SEG, F.col(SEG) + F.when(F.get("__bounds", F.col(SEG) + (step - 1)) < F.col("__order"), step).otherwise(0))
+    return out.drop("__bounds", "__order")
 
 
 def _numeric(df: DataFrame, name: str) -> Column:

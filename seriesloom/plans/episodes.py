@@ -147,9 +147,9 @@ def _(t):
 WITH {MEMBERS}, k AS (SELECT episode, avg(peak / median) AS sr FROM mem GROUP BY 1), r AS (SELECT episode, sr, rank() OVER (ORDER BY sr) AS rk FROM k)
 SELECT count(*) AS n, CASE WHEN count(*) < 3 THEN 0 ELSE round(regr_slope(sr, episode), 6) END::DOUBLE AS slope, CASE WHEN count(*) < 3 THEN 0 ELSE round(corr(episode, rk), 6) END::DOUBLE AS rho FROM r""")
 def _(t):
-    prof = E.episode_profile(index(t), members(t), eps(t), "di").withColumn("sr", F.col("severity_ratio")).withColumn("all", F.lit(0))
-    line = ols_trend(prof, ["all"], "episode", "sr", tests=False).select("all", "n", F.round("slope", 6).alias("slope"))
-    return line.join(spearman(prof, ["all"], "episode", "sr", n=1, tests=False).select("all", F.round("rho", 6).alias("rho")), "all").drop("all")
+    prof = E.episode_profile(index(t), members(t), eps(t), "di").select("episode", F.col("severity_ratio").alias("sr"))
+    rho = spearman(prof, [], "episode", "sr", n=1, tests=False).select(F.round("rho", 6)).scalar()
+    return ols_trend(prof, [], "episode", "sr", tests=False).select("n", F.round("slope", 6).alias("slope")).withColumn("rho", rho)
 
 
 @query("g09_metric_anomalies", f"""

@@ -23,7 +23,7 @@ from seriesloom.plans.joining import CATALOGUE, catalogue
 from seriesloom.plans.portfolios import DATES, SIGNAL, signals
 from seriesloom.plans.sourcing import BASIN_VALUES, REGION_CASE
 from seriesloom.plans.sqlstats import p_normal, p_t
-from seriesloom.plans.trends import MK_SQL, line_sql
+from seriesloom.plans.trends import MK_SQL, curve_sql, line_sql, valley_sql
 from seriesloom.plans.windowing import long_cols
 from seriesloom.session import checkpointed
 from seriesloom.sources import dimensions as D
@@ -190,7 +190,9 @@ def _(t):
     return A.crosstab(p, "planet", "bin", [b[2] for b in K.PERIOD_BINS])
 
 
-@query("q11_radius_valley")
+@query("q11_radius_valley", f"""
+WITH qc AS (SELECT p_type, v, CASE WHEN f > 0 THEN 1.0 / (f * v * f * v) ELSE 1.0 END AS wt FROM (SELECT p_type, p_retailprice AS v, CASE WHEN p_size % 3 = 0 THEN greatest(p_size * 0.9, p_size * 1.1) ELSE p_size * 0.9 END / p_retailprice AS f FROM part)
+  WHERE v BETWEEN 900 AND 1000 AND f <= 0.2), {curve_sql('qc', 'p_type', 'v', 'wt', 0.0015, 2.95, 3.0, 400)}, {valley_sql('cv', 'p_type')}""")
 def _(t):
     """Quality cuts, weights, log density and its valley per part type."""
     src = t.part.select("p_partkey", "p_type", "p_retailprice", (F.col("p_size") * 0.9).alias("up"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") * -1.1).alias("down"))

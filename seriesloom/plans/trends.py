@@ -342,7 +342,22 @@ def _(t):
     return out.select(F.col("g").cast("bigint").alias("g"), F.round("density", 6).alias("density"))
 
 
-@query("e22_valley_detect")
+def valley_sql(curve: str, key: str) -> str:
+    """CTEs from a density curve (key, g, x, density) to the lowest point between its two tallest separated peaks."""
+    return f"""pk AS (SELECT *, max(density) OVER (PARTITION BY {key} ORDER BY g ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM {curve}),
+t2 AS (SELECT {key}, g, x, density FROM pk WHERE density = top QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY density DESC, g) <= 2),
+en AS (SELECT {key}, min(g) AS g1, max(g) AS g2, min(x) AS peak_low, max(x) AS peak_high, min(density) AS lower_peak FROM t2 GROUP BY 1 HAVING count(*) = 2),
+vl AS (SELECT {key}, peak_low, peak_high, lower_peak, arg_min(x, (density, g)) AS valley, min(density) AS vd FROM {curve} JOIN en USING ({key}) WHERE g > g1 AND g < g2 GROUP BY 1, 2, 3, 4)
+SELECT {key}, round(peak_low, 6) AS peak_low, round(peak_high, 6) AS peak_high, round(lower_peak, 6) AS lower_peak, round(valley, 6) AS valley, round(vd, 6) AS valley_density, round(1 - vd / lower_peak, 6) AS depth FROM vl"""
+
+
+def curve_sql(source: str, key: str, value: str, weight: str, h: float, low: float, high: float, points: int) -> str:
+    step = f"({high - low} / {points - 1}.0)"
+    return f"""ms AS (SELECT {key}, log10({value}) AS lv, sum({weight}) AS w FROM {source} GROUP BY 1, 2), tw AS (SELECT {key}, sum(w) AS s FROM ms GROUP BY 1), gr AS (SELECT unnest(range(0, {points})) AS g),
+cv AS (SELECT {key}, g, pow(10, {low} + g * {step}) AS x, sum(w / s * exp(-0.5 * pow((lv - ({low} + g * {step})) / {h}, 2)) / ({h} * sqrt(2 * pi()))) AS density FROM ms JOIN tw USING ({key}), gr GROUP BY 1, 2)"""
+
+
+@query("e22_valley_detect", f"WITH {curve_sql('lineitem', 'l_returnflag', 'l_extendedprice', '1.0', 0.04, 2.5, 5.2, 400)}, {valley_sql('cv', 'l_returnflag')}")
 def _(t):
     curve = S.weighted_kde(t.lineitem, ["l_returnflag"], "l_extendedprice", F.lit(1.0), 0.04, 2.5, 5.2, 400)
     return rounded(S.valley_detect(curve, ["l_returnflag"]), 6, "peak_low", "peak_high", "lower_peak", "valley", "valley_density", "depth")
