@@ -551,22 +551,43 @@ def weighted_kde(df: DataFrame, keys: Sequence[str], value: str, weight: Column,
 
 
 def valley_detect(curve: DataFrame, keys: Sequence[str], grid: str = "g", x: str = "x", density: str = "density",
-                  reach: int = 5) -> DataFrame:
-    """Two tallest peaks of a density curve, the lowest point between them and its depth. Curves have grid length."""
+                  reach: int = 5, min_gap: float = 0.08) -> DataFrame:
+    """Two tallest peaks more than `min_gap` apart in log10(x), the lowest point between them, its depth against their
+    mean and its width at half depth (log10).
+
+    A peak exceeds every value within `reach` grid points; with fewer than two such peaks three points are enough.
+    Curves have grid length, so windows are bounded.
+    """
     keys = list(keys)
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(grid)
-    around = F.max(density).over(w.rowsBetween(-reach, reach))
-    peaks = curve.withColumn("__top", around).filter(F.col("__top") == F.col(density))
-    order = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.desc(density), grid)
-    two = peaks.withColumn("__r", F.row_number().over(order)).filter("__r <= 2")
-    ends = two.groupBy(*keys).agg(F.min(grid).alias("g1"), F.max(grid).alias("g2"), F.min(x).alias("peak_low"),
-                                  F.max(x).alias("peak_high"), F.min(density).alias("lower_peak"), F.count(F.lit(1)).alias("__n"))
-    ends = ends.filter(F.col("__n") == 2).drop("__n")
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    w, d = by.orderBy(grid), F.col(density)
+
+    def tops(k: int) -> Column:
+        return (d > F.max(density).over(w.rowsBetween(-k, -1))) & (d > F.max(density).over(w.rowsBetween(1, k)))
+
+    marked = curve.withColumns({"__wide": F.coalesce(tops(reach), F.lit(False)), "__near": F.coalesce(tops(3), F.lit(False))})
+    marked = marked.withColumn("__enough", F.count_if("__wide").over(by) >= 2)
+    peaks = marked.filter(F.when(F.col("__enough"), F.col("__wide")).otherwise(F.col("__near"))).select(*keys, grid, F.log10(x).alias("__lx"), x, density)
+    tallest = F.struct(density, grid)
+    peaks = peaks.withColumn("__p1", F.max_by(F.struct(grid, "__lx", x, density), tallest).over(by))
+    apart = F.abs(F.col("__lx") - F.col("__p1.__lx")) > min_gap
+    two = peaks.groupBy(*keys).agg(F.any_value("__p1").alias("a"), F.max_by(F.struct(grid, "__lx", x, density), F.when(apart, tallest)).alias("b")).filter(F.col("b").isNotNull())
+    first = F.col(f"a.{grid}") < F.col(f"b.{grid}")
+    lo, hi = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    ends = two.select(*keys, lo[grid].alias("g1"), hi[grid].alias("g2"), lo[x].alias("peak_low"), hi[x].alias("peak_high"),
+                      lo[density].alias("low_density"), hi[density].alias("high_density"))
     inner = join_keys(curve, ends, keys) if keys else curve.withColumn("__e", ends.agg(F.first(F.struct("*"))).scalar()).select("*", "__e.*")
-    inner = inner.filter((F.col(grid) > F.col("g1")) & (F.col(grid) < F.col("g2")))
-    low = inner.groupBy(*keys, "peak_low", "peak_high", "lower_peak").agg(
-        F.min_by(x, F.struct(density, grid)).alias("valley"), F.min(density).alias("valley_density"))
-    return low.withColumn("depth", 1 - ratio(F.col("valley_density"), F.col("lower_peak")))
+    inner = inner.filter(F.col(grid).between(F.col("g1"), F.col("g2")))
+    names = ["peak_low", "peak_high", "low_density", "high_density"]
+    inner = inner.withColumn("__v", F.min_by(F.struct(grid, x, density), F.struct(density, grid)).over(by))
+    mean = (F.col("low_density") + F.col("high_density")) / 2
+    vd = F.col(f"__v.{density}")
+    above = d >= vd + (mean - vd) / 2
+    left = F.max(F.when(above & (F.col(grid) <= F.col(f"__v.{grid}")), F.log10(x)))
+    right = F.min(F.when(above & (F.col(grid) >= F.col(f"__v.{grid}")), F.log10(x)))
+    out = inner.groupBy(*keys, *names).agg(F.any_value("__v").alias("v"), (right - left).alias("width_log"))
+    return out.select(*keys, *names, F.col(f"v.{x}").alias("valley"), F.col(f"v.{density}").alias("valley_density"),
+                      (1 - ratio(F.col(f"v.{density}"), mean)).alias("depth"), "width_log")
 
 
 def weighted_line_fit(df: DataFrame, keys: Sequence[str], x: Column, y: Column, sigma: Column) -> DataFrame:

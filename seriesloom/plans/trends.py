@@ -342,13 +342,20 @@ def _(t):
     return out.select(F.col("g").cast("bigint").alias("g"), F.round("density", 6).alias("density"))
 
 
-def valley_sql(curve: str, key: str) -> str:
+def valley_sql(curve: str, key: str, min_gap: float) -> str:
     """CTEs from a density curve (key, g, x, density) to the lowest point between its two tallest separated peaks."""
-    return f"""pk AS (SELECT *, max(density) OVER (PARTITION BY {key} ORDER BY g ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS top FROM {curve}),
-t2 AS (SELECT {key}, g, x, density FROM pk WHERE density = top QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY density DESC, g) <= 2),
-en AS (SELECT {key}, min(g) AS g1, max(g) AS g2, min(x) AS peak_low, max(x) AS peak_high, min(density) AS lower_peak FROM t2 GROUP BY 1 HAVING count(*) = 2),
-vl AS (SELECT {key}, peak_low, peak_high, lower_peak, arg_min(x, (density, g)) AS valley, min(density) AS vd FROM {curve} JOIN en USING ({key}) WHERE g > g1 AND g < g2 GROUP BY 1, 2, 3, 4)
-SELECT {key}, round(peak_low, 6) AS peak_low, round(peak_high, 6) AS peak_high, round(lower_peak, 6) AS lower_peak, round(valley, 6) AS valley, round(vd, 6) AS valley_density, round(1 - vd / lower_peak, 6) AS depth FROM vl"""
+    def tops(k: int) -> str:
+        return (f"coalesce(density > max(density) OVER (PARTITION BY {key} ORDER BY g ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AND "
+                f"density > max(density) OVER (PARTITION BY {key} ORDER BY g ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING), FALSE)")
+
+    return f"""mk AS (SELECT *, {tops(5)} AS wide, {tops(3)} AS near FROM {curve}), en AS (SELECT *, count(*) FILTER (wide) OVER (PARTITION BY {key}) >= 2 AS enough FROM mk),
+pk AS (SELECT {key}, g, log10(x) AS lx, x, density FROM en WHERE CASE WHEN enough THEN wide ELSE near END), p1 AS (SELECT * FROM pk QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY density DESC, g DESC) = 1),
+p2 AS (SELECT pk.* FROM pk JOIN p1 USING ({key}) WHERE abs(pk.lx - p1.lx) > {min_gap} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY pk.density DESC, pk.g DESC) = 1),
+ee AS (SELECT {key}, least(a.g, b.g) AS g1, greatest(a.g, b.g) AS g2, least(a.x, b.x) AS peak_low, greatest(a.x, b.x) AS peak_high, CASE WHEN a.g < b.g THEN a.density ELSE b.density END AS ld, CASE WHEN a.g < b.g THEN b.density ELSE a.density END AS hd
+  FROM p1 a JOIN p2 b USING ({key})), ins AS (SELECT * FROM {curve} JOIN ee USING ({key}) WHERE g BETWEEN g1 AND g2), vl AS (SELECT {key}, arg_min(g, (density, g)) AS vg, arg_min(x, (density, g)) AS vx, min(density) AS vd FROM ins GROUP BY 1),
+wd AS (SELECT {key}, min(log10(x)) FILTER (g >= vg AND density >= vd + ((ld + hd) / 2 - vd) / 2) - max(log10(x)) FILTER (g <= vg AND density >= vd + ((ld + hd) / 2 - vd) / 2) AS width FROM ins JOIN vl USING ({key}) GROUP BY 1)
+SELECT {key}, round(peak_low, 6) AS peak_low, round(peak_high, 6) AS peak_high, round(ld, 6) AS low_density, round(hd, 6) AS high_density, round(vx, 6) AS valley, round(vd, 6) AS valley_density, round(1 - vd / ((ld + hd) / 2), 6) AS depth, round(width, 6) AS width_log
+FROM ee JOIN vl USING ({key}) JOIN wd USING ({key})"""
 
 
 def curve_sql(source: str, key: str, value: str, weight: str, h: float, low: float, high: float, points: int) -> str:
@@ -357,10 +364,10 @@ def curve_sql(source: str, key: str, value: str, weight: str, h: float, low: flo
 cv AS (SELECT {key}, g, pow(10, {low} + g * {step}) AS x, sum(w / s * exp(-0.5 * pow((lv - ({low} + g * {step})) / {h}, 2)) / ({h} * sqrt(2 * pi()))) AS density FROM ms JOIN tw USING ({key}), gr GROUP BY 1, 2)"""
 
 
-@query("e22_valley_detect", f"WITH {curve_sql('lineitem', 'l_returnflag', 'l_extendedprice', '1.0', 0.04, 2.5, 5.2, 400)}, {valley_sql('cv', 'l_returnflag')}")
+@query("e22_valley_detect", f"WITH {curve_sql('lineitem', 'l_returnflag', 'l_extendedprice', '1.0', 0.04, 2.5, 5.2, 400)}, {valley_sql('cv', 'l_returnflag', 0.08)}")
 def _(t):
     curve = S.weighted_kde(t.lineitem, ["l_returnflag"], "l_extendedprice", F.lit(1.0), 0.04, 2.5, 5.2, 400)
-    return rounded(S.valley_detect(curve, ["l_returnflag"]), 6, "peak_low", "peak_high", "lower_peak", "valley", "valley_density", "depth")
+    return rounded(S.valley_detect(curve, ["l_returnflag"]), 6, "peak_low", "peak_high", "low_density", "high_density", "valley", "valley_density", "depth", "width_log")
 
 
 @query("e23_weighted_line_fit", """

@@ -141,6 +141,7 @@ def test_valley_between_two_peaks(spark):
     y = np.exp(-(x - 3) ** 2) + 0.8 * np.exp(-(x - 7) ** 2)
     row = S.valley_detect(spark.createDataFrame(pd.DataFrame({"k": 1, "g": np.arange(201), "x": x, "density": y})), ["k"]).first()
     assert row.peak_low == pytest.approx(3, abs=0.1) and row.peak_high == pytest.approx(7, abs=0.1) and 4.5 < row.valley < 5.5
+    assert row.depth == pytest.approx(1 - row.valley_density / 0.9, abs=1e-3) and row.width_log > 0
 
 
 def test_decadal_blocks_skip_first(spark):
