@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.pvalues import p_value, t_critical
 from seriesloom.operators.aggregates import ratio
-from seriesloom.operators.joins import neighbourhood_join, series_pairs
-from seriesloom.operators.split import (exact_quantiles, join_keys, running_sums, value_positions, with_group_stats)
+from seriesloom.operators.joins import series_pairs
+from seriesloom.operators.split import (join_keys, running_sums, value_positions, with_group_stats)
 
 
 # ---- linear trends -------------------------------------------------------------------------------------------

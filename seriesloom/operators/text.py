@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import wordlists as L
-from seriesloom.functions.literals import ladder
 from seriesloom.operators.ranking import top_k_per_group
 
 SEP = "\u0001"

@@ -3,15 +3,13 @@
 from pyspark.sql import functions as F
 
 from seriesloom.operators import episodes as E
-from seriesloom.operators.aggregates import ratio
 from seriesloom.operators.joins import series_pairs
-from seriesloom.operators.split import with_group_stats
 from seriesloom.operators.stats import ols_trend, pearson, spearman
 from seriesloom.operators.windows import mean_pair_corr, rolling_event_counts, rolling_pair_corr
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded
 from seriesloom.plans.inputs import DAILY, HOURLY, MPRIO, daily, hourly, monthly_priority
-from seriesloom.plans.windowing import PAIR_WINDOW, long_cols, returns, seconds, windows_sql
+from seriesloom.plans.windowing import long_cols, returns, seconds, windows_sql
 
 
 def islands(src: str, key: str, t: str, cond: str, value: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.scalars import day_of_year_365, decade
 from seriesloom.operators import aggregates as A
 from seriesloom.plans.catalog import query
-from seriesloom.plans.inputs import DAILY, HOURLY, MONTHLY, MPRIO, daily, hourly, monthly, monthly_priority
+from seriesloom.plans.inputs import MONTHLY, MPRIO, monthly, monthly_priority
 
 
 def rounded(df, digits, *cols):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions import scalars as K
 from seriesloom.plans.catalog import query
-from seriesloom.plans.grouping import SEASON, rounded
+from seriesloom.plans.grouping import SEASON
 from seriesloom.plans.inputs import MONTHLY, monthly
 
 

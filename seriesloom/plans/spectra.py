@@ -6,7 +6,7 @@ from seriesloom.operators import spectral as H
 from seriesloom.operators.windows import autocorrelation
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded
-from seriesloom.plans.inputs import HOURLY, MPRIO, hourly, monthly_priority
+from seriesloom.plans.inputs import MPRIO, monthly_priority
 from seriesloom.plans.windowing import long_cols
 
 

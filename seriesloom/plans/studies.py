@@ -18,7 +18,7 @@ from seriesloom.operators.split import exact_quantiles, join_keys, row_positions
 from seriesloom.plans import texts as TX
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import SEASON, rounded
-from seriesloom.plans.inputs import DAILY, MONTHLY, MPRIO, daily, monthly, monthly_priority
+from seriesloom.plans.inputs import DAILY, MONTHLY, daily, monthly, monthly_priority
 from seriesloom.plans.joining import CATALOGUE, catalogue
 from seriesloom.plans.portfolios import DATES, SIGNAL, signals
 from seriesloom.plans.sourcing import BASIN_VALUES, REGION_CASE

@@ -1,11 +1,10 @@
 """Statistical queries."""
 
-import math
 
 from pyspark.sql import functions as F
 
 from seriesloom.operators import stats as S
-from seriesloom.operators.aggregates import event_gaps, significance_summary
+from seriesloom.operators.aggregates import significance_summary
 from seriesloom.operators.joins import neighbourhood_join
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded

@@ -1,9 +1,7 @@
 """Windows, episodes, spectra and streaming on small frames."""
 
-import math
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -1,6 +1,5 @@
 """Analytic and brute-force checks of the statistical operators."""
 
-import math
 
 import numpy as np
 import pandas as pd
