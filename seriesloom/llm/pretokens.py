@@ -76,3 +76,14 @@ class Cache(dict):
                 del self[old]
         value = self[key] = self.make(key)
         return value
+
+
+@lru_cache(maxsize=4)
+def piece_ids(config: str) -> Callable[[str], list[int]]:
+    """Ids of one pre-token of a byte-level vocabulary, by the library's own merges."""
+    tokenize, letters = library_tokenizer(config).model.tokenize, byte_letters()
+
+    def ids(piece: str) -> list[int]:
+        return [t.id for t in tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+
+    return ids

@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, quality_cascade, simhash_bk, source_mix, token_automaton, url_templates
+from seriesloom.llm import (
+    exact_dedup,
+    quality_cascade,
+    simhash_bk,
+    source_mix,
+    token_automaton,
+    token_counts,
+    token_file,
+    url_templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -181,3 +190,13 @@ def vocabulary(name: str) -> str:
 @query("op4_bpe_automaton")
 def bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_automaton.encoded(documents(spark, folder), vocabulary("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op5_token_counts")
+def counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_token_file")
+def token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file.token_round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
