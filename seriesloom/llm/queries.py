@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import (
     exact_dedup,
+    pii_semicrf,
     quality_cascade,
     simhash_bk,
     source_mix,
@@ -200,3 +201,9 @@ def counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_token_file")
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_file.token_round_trip(documents(spark, folder), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op6_personal_data")
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_semicrf.personal_data(documents(spark, folder))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
