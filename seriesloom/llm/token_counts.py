@@ -25,13 +25,13 @@ def frequent_pieces(docs: DataFrame, text: str = "text", frequent: int = FREQUEN
 
     Every text is read, but no pre-token is shuffled: each task keeps one sketch of `tracked` items, sketches are merged
     in 64 groups and then once, and `frequent` items reach the driver. The table only saves work, so an approximate rank
-    is enough.
+    is enough. The last merge is grouped too, since an ungrouped one fails on a partition without a sketch.
     """
     pieces = docs.select(F.explode(F.regexp_extract_all(whole(text), F.lit(JAVA_PATTERN), F.lit(0))).alias("piece"))
     pieces = pieces.where(F.length("piece") <= LONGEST_FREQUENT)
     group = F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")
     top = (pieces.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(piece, {tracked})").alias("sketch"))
-           .agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+           .groupBy(F.pmod("part", F.lit(1))).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
            .select(F.expr(f"approx_top_k_estimate(sketch, {frequent})").alias("top"))).first()
     return [x["item"] for x in (top["top"] or [])] if top else []
 
