@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import (
     exact_dedup,
+    passage_chains,
     pii_semicrf,
     quality_cascade,
     simhash_bk,
@@ -207,3 +208,8 @@ def token_ids(spark: SparkSession, folder: str) -> DataFrame:
 def private(spark: SparkSession, folder: str) -> DataFrame:
     found = pii_semicrf.personal_data(documents(spark, folder))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@query("op1_repeated_passages")
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_chains.repeated_passages(documents(spark, folder))
