@@ -46,10 +46,15 @@ def segments(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, which survives the loss of an executor."""
+    """Cut lineage through the shared checkpoint folder, which survives the loss of an executor.
+
+    A local session without `spark.checkpoint.dir` gets a temporary folder; on a cluster its absence is an error.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

@@ -119,4 +119,5 @@ def main():
     print(f"{len(names)} checked, {len(bad)} bad: {bad}")
 
 
-main()
+if __name__ == "__main__":
+    main()
