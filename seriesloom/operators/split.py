@@ -2,8 +2,8 @@
 
 A plain ``Window.partitionBy(key).orderBy(x)`` sends a whole key to one task. The helpers here cut the order axis
 into global quantile segments first, work inside (key, segment) and carry a one-row summary per segment forward.
-A segment holds about 1/n of *all* rows, so no (key, segment) group can be larger than that. Summaries hold at
-most n rows per key. Series already aggregated to calendar periods do not need this: their length is bounded by
+A segment holds about 1/n of *all* rows, so no (key, segment) group can be much larger than that, except where an order
+value that itself fills several segments has no tie column to cut it by. Summaries hold at most 3n rows per key. Series already aggregated to calendar periods do not need this: their length is bounded by
 the calendar, and the windowed operators use plain windows on them.
 """
 
@@ -19,33 +19,72 @@ from seriesloom.session import segments
 SEG = "__seg"
 
 
-def with_segment(df: DataFrame, order: str, n: int | None = None) -> DataFrame:
+def with_segment(df: DataFrame, order: str, n: int | None = None, tie: str | None = None, descending: bool = False,
+                 nulls_last: bool = False) -> DataFrame:
     """Add the range segment of `order`: the number of global quantile bounds strictly below it (0 .. n-1).
 
     The bounds come from one `percentile_approx` inside a scalar subquery; the lookup is a binary search in
-    log2(n) steps over the bounds array. Bounds only set the balance, never the result, so they may be rough. NULL
-    order values fall into segment 0.
+    log2(n) steps over the bounds array. Bounds only set the balance, never the result, so they may be rough. Without
+    `tie`, NULL order values fall into segment 0.
+
+    With `tie`, rows are segmented by (`order`, `tie`): a value that fills m > 1 bounds is cut into m segments at global
+    quantiles of `tie`, and so are NULLs, into n. Segments then number at most 3n and ascend in the wanted direction of
+    `order` (NULLs at the end asked for), ties always ascending.
     """
     n = n or segments(df.sparkSession)
-    probs = [i / n for i in range(1, n)]
+    if tie is None:
+        return _ranged(df, order, n, SEG)
+    out = _ranged(_ranged(df, order, n, SEG, "__filled"), tie, n, "__sub")
+    missing = F.col(order).isNull()
+    parts = F.when(missing, n).otherwise(F.col("__filled"))
+    place = F.when(parts > 1, F.floor(F.col("__sub") * parts / n)).otherwise(0)
+    side = F.when(F.lit(descending), F.when(parts > 1, place).otherwise(n)).otherwise(F.when(parts > 1, place + 1).otherwise(0))
+    range_ = F.when(missing, n + 1 if nulls_last else -n - 1).otherwise(-F.col(SEG) if descending else F.col(SEG))
+    return out.withColumn(SEG, range_.cast("bigint") * (2 * n + 2) + side).drop("__filled", "__sub")
+
+
+def _ranged(df: DataFrame, order: str, n: int, name: str, filled: str | None = None) -> DataFrame:
+    """Number of quantile bounds below `order`; `filled` names an optional count of the bounds equal to it."""
     numeric = _numeric(df, order)
+    probs = [i / n for i in range(1, n)]
     bounds = df.select(numeric.alias("o")).agg(
         F.percentile_approx("o", probs, max(1000, 4 * n)).alias("b")).scalar()
-    out = df.withColumns({"__bounds": bounds, "__order": numeric, SEG: F.lit(0)})
-    for power in reversed(range(n.bit_length() - 1)):
-        step = 1 << power
+    out = df.withColumns({"__bounds": bounds, "__order": numeric, name: F.lit(0)})
+    steps = [1 << power for power in reversed(range(n.bit_length() - 1))]
+    for step in steps:
         # one projection per step keeps the search inside generated code without repeating sub-expressions
-        out = out.withColumn(SEG, F.col(SEG) + F.when(F.get("__bounds", F.col(SEG) + (step - 1)) < F.col("__order"), step).otherwise(0))
+        out = out.withColumn(name, F.col(name) + F.when(F.get("__bounds", F.col(name) + (step - 1)) < F.col("__order"), step).otherwise(0))
+    if filled:
+        # Rows are cut by `tie` only where all of them have one value, which a rough number of a text does not prove.
+        out = out.withColumn(filled, F.lit(0))
+        for step in steps if _kept_apart(df, order) else []:
+            at = F.col(name) + F.col(filled) + (step - 1)
+            same = (F.get("__bounds", at) == F.col("__order")) & (F.abs("__order") < float(1 << 53))
+            out = out.withColumn(filled, F.col(filled) + F.when(same, step).otherwise(0))
     return out.drop("__bounds", "__order")
 
 
+def _kept_apart(df: DataFrame, name: str) -> bool:
+    """Whether `_numeric` gives different values, below 2 ** 53, different numbers."""
+    kind = df.schema[name].dataType
+    return kind.typeName() not in ("string", "binary", "char", "varchar", "decimal") or getattr(kind, "precision", 99) <= 15
+
+
 def _numeric(df: DataFrame, name: str) -> Column:
+    """A double that never falls as the value rises. Texts give their first six bytes, so texts that share these also
+    share a segment."""
     kind = df.schema[name].dataType.typeName()
+    value = F.col(f"`{name}`")
     if kind == "date":
-        return F.unix_date(F.col(name)).cast("double")
+        return F.unix_date(value).cast("double")
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
+        return F.unix_micros(value.cast("timestamp")).cast("double")
+    if kind in ("string", "binary", "char", "varchar"):
+        head = F.hex(F.substring(value.cast("binary"), 1, 6))
+        return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    if kind in ("struct", "array", "map"):
+        return F.lit(0.0)
+    return value.cast("double")
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -138,15 +177,12 @@ def row_positions(df: DataFrame, keys: Sequence[str], order: str, tie: str, desc
     in its own. `total` names an optional column with the number of rows of the key.
     """
     keys = list(keys)
-    base = with_segment(df, order, n)
-    big = 1 << 30
-    seg = F.when(F.col(order).isNull(), F.lit(big)).otherwise(-F.col(SEG) if descending else F.col(SEG))
-    base = base.withColumn(SEG, seg)
+    base = with_segment(df, order, n, tie, descending, nulls_last=True)
     part = base.groupBy(*keys, SEG).agg(F.count(F.lit(1)).alias("__c"))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("__c").over(whole.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     carry = part.select(*keys, SEG, before.alias("__before"), F.sum("__c").over(whole).alias("__all"))
-    inside = Window.partitionBy(*keys, SEG).orderBy(F.col(order).desc() if descending else F.col(order), tie)
+    inside = Window.partitionBy(*keys, SEG).orderBy(F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_last(), tie)
     out = join_keys(base, carry, [*keys, SEG]).withColumn(name, F.col("__before") + F.row_number().over(inside))
     if total:
         out = out.withColumn(total, F.col("__all"))
@@ -163,7 +199,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, tie: str | None =
     """
     keys = list(keys)
     before, after = before or {}, after or {}
-    base = with_segment(df, order, n)
+    base = with_segment(df, order, n, tie)
     cols = [order] + ([tie] if tie else [])
     rank = F.struct(*cols)
     edges = base.groupBy(*keys, SEG).agg(
@@ -185,7 +221,7 @@ def nearest_known(df: DataFrame, keys: Sequence[str], order: str, tie: str, item
                   back: str | None = "prev_item", ahead: str | None = "next_item", n: int | None = None) -> DataFrame:
     """For each row the last non-NULL `item` at or before it and the first non-NULL one at or after it."""
     keys = list(keys)
-    base = with_segment(df, order, n)
+    base = with_segment(df, order, n, tie)
     rank = F.struct(order, tie)
     known = F.col(item).isNotNull()
     edges = base.groupBy(*keys, SEG).agg(

@@ -528,12 +528,13 @@ def baths_law(pairs: DataFrame, mains: DataFrame, main_id: str, main_mag: str, m
 # ---- densities and valleys -----------------------------------------------------------------------------------
 
 def weighted_kde(df: DataFrame, keys: Sequence[str], value: str, weight: Column, bandwidth: float, low: float,
-                 high: float, points: int = 1000, reach: float = 9.0) -> DataFrame:
+                 high: float, points: int = 1000) -> DataFrame:
     """Gaussian density on a fixed grid in log10 units.
 
-    Equal values are combined first; each distinct value visits the grid points within `reach` bandwidths only, since
-    beyond nine bandwidths a Gaussian is below 1e-17 of its peak.
+    Equal values are combined first. Each distinct value visits the grid points within 39 bandwidths: further away
+    exp(-z * z / 2) is 0 in double precision, so no contribution is left out.
     """
+    reach = 39.0
     step = (high - low) / (points - 1)
     lv = F.log10(F.col(value))
     mass = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
@@ -556,6 +557,8 @@ def valley_detect(curve: DataFrame, keys: Sequence[str], grid: str = "g", x: str
     mean and its width at half depth (log10).
 
     A peak exceeds every value within `reach` grid points; with fewer than two such peaks three points are enough.
+    Where the lowest density stretches over several grid points, the valley is the middle of its longest run: between
+    two masses far apart the density is 0 in double precision, and its logarithm is lowest half way.
     Curves have grid length, so windows are bounded.
     """
     keys = list(keys)
@@ -579,7 +582,13 @@ def valley_detect(curve: DataFrame, keys: Sequence[str], grid: str = "g", x: str
     inner = join_keys(curve, ends, keys) if keys else curve.withColumn("__e", ends.agg(F.first(F.struct("*"))).scalar()).select("*", "__e.*")
     inner = inner.filter(F.col(grid).between(F.col("g1"), F.col("g2")))
     names = ["peak_low", "peak_high", "low_density", "high_density"]
-    inner = inner.withColumn("__v", F.min_by(F.struct(grid, x, density), F.struct(density, grid)).over(by))
+    inner = inner.withColumn("__floor", d == F.min(density).over(by))
+    flat = Window.partitionBy(*keys, "__floor")
+    inner = inner.withColumn("__run", F.when(F.col("__floor"), F.col(grid) - F.row_number().over(flat.orderBy(grid))))
+    run = Window.partitionBy(*keys, "__floor", "__run")
+    inner = inner.withColumns({"__long": F.when(F.col("__floor"), F.count(F.lit(1)).over(run)), "__from": F.min(grid).over(run)})
+    off = F.abs(2 * (F.col(grid) - F.col("__from")) - F.col("__long") + 1)
+    inner = inner.withColumn("__v", F.min_by(F.struct(grid, x, density), F.when(F.col("__floor"), F.struct(-F.col("__long"), off, grid))).over(by))
     mean = (F.col("low_density") + F.col("high_density")) / 2
     vd = F.col(f"__v.{density}")
     above = d >= vd + (mean - vd) / 2

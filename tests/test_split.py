@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators import split
+from seriesloom.operators.ranking import interleave
+from seriesloom.operators.split import SEG, nearest_known, neighbours, row_positions, with_segment
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,41 @@ def test_group_stats_without_keys_has_no_cross_join(spark, skewed):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert df.select("m").distinct().count() == 1
+
+
+def brute_positions(rows, descending):
+    key = (lambda r: (r[1] is None, -(r[1] or 0), r[2])) if descending else (lambda r: (r[1] is None, r[1] or 0, r[2]))
+    return {r[2]: k + 1 for k, r in enumerate(sorted(rows, key=key))}
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_tied_order_values_are_cut_by_the_tie(spark, descending):
+    """Half of the rows share one order value and a fifth have none; positions hold and no segment keeps a large part."""
+    rows = [("a", None if k % 5 == 0 else 7 if k % 2 else k % 11, k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "key string, x long, id long").repartition(4)
+    got = {r.id: r.position for r in row_positions(df, ["key"], "x", "id", descending, n=16).collect()}
+    assert got == brute_positions(rows, descending)
+    sizes = with_segment(df, "x", 16, "id", descending, True).groupBy(SEG).count().agg({"count": "max"}).first()[0]
+    assert sizes < 2000 / 16 * 2.5
+
+
+def test_neighbours_across_tied_segments(spark):
+    rows = [("a", None if k % 5 == 0 else 7 if k % 2 else k % 11, k, None if k % 3 else k) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, x long, id long, item long").repartition(4)
+    ranked = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    got = {r.id: (r.p, r.q) for r in neighbours(df, ["key"], "x", "id", {"id": "p"}, {"id": "q"}, n=16).collect()}
+    ids = [None] + [r[2] for r in ranked] + [None]
+    assert got == {ids[k]: (ids[k - 1], ids[k + 1]) for k in range(1, len(ids) - 1)}
+    known, last = {}, None
+    for r in ranked:
+        last = r[3] if r[3] is not None else last
+        known[r[2]] = last
+    assert {r.id: r.b for r in nearest_known(df, ["key"], "x", "id", "item", "b", None, n=16).collect()} == known
+
+
+def test_text_order(spark):
+    """Names may share their first bytes; order and ranks are those of the whole text."""
+    names = ["Lima", "Oslo", "Oslo2", "Osl", "Łódź", "", "São Paulo", "San Jose 1", "San Jose 2", "San Jose"]
+    df = spark.createDataFrame([("g", c) for c in names], "g string, name string")
+    want = {c: k for k, c in enumerate(sorted(names, key=lambda c: c.encode()))}
+    assert {r.name: r.turn for r in interleave(df, "g", "name", ["g"]).collect()} == want

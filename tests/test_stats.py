@@ -159,3 +159,26 @@ def test_empty_input(spark):
     empty = series(spark, a=[1]).limit(0)
     assert S.ols_trend(empty, ["k"], "t", "y").count() == 0
     assert S.mann_kendall(empty, ["k"], "t", "y").count() == 0
+
+
+def test_tails_of_large_samples():
+    """Values at the centre of a chi-square of a million degrees, and of t with many, against their limits."""
+    from seriesloom.functions import pvalues
+
+    mid = pvalues._gamma_tail(np.array([5e5, 1e4, 9_999.0]), np.array([5e5, 1e4, 9_999.0]))
+    assert np.allclose(mid, [0.49981194, 0.49867019, 0.49867013], atol=1e-8)
+    t = pvalues.t_two_sided(np.array([0.5, 2.0, 2.0]), np.array([1e13, 5.0, 1e5 + 1]))
+    assert np.allclose(t, [0.61707508, 0.10193948, 0.04550296], atol=1e-8)
+    for x in (9_700.0, 10_000.0, 10_300.0):
+        at = np.array([1e4]), np.array([x])
+        assert np.allclose(pvalues._gamma_tail_small(*at), pvalues._gamma_tail_large(*at), atol=1e-9)
+
+
+def test_valley_between_masses_far_apart(spark):
+    """Two equal masses at 10 and 1000: the density between them is 0 over a long stretch, the valley half way at 100."""
+    from seriesloom.operators.stats import valley_detect, weighted_kde
+
+    df = spark.createDataFrame([(10.0,), (1000.0,)], "v double")
+    curve = weighted_kde(df, [], "v", F.lit(1.0), 0.01, 0.5, 3.5, 401)
+    row = valley_detect(curve, []).first()
+    assert abs(np.log10(row.valley) - 2.0) < 0.01 and row.depth == 1.0
