@@ -45,19 +45,62 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
-def meta_content(html: Column, names: Sequence[str]) -> list[Column]:
-    """Content of meta tags by name or property, either attribute order, one expression per name."""
-    out = []
-    for n in names:
-        name = n.replace(".", r"\.")
-        out.append(F.regexp_extract(html, rf'(?i)<meta\s[^>]*(name|property)="{name}"[^>]*\scontent="([^"]*)"', 2))
-        out.append(F.regexp_extract(html, rf'(?i)<meta\s[^>]*content="([^"]*)"[^>]*\s(name|property)="{name}"', 1))
-    return out
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of one tag in double, single or no quotes, empty when absent."""
+    raw = F.regexp_extract(tag, rf"""(?i)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(raw, r"""^["']|["']$""", "")
+
+
+def meta_tags(html: Column) -> Column:
+    """(name, property, content) of every meta tag in order, names in lower case."""
+    tags = F.regexp_extract_all(html, F.lit(r"""(?i)<meta\s(?:"[^"]*+"|'[^']*+'|[^>"']++)*+>"""), F.lit(0))
+    return F.transform(tags, lambda t: F.struct(
+        F.lower(attribute(t, "name")).alias("name"), F.lower(attribute(t, "property")).alias("property"), attribute(t, "content").alias("content")))
+
+
+def meta_content(metas: Column, names: Sequence[str]) -> list[Column]:
+    """First filled content under each name, one expression per name."""
+
+    def under(name: str) -> Column:
+        return F.get(F.filter(metas, lambda m: ((m["name"] == name) | (m["property"] == name)) & (strip(m["content"]) != "")), F.lit(0))["content"]
+
+    return [under(n.lower()) for n in names]
+
+
+def _by_tag(html: Column, tag: str, body) -> Column:
+    """`body` over pieces and depths: the text cut before every opening and closing tag of that name (the first piece
+    has none), and the nesting depth reached before the first and after each piece's tag."""
+    pieces = F.split(F.concat(F.lit(SEP), html), rf"(?i)(?=</?{tag}\b)", -1)
+    change = F.transform(pieces, lambda p: F.when(p.startswith("</"), -1).when(p.startswith("<"), 1).otherwise(0))
+    depths = F.aggregate(change, F.array(F.lit(0)), lambda seen, c: F.concat(seen, F.array(F.greatest(F.element_at(seen, -1) + c, F.lit(0)))))
+    return F.element_at(F.transform(F.array(F.struct(pieces.alias("pieces"), depths.alias("depths"))), body), 1)
 
 
 def element(html: Column, tag: str) -> Column:
-    """Inner HTML of the first element with the tag, empty when absent."""
-    return F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+    """Inner HTML of the first element with the tag, elements of the same name inside it included; empty when absent or
+    never closed. Depth is only counted where the tag occurs more than once."""
+
+    def first(s: Column) -> Column:
+        start = F.array_position(s["depths"], 1)  # one-based, so the piece of that tag is the one before
+        stop = F.array_position(F.slice(s["depths"], start + 1, F.size(s["depths"])), 0)
+        inner = F.array_join(F.slice(s["pieces"], F.greatest(start - 1, F.lit(1)).cast("int"), F.greatest(stop, F.lit(0)).cast("int")), "")
+        return F.when((start > 0) & (stop > 0), F.regexp_replace(inner, r"^<[^>]*>", "")).otherwise("")
+
+    once = F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    return F.when(F.regexp_count(html, F.lit(rf"(?i)<{tag}\b")) > 1, _by_tag(html, tag, first)).otherwise(once)
+
+
+def drop_element(html: Column, tag: str) -> Column:
+    """The text without elements of that tag and what they hold; an element that is never closed stays."""
+
+    def outside(s: Column) -> Column:
+        last = F.size(s["depths"]) - F.array_position(F.reverse(s["depths"]), 0) + 1  # the last place at depth 0, one-based
+        zipped = F.arrays_zip(s["pieces"].alias("p"), F.slice(s["depths"], 2, F.size(s["pieces"])).alias("d"))
+        kept = F.filter(zipped, lambda z, i: (z["d"] == 0) | (i + 2 > last))
+        return F.replace(F.array_join(F.transform(kept, lambda z: F.regexp_replace(z["p"], rf"(?i)^</{tag}\b[^>]*>", "")), ""), F.lit(SEP), F.lit(""))
+
+    once = F.regexp_replace(html, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
+    return F.when(F.regexp_count(html, F.lit(rf"(?i)<{tag}\b")) > 1, _by_tag(html, tag, outside)).otherwise(once)
 
 
 def plain_text(html: Column, joiner: str) -> Column:
@@ -73,17 +116,19 @@ def html_extract(pages: DataFrame, url: str = "url", html: str = "html", min_wor
     The main text is the first article, main or body element without scripts, navigation and other furniture.
     """
     body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
+    out = pages.withColumns({"__b": body, "__m": meta_tags(F.col(html))})
     for tag in L.DROPPED_ELEMENTS:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    out = pages.withColumn("__b", body)
+        # one projection per tag, so that no text is worked out twice; scripts and the like cannot nest
+        nests = tag not in ("script", "style", "noscript", "iframe")
+        out = out.withColumn("__b", drop_element(F.col("__b"), tag) if nests else F.regexp_replace("__b", rf"(?is)<{tag}\b.*?</{tag}\s*>", ""))
     main = F.coalesce(*[F.nullif(element(F.col("__b"), t), F.lit("")) for t in L.MAIN_ELEMENTS], F.col("__b"))
-    h = F.col(html)
-    time_tag = F.regexp_extract(h, r'(?i)<time\b[^>]*datetime="([^"]*)"', 1)
-    title = first_filled(*[decode_entities(c) for c in meta_content(h, ["og:title"])], plain_text(element(h, "title"), " "), plain_text(element(h, "h1"), " "))
+    h, metas = F.col(html), F.col("__m")
+    time_tag = attribute(F.regexp_extract(h, r"(?i)<time\b[^>]*\sdatetime\s*=[^>]*>", 0), "datetime")
+    title = first_filled(*[decode_entities(c) for c in meta_content(metas, ["og:title"])], plain_text(element(h, "title"), " "), plain_text(element(h, "h1"), " "))
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z]+://([^/?#]+)", 1))
     out = out.select(*pages.columns, F.regexp_replace(host, r"^www\.", "").alias("domain"), title.alias("title"),
-                     first_filled(*meta_content(h, L.AUTHOR_NAMES)).alias("author"),
-                     first_filled(*meta_content(h, L.DATE_NAMES), time_tag, plain_text(element(h, "time"), " ")).alias("date"),
+                     first_filled(*meta_content(metas, L.AUTHOR_NAMES)).alias("author"),
+                     first_filled(*meta_content(metas, L.DATE_NAMES), time_tag, plain_text(element(h, "time"), " ")).alias("date"),
                      clean_text(plain_text(main, "\n\n")).alias("text"))
     words = word_count(F.col("text"))
     return out.withColumns({"word_count": words, "ok": (words >= min_words) & (F.length(html) >= 100)})

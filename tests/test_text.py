@@ -60,6 +60,22 @@ def test_html_extract(spark):
     assert r.text.startswith("Head\n\nFirst   part €5.") and "cookies" not in r.text and "menu" not in r.text and "gone" not in r.text
 
 
+NESTED = """<html><head><meta name='author' content='Ann'><meta content=2024-05-06 name=date><META PROPERTY="og:title" CONTENT="a > b"></head>
+<body><nav>x<nav>y</nav>z</nav><article>one <ARTICLE class='q'>inner</ARTICLE> two three</article><article>later</article><aside>open</body></html>"""
+
+
+def test_nested_elements_and_quoting(spark):
+    """Elements of one name inside each other, attributes in all quotings, an element that is never closed."""
+    df = spark.createDataFrame([("http://a.b/", NESTED), ("http://a.b/", None), ("http://a.b/", ""), ("http://a.b/", "<article>x<article>y")],
+                               "url string, html string")
+    rows = T.html_extract(df).collect()
+    assert rows[0].text.split() == ["one", "inner", "two", "three"]
+    assert (rows[0].author, rows[0].date, rows[0].title) == ("Ann", "2024-05-06", "a > b")
+    assert rows[3].text.split() == ["x", "y"]
+    cut = df.limit(1).select(T.drop_element(F.lit("a<nav>b<nav>c</nav>d</nav>e<nav>f</nav >g<nav>h"), "nav").alias("v")).first().v
+    assert cut == "aeg<nav>h"
+
+
 def test_key_paragraph_order(spark):
     good = "In 2021 the output grew 45% to 3.2 billion units while the cost fell by 12 and the share rose to 30 of 100 in all regions."
     plain = "This paragraph has more than ten words but it does not carry any fact."
