@@ -309,3 +309,24 @@ def test_pipeline(spark):
     assert near.columns == exact.columns == good.columns == docs.columns
     run = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in run} <= kept and len(run) == len({(r.doc_id, i) for i, r in enumerate(run)})
+
+
+def test_banded_alignment_does_not_depend_on_the_batch():
+    """Pairs aligned together and alone agree, and the stretch found holds the planted passage with its edits."""
+    random_ = np.random.default_rng(8)
+    pairs, planted = [], []
+    for _ in range(40):
+        size, lead = int(random_.integers(80, 400)), int(random_.integers(0, 20))
+        x = random_.integers(0, 60_000, size).astype("<u2")
+        y = x.tolist()
+        for place in random_.choice(size - 10, size // 12, replace=False):
+            kind = int(random_.integers(3))
+            y[place:place + (kind > 0)] = [7] * (kind < 2)
+        y = np.concatenate([random_.integers(0, 60_000, lead), y, random_.integers(0, 60_000, 15)]).astype("<u2")
+        pairs.append((x, y, lead, lead))
+        planted.append((size, lead))
+    together = passage_chains.align(pairs)
+    assert together == [passage_chains.align([p])[0] for p in pairs]
+    for (a, b, c, d, identity), (size, lead) in zip(together, planted):
+        assert b - a >= 0.8 * size and identity >= 0.8 and c >= lead - 2 and 0 <= a < b <= size
+    assert passage_chains.align([]) == []
