@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -22,10 +26,41 @@ def load_new_files(spark: SparkSession, folder: str, schema: StructType, sink: s
 
 
 def newest_within(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> DataFrame:
-    """First row per key inside the time to live of a stream; older state is dropped by the watermark."""
+    """First row per key inside the time to live of a stream, for sinks that only append; older state is dropped by the
+    watermark. `newest_wins` follows later rows."""
     return stream.withWatermark(stamp, ttl).dropDuplicatesWithinWatermark(keys)
 
 
+def newest_wins(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> DataFrame:
+    """Newest row per key inside the time to live of a stream (update mode): a key's row comes out each time a newer one
+    arrives, so the last one written for a key is its newest.
+
+    The state holds one time per key and goes when the watermark, `ttl` behind the newest time seen, has passed it. Rows
+    behind the watermark and rows without a time are ignored; of equal times the first seen stays.
+    """
+
+    def newer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        limit = state.getCurrentWatermarkMs()
+        best, row = state.get[0] if state.exists else limit * 1000 - 1, None
+        for batch in batches:
+            times = batch[stamp]
+            micros = times.astype("datetime64[us]").astype("int64")
+            at = int(micros.to_numpy().argmax())
+            if micros.iloc[at] > best:
+                best, row = int(micros.iloc[at]), batch.iloc[[at]]
+        if row is not None:
+            state.update((best,))
+            state.setTimeoutTimestamp(max(best // 1000, limit) + 1)
+            yield row
+
+    timed = stream.where(F.col(stamp).isNotNull()).withWatermark(stamp, ttl)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        newer, stream.schema, "newest long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def windowed_counts(stream: DataFrame, stamp: str, width: str, step: str, late: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """Sliding event counts on a stream in append mode, late rows accepted up to the watermark."""
     return (stream.withWatermark(stamp, late).groupBy(F.window(stamp, width, step), *keys).agg(F.count(F.lit(1)).alias("n"))

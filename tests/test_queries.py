@@ -12,6 +12,8 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 catalog.load_all()
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not present")
 
+# Without a currency crisis in so few rows this study has no result; it has rows on the larger tables.
+EMPTY_WHEN_SMALL = {"q14_contagion"}
 # Greedy or page-level studies that take long even on small tables; tools/check.py runs them.
 SLOW = {"q19_web_evidence", "l10_similar_pairs", "l10_dedup_near"}
 
@@ -50,7 +52,10 @@ def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, FOLDER)
     cols = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=rough)
-    if name not in catalog.SQL:
+    if name not in catalog.SQL:  # the operator's own tests hold its values; here rows come out, and no row twice or empty
+        assert (rows or name in EMPTY_WHEN_SMALL) and len(set(rows)) == len(rows)
+        assert all(any(v is not None for v in row) for row in rows)
+        assert not any(isinstance(v, float) and math.isinf(v) for row in rows for v in row)
         return
     rel = duck.sql(catalog.SQL[name])
     assert sorted(rel.columns) == cols
