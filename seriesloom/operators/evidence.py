@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seriesloom.functions import wordlists as L
 from seriesloom.functions.literals import ladder
@@ -55,12 +53,12 @@ def substance(text: Column, n_key: Column, title: Column, author: Column) -> Col
 
 
 def freshness(date: Column, text: Column, today: Column) -> Column:
-    """Score by age of the publication date; without one, by the latest recent year named near the start."""
+    """Score by age of the publication date; without one, by the latest recent year that the text names."""
     when = parse_any_date(date)
     age = F.floor((F.unix_timestamp(today.cast("timestamp")) - F.unix_timestamp(when)) / 86400)
     dated = (F.when(age < 0, 5.0).when(age <= 7, 10.0).when(age <= 30, 9.0).when(age <= 90, 8.0).when(age <= 180, 7.0).when(age <= 365, 6.0)
              .when(age <= 730, 4.5).when(age <= 1825, 3.0).otherwise(2.0))
-    years = F.regexp_extract_all(F.substring(text, 1, 2000), F.lit(r"\b(202[3-9]|203\d)\b"), F.lit(1))
+    years = F.regexp_extract_all(text, F.lit(r"\b(202[3-9]|203\d)\b"), F.lit(1))
     behind = F.year(today) - F.array_max(years).cast("int")
     undated = F.when(F.size(years) == 0, 5.0).when(behind <= 0, 7.0).when(behind == 1, 5.0).otherwise(4.0)
     return F.when(when.isNotNull(), dated).otherwise(undated)
@@ -196,46 +194,46 @@ def cooccurrence(terms: DataFrame, distinctive: DataFrame, group: str, row_id: s
 
 
 def grow_themes(pairs: DataFrame, distinctive: DataFrame, group: str, max_themes: int = 8, seeds: int = 30, table: int = 60, size: int = 6) -> DataFrame:
-    """(group, theme, term): greedy themes from the `table` strongest pairs of each group, at most `size` terms each.
+    """(group, theme, term): themes of at most `size` terms from the `table` strongest pairs of each group.
 
-    Growth is sequential by nature and runs on the fixed-length top table of a group; single frequent terms fill up
-    when fewer than three themes emerge.
+    A theme is opened by the strongest of the first `seeds` pairs with two free terms. It takes, in order of strength,
+    every pair beyond its last one that has one end inside the theme and the other free. Where fewer than three themes
+    emerge, free frequent terms become themes of one term. The pair table of a group has a fixed length, so a group is
+    one row whose themes are array expressions.
     """
     top = top_k_per_group(pairs, [group], [F.desc("n"), F.col("t1"), F.col("t2")], table)
-    singles = top_k_per_group(distinctive.filter("df >= 2"), [group], [F.desc("df"), F.col("term")], 2 * max_themes)
-    both = top.select(group, F.lit(0).alias("kind"), "rank", "t1", "t2").unionByName(
-        singles.select(group, F.lit(1).alias("kind"), "rank", F.col("term").alias("t1"), F.lit(None).cast("string").alias("t2")))
-    schema = T.StructType([pairs.schema[group], T.StructField("theme", T.LongType()), T.StructField("term", T.StringType())])
-
-    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "rank"])
-        edges = [(a, b) for k, a, b in zip(pdf["kind"], pdf["t1"], pdf["t2"]) if k == 0]
-        used: set[str] = set()
-        themes: list[list[str]] = []
-        for seed in edges[:seeds]:
-            if len(themes) == max_themes:
-                break
-            if used & set(seed):
-                continue
-            members = list(seed)
-            for edge in edges:
-                for known, new in (edge, edge[::-1]):
-                    if known in members and new not in used:
-                        if new not in members:
-                            members.append(new)
-                        break
-                if len(members) >= size:
-                    break
-            used |= set(members)
-            themes.append(members)
-        if len(themes) < 3:
-            for term in [a for k, a in zip(pdf["kind"], pdf["t1"]) if k == 1][:2 * max_themes]:
-                if term not in used and len(themes) < max_themes:
-                    used.add(term)
-                    themes.append([term])
-        return pd.DataFrame([[key[0], i + 1, t] for i, ts in enumerate(themes) for t in ts], columns=schema.names)
-
-    return both.groupBy(group).applyInPandas(grow, schema)
+    single = top_k_per_group(distinctive.filter("df >= 2"), [group], [F.desc("df"), F.col("term")], 2 * max_themes)
+    edges = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("rank", "t1", "t2"))).alias("edges"))
+    lone = single.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("lone"))
+    empty, none = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+    has = F.array_contains
+
+    def opened(taken: Column) -> Column:
+        return F.get(F.filter("edges", lambda e: (e["rank"] <= seeds) & ~has(taken, e["t1"]) & ~has(taken, e["t2"])), F.lit(0))
+
+    def outer(members: Column, e: Column) -> Column:
+        return F.when(has(members, e["t1"]), e["t2"]).otherwise(e["t1"])
+
+    def extended(theme: Column, taken: Column) -> Column:
+        m = theme["members"]
+        follow = F.get(F.filter("edges", lambda e: (e["rank"] > theme["last"]) & (has(m, e["t1"]) != has(m, e["t2"])) & ~has(taken, outer(m, e))), F.lit(0))
+        return F.when(follow.isNull(), theme).otherwise(F.struct(F.array_append(m, outer(m, follow)).alias("members"), follow["rank"].alias("last")))
+
+    def another(state: Column) -> Column:
+        seed = opened(state["taken"])
+        first = F.struct(F.array(seed["t1"], seed["t2"]).alias("members"), F.lit(0).alias("last"))
+        theme = F.aggregate(F.sequence(F.lit(1), F.lit(size - 2)), first, lambda m, _: extended(m, state["taken"]), lambda m: m["members"])
+        grown = F.struct(F.concat(state["taken"], theme).alias("taken"), F.array_append(state["themes"], theme).alias("themes"))
+        return F.when(seed.isNull(), state).otherwise(grown)
+
+    start = F.struct(empty.alias("taken"), none.alias("themes"))
+    grown = edges.join(lone, group, "full").withColumn("grown", F.aggregate(
+        F.when(F.col("edges").isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.lit(max_themes))), start, lambda st, _: another(st)))
+    found, taken = F.col("grown.themes"), F.col("grown.taken")
+    free = F.transform(F.filter(F.coalesce("lone", empty), lambda x: ~has(taken, x)), lambda x: F.array(x))
+    themes = F.when(F.size(found) < 3, F.concat(found, F.slice(free, F.lit(1), max_themes - F.size(found)))).otherwise(found)
+    return (grown.select(group, F.posexplode(themes).alias("pos", "terms"))
+            .select(group, (F.col("pos") + 1).cast("bigint").alias("theme"), F.explode("terms").alias("term")))
 
 
 def assign_themes(terms: DataFrame, themes: DataFrame, group: str, row_id: str) -> DataFrame:

@@ -172,32 +172,21 @@ def morlet_power(df: DataFrame, keys: Sequence[str], step: str, value: str, scal
                  steps_per_unit: float = 12.0) -> DataFrame:
     """Morlet wavelet power per (time, scale): window half-width 3 scales, period 2 pi s / omega0.
 
-    The series is repeated once per scale and each (key, scale) group is one short convolution in its own task, so
-    the shuffle holds n rows per scale instead of n x 6 scale products. Missing values and steps count 0 after mean
-    removal.
+    Each value adds its product with the wavelet to every step in reach, and the products are summed by (key, scale,
+    step) inside the task before they are shuffled. Missing values and steps count 0 after mean removal; only steps that
+    have a row come out.
     """
     rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value))
-    grid = F.array(*[F.lit(float(s)) for s in scales])
-    rows = rows.select(*keys, F.col(step).cast("bigint").alias("step"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), F.explode(grid).alias("scale"))
-    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("scale", T.DoubleType()), T.StructField("step", T.LongType()),
-                           T.StructField("power", T.DoubleType())])
-    width = len(list(keys))
-
-    def convolve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        s = float(key[-1])
-        half = max(int(3 * s), 1)
-        eta = np.arange(-half, half + 1) / s
-        wave = np.pi ** -0.25 * np.exp(1j * omega0 * eta - eta ** 2 / 2) / np.sqrt(s)
-        at = (pdf["step"] - pdf["step"].iloc[0]).to_numpy()
-        x = np.zeros(at[-1] + 1)
-        x[at] = pdf["x"].to_numpy(float)
-        coef = np.convolve(x, wave[::-1].conj(), mode="full")[half:half + len(x)][at]
-        out = pd.DataFrame({c: [key[i]] * len(at) for i, c in enumerate(schema.names[:width])}, index=pdf.index)
-        return out.assign(scale=s, step=pdf["step"], power=np.abs(coef) ** 2)[schema.names]
-
-    out = rows.groupBy(*keys, "scale").applyInPandas(convolve, schema)
-    return out.withColumn("period", 2 * math.pi * F.col("scale") / omega0 / steps_per_unit)
+    grid = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")
+    rows = rows.select(*keys, F.col(step).cast("bigint").alias("at"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), grid)
+    half = F.greatest(F.floor(3 * F.col("scale")), F.lit(1)).cast("int")
+    reach = rows.select(*keys, "scale", "at", "x", F.explode(F.sequence(-half, half)).alias("lag"))
+    eta = F.col("lag") / F.col("scale")
+    part = F.col("x") * F.exp(-eta * eta / 2)
+    sums = reach.groupBy(*keys, "scale", (F.col("at") - F.col("lag")).alias("step")).agg(
+        F.sum(part * F.cos(omega0 * eta)).alias("re"), F.sum(part * F.sin(omega0 * eta)).alias("im"), F.bool_or(F.col("lag") == 0).alias("own"))
+    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("scale") * math.sqrt(math.pi))
+    return sums.filter("own").select(*keys, "scale", "step", power.alias("power"), (2 * math.pi * F.col("scale") / omega0 / steps_per_unit).alias("period"))
 
 
 def dominant_period(power: DataFrame, keys: Sequence[str], low: float, high: float, smooth: int) -> DataFrame:

@@ -228,7 +228,7 @@ def extract_claims(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     def got(pattern: str, group: int) -> Column:
         return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
-    value, unit = got(L.VALUE_UNIT, 1), got(L.VALUE_UNIT, 5)
+    value, unit = got(L.VALUE_UNIT, 1), got(L.VALUE_UNIT, 2)
     pct, stat, stat_value = got(L.PERCENT, 1), got(L.STATISTIC, 1), got(L.STATISTIC, 3)
     s = s.withColumns({"direction": direction(c), "__v": value, "__u": unit, "__p": pct, "__s": stat, "__sv": stat_value})
     is_unit, is_pct, is_stat = F.col("__v").isNotNull(), F.col("__p").isNotNull(), F.col("__s").isNotNull()

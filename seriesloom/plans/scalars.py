@@ -81,8 +81,8 @@ def _(t):
 
 @query("k08_identifiers", r"""
 SELECT page_id, CASE WHEN url LIKE 'https://%' THEN split_part(url, 'example.net/', -1) ELSE url END AS short_id,
-  regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[?!]', '', 'g'),
-   '\b(what|how|why|when|where|which|is|are|the|a|an|of|in|on|for|to)\b', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 50), '-+$', '') AS slug,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[?!]', '', 'g'),
+   '\b(what|how|why|when|where|which|is|are|the|a|an|of|in|on|for|to)\b', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
   translate(lower(split_part(html, '</title>', 1)), 'áàâäãéèêëíìîïóòôöõúùûüçñ', 'aaaaaeeeeiiiiooooouuuucn') AS folded FROM pages""")
 def _(t):
     u = F.col("url")

@@ -118,6 +118,36 @@ def _(t):
     return t.events.groupBy(first_box(la, lo, D.SEISMIC_REGIONS, "intraplate").alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 
+CURRENCY_VALUES = ", ".join(f"({i}, '{c}', '{r}', '{m}')" for i, (c, r, m) in enumerate(D.CURRENCIES))
+
+
+@query("a08_currency_markets", f"""
+WITH c(position, ccy, region, market) AS (VALUES {CURRENCY_VALUES}), o AS (SELECT c_nationkey % 20 AS position, year(o_orderdate) AS yr, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT market, region, CAST(yr AS BIGINT) AS yr, count(*) AS n, count(DISTINCT ccy) AS n_currencies, round(sum(o_totalprice), 2) AS total FROM o JOIN c USING (position) GROUP BY 1, 2, 3""")
+def _(t):
+    """Order value by market type and region, each nation taken to trade in one of the currencies."""
+    ccy = D.currencies(t.spark)
+    c = t.customer.select("c_custkey", (F.col("c_nationkey") % 20).cast("int").alias("position"))
+    o = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("position", F.year("o_orderdate").cast("bigint").alias("yr")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return o.join(ccy, "position").groupBy("market", "region", "yr").agg(
+        F.sum("n").alias("n"), F.count_distinct("ccy").alias("n_currencies"), F.round(F.sum("total"), 2).alias("total"))
+
+
+CRISIS_VALUES = ", ".join(f"({i}, '{n}', DATE '{a}', DATE '{b}')" for i, (n, a, b) in enumerate(D.KNOWN_CRISES))
+
+
+@query("a08_known_crises", f"""
+WITH k(i, crisis, first_day, last_day) AS (VALUES {CRISIS_VALUES}), w AS (SELECT date_trunc('week', o_orderdate)::DATE AS day, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY 1)
+SELECT coalesce(crisis, 'none') AS crisis, count(*) AS n_weeks, CAST(sum(n) AS BIGINT) AS n, round(sum(v), 2) AS total FROM (
+  SELECT n, v, (SELECT crisis FROM k WHERE first_day <= day + 6 AND day <= last_day ORDER BY i LIMIT 1) AS crisis FROM w) GROUP BY 1""")
+def _(t):
+    """Weeks of orders under the first known crisis that they touch."""
+    w = t.orders.groupBy(F.date_trunc("week", "o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("v"))
+    name = F.coalesce(*[F.when((F.date_add("day", 6) >= F.lit(a).cast("date")) & (F.col("day") <= F.lit(b).cast("date")), n) for n, a, b in D.KNOWN_CRISES], F.lit("none"))
+    return w.groupBy(name.alias("crisis")).agg(F.count(F.lit(1)).alias("n_weeks"), F.sum("n").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
 BASIN_VALUES = ", ".join(str(b) for b in D.OCEAN_BASINS)
 
 

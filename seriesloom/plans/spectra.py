@@ -6,7 +6,7 @@ from seriesloom.operators import spectral as H
 from seriesloom.operators.windows import autocorrelation
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded
-from seriesloom.plans.inputs import MPRIO, monthly_priority
+from seriesloom.plans.inputs import HOURLY, MPRIO, hourly, monthly_priority
 from seriesloom.plans.windowing import long_cols
 
 
@@ -39,15 +39,16 @@ def _(t):
     return long_cols(rounded(out, 5, "power"), "f_idx")
 
 
-@query("h03_lomb_scargle", """
-WITH e AS (SELECT user_id, epoch_us(ts) / 3.6e9 - 473352 AS t, value - avg(value) OVER (PARTITION BY user_id) AS x FROM events), g(k, p) AS (VALUES (0, 6.0), (1, 12.0), (2, 24.0), (3, 48.0), (4, 168.0)),
-m AS (SELECT user_id, k, p, sum(x * cos(2 * pi() * t / p)) AS xc, sum(x * sin(2 * pi() * t / p)) AS xs, sum(pow(cos(2 * pi() * t / p), 2)) AS cc, sum(pow(sin(2 * pi() * t / p), 2)) AS ss,
+@query("h03_lomb_scargle", f"""
+WITH {HOURLY}, e AS (SELECT event_type, hi / 24.0::DOUBLE AS t, value - avg(value) OVER (PARTITION BY event_type) AS x FROM hourly),
+g AS (SELECT k, pow(10, log10(2) + (log10(150) - log10(2)) * k / 1999) AS p FROM (SELECT unnest(range(0, 2000)) AS k)),
+m AS (SELECT event_type, k, p, sum(x * cos(2 * pi() * t / p)) AS xc, sum(x * sin(2 * pi() * t / p)) AS xs, sum(pow(cos(2 * pi() * t / p), 2)) AS cc, sum(pow(sin(2 * pi() * t / p), 2)) AS ss,
   sum(cos(2 * pi() * t / p) * sin(2 * pi() * t / p)) AS cs, sum(x * x) AS xx FROM e, g GROUP BY 1, 2, 3), q AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS a FROM m)
-SELECT user_id, k AS f_idx, round((pow(xc * cos(a) + xs * sin(a), 2) / (pow(cos(a), 2) * cc + 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * ss)
+SELECT event_type, k AS f_idx, round((pow(xc * cos(a) + xs * sin(a), 2) / (pow(cos(a), 2) * cc + 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * ss)
   + pow(xs * cos(a) - xc * sin(a), 2) / (pow(cos(a), 2) * ss - 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * cc)) / xx, 6) AS power FROM q""")
 def _(t):
-    e = t.events.select("user_id", "value", (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9 - 473352).alias("t"))
-    out = H.lomb_scargle(e, ["user_id"], "t", "value", [6.0, 12.0, 24.0, 48.0, 168.0]).select("user_id", "f_idx", "power")
+    e = hourly(t).select("event_type", "value", (F.col("hi") / 24).alias("t"))
+    out = H.lomb_scargle(e, ["event_type"], "t", "value", H.period_grid(2, 150, 2000)).select("event_type", F.col("f_idx").cast("bigint").alias("f_idx"), "power")
     return rounded(out, 6, "power")
 
 
@@ -63,8 +64,8 @@ def _(t):
     return rounded(H.acf_peaks(acf, ["priority"], 6, 0.05), 6, "acf")
 
 
-SCALES = [2.0, 3.0, 4.0, 6.0, 8.0, 12.0]
-MORLET = f"""{MPRIO}, x AS (SELECT priority, mi, value / 1e6 - avg(value / 1e6) OVER (PARTITION BY priority) AS x FROM mprio), sc AS (SELECT unnest([2.0, 3.0, 4.0, 6.0, 8.0, 12.0])::DOUBLE AS s),
+SCALES = range(6, 121)
+MORLET = f"""{MPRIO}, x AS (SELECT priority, mi, value / 1e6 - avg(value / 1e6) OVER (PARTITION BY priority) AS x FROM mprio), sc AS (SELECT unnest(range(6, 121))::DOUBLE AS s),
 cw AS (SELECT a.priority, s, a.mi, 2 * pi() * s / 6.0 / 12.0 AS period, pow(sum(b.x * pow(pi(), -0.25) * cos(6.0 * (b.mi - a.mi) / s) * exp(-pow((b.mi - a.mi) / s, 2) / 2)) / sqrt(s), 2)
   + pow(sum(b.x * pow(pi(), -0.25) * sin(6.0 * (b.mi - a.mi) / s) * exp(-pow((b.mi - a.mi) / s, 2) / 2)) / sqrt(s), 2) AS power
   FROM x a, sc, x b WHERE a.priority = b.priority AND abs(b.mi - a.mi) <= floor(3 * s) GROUP BY a.priority, s, a.mi)"""
@@ -80,22 +81,22 @@ def _(t):
 
 
 @query("h06_dominant_period", f"""
-WITH {MORLET}, b AS (SELECT priority, mi AS step, arg_max(period, power) AS d, max(power) AS p FROM cw WHERE period BETWEEN 0.2 AND 0.8 GROUP BY 1, 2)
+WITH {MORLET}, b AS (SELECT priority, mi AS step, arg_max(period, power) AS d, max(power) AS p FROM cw WHERE period BETWEEN 2 AND 7 GROUP BY 1, 2)
 SELECT priority, step, round(d, 6) AS dominant, round(p, 5) AS peak_power, round(CASE WHEN count(*) OVER w = 12 THEN avg(d) OVER w END, 6) AS smoothed FROM b
 WINDOW w AS (PARTITION BY priority ORDER BY step ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)""")
 def _(t):
-    return rounded(rounded(H.dominant_period(wave(t), ["priority"], 0.2, 0.8, 12), 6, "dominant", "smoothed"), 5, "peak_power")
+    return rounded(rounded(H.dominant_period(wave(t), ["priority"], 2, 7, 12), 6, "dominant", "smoothed"), 5, "peak_power")
 
 
 @query("h07_band_power", f"""
-WITH {MORLET}, b AS (SELECT priority, mi, avg(power) AS p FROM cw WHERE period BETWEEN 0.2 AND 0.8 GROUP BY 1, 2)
+WITH {MORLET}, b AS (SELECT priority, mi, avg(power) AS p FROM cw WHERE period BETWEEN 2 AND 7 GROUP BY 1, 2)
 SELECT priority, CAST(mi // 24 AS BIGINT) AS epoch, round(avg(p), 5) AS mean_power, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) > 12""")
 def _(t):
-    band = H.band_power(wave(t), ["priority"], 0.2, 0.8)
+    band = H.band_power(wave(t), ["priority"], 2, 7)
     return rounded(H.epoch_power(band, ["priority"], F.floor(F.col("step") / 24)), 5, "mean_power")
 
 
 @query("h07_envelope", f"""
-WITH {MORLET} SELECT priority, mi AS step, round(avg(power), 5) AS band_power, round(sqrt(avg(power)), 5) AS envelope FROM cw WHERE period BETWEEN 0.2 AND 0.8 GROUP BY 1, 2""")
+WITH {MORLET} SELECT priority, mi AS step, round(avg(power), 5) AS band_power, round(sqrt(avg(power)), 5) AS envelope FROM cw WHERE period BETWEEN 2 AND 7 GROUP BY 1, 2""")
 def _(t):
-    return rounded(H.band_power(wave(t), ["priority"], 0.2, 0.8), 5, "band_power", "envelope")
+    return rounded(H.band_power(wave(t), ["priority"], 2, 7), 5, "band_power", "envelope")

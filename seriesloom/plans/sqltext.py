@@ -110,7 +110,7 @@ def claims(source: str, keys: str, s: str = "s", pos: str = "pos") -> str:
 
     return (f"SELECT {keys}, {pos}, {s} AS claim, CAST(coalesce(v, pct, sv) AS DOUBLE) AS value, CASE WHEN v IS NOT NULL THEN {strip('u')} WHEN pct IS NOT NULL THEN '%' WHEN st IS NOT NULL THEN lower(st) || '-value' END AS unit,"
             f" dir AS direction, least(0.95, 0.1 + CASE WHEN coalesce(v, pct, sv) IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN v IS NOT NULL OR pct IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN dir IS NOT NULL THEN 0.1 ELSE 0 END"
-            f" + CASE WHEN v IS NULL AND pct IS NULL AND st IS NOT NULL THEN 0.1 ELSE 0 END)::DOUBLE AS confidence FROM (SELECT {keys}, {pos}, {s}, {got(vu, 1)} AS v, {got(vu, 5)} AS u, {got(pc, 1)} AS pct, {got(st, 1)} AS st, {got(st, 3)} AS sv,"
+            f" + CASE WHEN v IS NULL AND pct IS NULL AND st IS NOT NULL THEN 0.1 ELSE 0 END)::DOUBLE AS confidence FROM (SELECT {keys}, {pos}, {s}, {got(vu, 1)} AS v, {got(vu, 2)} AS u, {got(pc, 1)} AS pct, {got(st, 1)} AS st, {got(st, 3)} AS sv,"
             f" CASE WHEN {has(s, L.NO_CHANGE)} THEN 'no change' WHEN {has(s, L.INCREASE)} THEN 'increase' WHEN {has(s, L.DECREASE)} THEN 'decrease' END AS dir"
             f" FROM (SELECT {keys}, {s}, min({pos}) AS {pos} FROM {source} GROUP BY {keys}, {s})) WHERE coalesce(v, pct, sv) IS NOT NULL OR dir IS NOT NULL")
 

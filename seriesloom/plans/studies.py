@@ -311,12 +311,12 @@ def _(t):
 
 
 @query("q20_literature_agreement", f"""
-WITH {TX.ABSTRACT_CLAIMS}, f(finding, fd, fv) AS (VALUES (0, 'increase', 12.5), (1, 'decrease', NULL))
-SELECT finding, CASE WHEN direction IS NULL THEN 'related' WHEN fd <> direction THEN 'disagrees' WHEN fv IS NOT NULL AND value IS NOT NULL AND abs(fv - value) / greatest(abs(fv), abs(value)) > 0.5 THEN 'related' ELSE 'agrees' END AS agreement,
+WITH {TX.ABSTRACT_CLAIMS}, f(finding, fd, fv) AS (VALUES (0, 'increase', 12.5), (1, 'decrease', NULL), (2, NULL, 30.0))
+SELECT finding, CASE WHEN fd IS NULL AND direction IS NULL THEN 'unclear' WHEN fd IS NULL OR direction IS NULL THEN 'related' WHEN fd <> direction THEN 'disagrees' WHEN fv IS NOT NULL AND value IS NOT NULL AND abs(fv - value) / greatest(abs(fv), abs(value)) > 0.5 THEN 'related' ELSE 'agrees' END AS agreement,
   count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM cl, f GROUP BY 1, 2""")
 def _(t):
     claims = T.extract_claims(TX.abstracts(t), "p_partkey", "text")
-    found = F.array(*[F.struct(F.lit(i).alias("finding"), *[c.alias(n) for n, c in E.parse_finding(F.lit(x)).items()]) for i, x in enumerate(TX.FINDINGS[:2])])
+    found = F.array(*[F.struct(F.lit(i).alias("finding"), *[c.alias(n) for n, c in E.parse_finding(F.lit(x)).items()]) for i, x in enumerate(TX.FINDINGS)])
     pairs = claims.select("value", "direction", "confidence", F.explode(found).alias("f"))
     verdict = E.agreement(F.col("f.direction"), F.col("f.value"), F.col("direction"), F.col("value"))
     return pairs.groupBy(F.col("f.finding").alias("finding"), verdict.alias("agreement")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

@@ -92,7 +92,7 @@ sc AS (SELECT pg.page_id, domain, coalesce(a.ks, CASE WHEN len(string_split(doma
    + CASE WHEN {Q.count('text', r'\b\d[\d,.]*\b')} * 100.0 / {WC} > 3 THEN 2.5 WHEN {Q.count('text', r'\b\d[\d,.]*\b')} * 100.0 / {WC} > 1.5 THEN 1.5 WHEN {Q.count('text', r'\b\d[\d,.]*\b')} * 100.0 / {WC} > 0.5 THEN 0.5 ELSE 0 END
    + CASE WHEN {Q.count('text', L.QUANTITY_MARKS)} >= 10 THEN 1.5 WHEN {Q.count('text', L.QUANTITY_MARKS)} >= 3 THEN 1 WHEN {Q.count('text', L.QUANTITY_MARKS)} >= 1 THEN 0.5 ELSE 0 END
    + CASE WHEN {KPN} >= 8 THEN 1.5 WHEN {KPN} >= 4 THEN 1 WHEN {KPN} >= 1 THEN 0.5 ELSE 0 END + CASE WHEN title <> '' THEN 0.5 ELSE 0 END) END::DOUBLE AS substance,
-  CASE WHEN len(regexp_extract_all(substr(text, 1, 2000), '\\b(202[3-9]|203\\d)\\b')) = 0 THEN 5.0 ELSE 4.0 END::DOUBLE AS freshness,
+  CASE WHEN len(regexp_extract_all(text, '\\b(202[3-9]|203\\d)\\b')) = 0 THEN 5.0 ELSE 4.0 END::DOUBLE AS freshness,
   CASE WHEN {WC} = 0 THEN 0 ELSE least(10, 5 + CASE WHEN {WC} >= 50 THEN 2 ELSE 0 END + CASE WHEN title <> '' THEN 1 ELSE 0 END + CASE WHEN {KPN} >= 5 THEN 1 ELSE 0 END) END::DOUBLE AS accessibility
  FROM pg LEFT JOIN kn USING (page_id) LEFT JOIN known a ON a.kd = domain LEFT JOIN known b ON b.kd = regexp_extract(domain, '[^.]+\\.[^.]+$'))"""
 
@@ -155,12 +155,6 @@ def _(t):
     return document_claims(t).withColumn("claim", F.md5("claim"))
 
 
-def claim_rows(t):
-    """Best claims of every document with an id that orders them."""
-    c = document_claims(t).filter("rank <= 3")
-    return c.select((F.col("doc_id") * 100 + F.col("rank")).alias("claim_id"), "doc_id", F.concat_ws("-", F.lit("q"), (F.col("doc_id") % 5).cast("string")).alias("question"), "claim", "informativeness")
-
-
 PAIR_TERMS = f"""dt AS (SELECT doc_id, lang, list_sort(list_filter(list_distinct({Q.words_of('text')}), lambda w: NOT list_contains({Q.words_list(L.CLAIM_STOP_WORDS)}, w))) AS s FROM documents),
 fs AS (SELECT lang, s, min(doc_id) AS doc_id FROM dt WHERE len(s) > 0 GROUP BY 1, 2),
 pr AS (SELECT a.lang, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.s, b.s)) * 1.0 / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM fs a JOIN fs b ON a.lang = b.lang AND a.doc_id < b.doc_id
@@ -211,7 +205,33 @@ def _(t):
     return E.cooccurrence(terms, dist, "question", "cid")
 
 
-@query("l11_themes")
+# One step of theme growth a round: a theme is opened, takes one more pair, or is closed.
+GROWN = f"""{THEME}, tp AS (SELECT question, t1, t2, row_number() OVER (PARTITION BY question ORDER BY n DESC, t1, t2) AS r FROM co QUALIFY r <= 60),
+te AS (SELECT question, list({{'r': r, 'a': t1, 'b': t2}} ORDER BY r) AS e FROM tp GROUP BY 1),
+sl AS (SELECT question, list(term ORDER BY r) AS s FROM (SELECT question, term, row_number() OVER (PARTITION BY question ORDER BY df DESC, term) AS r FROM di WHERE df >= 2 QUALIFY r <= 16) GROUP BY 1),
+gr AS (SELECT question, coalesce(e, []) AS e, s, []::VARCHAR[] AS used, []::VARCHAR[] AS m, 0::BIGINT AS last, []::VARCHAR[][] AS th, FALSE AS done FROM sl LEFT JOIN te USING (question)
+ UNION ALL SELECT question, e, s, CASE WHEN len(m) > 0 AND nx IS NULL THEN list_concat(used, m) ELSE used END,
+  CASE WHEN nx IS NULL THEN [] WHEN len(m) = 0 THEN [nx.a, nx.b] ELSE list_append(m, CASE WHEN list_contains(m, nx.a) THEN nx.b ELSE nx.a END) END,
+  CASE WHEN len(m) = 0 OR nx IS NULL THEN 0 ELSE nx.r END, CASE WHEN len(m) > 0 AND nx IS NULL THEN list_append(th, m) ELSE th END, len(m) = 0 AND nx IS NULL
+ FROM (SELECT *, CASE WHEN len(m) = 0 AND len(th) < 8 THEN list_filter(e, lambda x: x.r <= 30 AND NOT list_contains(used, x.a) AND NOT list_contains(used, x.b))[1]
+   WHEN len(m) BETWEEN 2 AND 5 THEN list_filter(e, lambda x: x.r > last AND list_contains(m, x.a) <> list_contains(m, x.b) AND NOT list_contains(used, CASE WHEN list_contains(m, x.a) THEN x.b ELSE x.a END))[1] END AS nx
+  FROM gr WHERE NOT done)),
+tt AS (SELECT question, CASE WHEN len(th) < 3 THEN list_concat(th, list_transform(list_filter(s, lambda x: NOT list_contains(used, x)), lambda x: [x])[1:8 - len(th)]) ELSE th END AS th FROM gr WHERE done),
+tx AS (SELECT question, theme, unnest(ts) AS term FROM (SELECT question, unnest(range(1, len(th) + 1)) AS theme, unnest(th) AS ts FROM tt)),
+bt AS (SELECT question, cid, theme FROM (SELECT question, cid, theme, count(*) AS o FROM ct JOIN tx USING (question, term) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY question, cid ORDER BY o DESC, theme) = 1),
+asg AS (SELECT c.question, c.cid, coalesce(theme, 0) AS theme FROM (SELECT DISTINCT question, cid FROM ct) c LEFT JOIN bt ON bt.question = c.question AND bt.cid = c.cid)"""
+
+
+@query("l11_theme_terms", f"WITH RECURSIVE {GROWN} SELECT question, theme, term FROM tx")
+def _(t):
+    _, terms, dist = theme_parts(t)
+    return E.grow_themes(E.cooccurrence(terms, dist, "question", "cid"), dist, "question")
+
+
+@query("l11_themes", f"""
+WITH RECURSIVE {GROWN}, qf AS (SELECT p_brand AS question, p_partkey * 10 + pos AS cid, p_partkey, confidence FROM cl JOIN part USING (p_partkey))
+SELECT question, theme, count(*) AS n_claims, count(DISTINCT p_partkey) AS n_sources, round(avg(confidence), 6) AS mean_score,
+  round(2.0 * count(DISTINCT p_partkey) + avg(confidence) + 0.5 * least(count(*), 5), 6) AS evidence FROM asg JOIN qf USING (question, cid) GROUP BY 1, 2""")
 def _(t):
     c, terms, dist = theme_parts(t)
     themes = E.grow_themes(E.cooccurrence(terms, dist, "question", "cid"), dist, "question")
@@ -245,12 +265,12 @@ TRUST = "|".join(h.replace(".", r"\.") for h in L.TRUSTED_HOSTS)
 
 @query("l13_relevance", f"""
 WITH {PAGE_SQL}, q AS (SELECT ['the', 'edition', 'of', 'ention', 'that', 'er'] AS qt), o AS (SELECT page_id, domain, page_id % 11 AS rk, len(list_intersect(qt, list_distinct({Q.words_of('title', '^[a-z]+$')}))) / 6.0 AS a,
-  len(list_intersect(qt, list_distinct({Q.words_of('substr(text, 1, 300)', '^[a-z]+$')}))) / 6.0 AS b FROM pg, q)
+  len(list_intersect(qt, list_distinct({Q.words_of('text', '^[a-z]+$')}))) / 6.0 AS b FROM pg, q)
 SELECT page_id, round(least(10, CASE WHEN rk <= 2 THEN 3 WHEN rk <= 5 THEN 2 WHEN rk <= 8 THEN 1 ELSE 0.5 END + 3 * a + 2.5 * b + CASE WHEN regexp_matches(domain, {Q.q(TRUST)}) THEN 1.5 WHEN domain LIKE '%.org' THEN 0.5 ELSE 0 END), 6)::DOUBLE AS relevance FROM o""")
 def _(t):
     p = page_table(t)
     terms = E.question_terms(F.lit("The edition of ention that er"))
-    return p.select("page_id", F.round(E.relevance(terms, F.col("page_id") % 11, F.col("title"), F.substring("text", 1, 300), F.col("domain")), 6).alias("relevance"))
+    return p.select("page_id", F.round(E.relevance(terms, F.col("page_id") % 11, F.col("title"), F.col("text"), F.col("domain")), 6).alias("relevance"))
 
 
 @query("l14_latest_per_key", """
