@@ -137,9 +137,11 @@ ruled as (
     when (host = 'net' or host like '%.net') and path like '/%' then 'net/' end as rule from split),
 marked as (
   select *, (rule in ('net/', 'example.com/de/'))::int as b, (rule in ('example.net/en/', 'org/fr/'))::int as a,
-         regexp_replace(regexp_replace(path, '[0-9]+', '{n}', 'g'), '^/', '') as plain from ruled),
-shaped as (
-  select *, list_concat(string_split(plain, '/')[1:3], case when len(string_split(plain, '/')) > 3 then ['**'] else [] end) as shape from marked),
+         regexp_replace(path, '^/', '') as plain from ruled),
+parted as (
+  select *, list_transform(string_split(plain, '/'), lambda s: case when regexp_matches(s, '^[0-9a-fA-F-]{16,}$') then '{h}'
+                           else regexp_replace(s, '[0-9]+', '{n}', 'g') end) as segments from marked),
+shaped as (select *, list_concat(segments[1:3], case when len(segments) > 3 then ['**'] else [] end) as shape from parted),
 t0 as (select *, coalesce(b, 0) as bl, coalesce(a, 0) as al, '' as t0 from shaped),
 """
 

@@ -20,6 +20,8 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints in one tree; a larger shard is split into trees, each of which all parts of the shard search.
 TREE_SIZE = 4096
 QUERY_CHUNK = 512
+#: Rows of whole trees that a task searches at one time.
+HELD_ROWS = 1 << 19
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -147,7 +149,7 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def shard_links(task: np.ndarray, fp: np.ndarray, role: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (fingerprint, smallest linked fingerprint) of the shards in one partition.
+    """Star edges (fingerprint, smallest linked fingerprint) of the shards in one stretch of a partition.
 
     role: 0 in the tree only, 1 searching only, 2 both.
     """
@@ -184,13 +186,14 @@ def _shard_keys(fp):
                      for n, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
 
 
-def linked(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
+def linked(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE, held_rows: int = HELD_ROWS) -> DataFrame:
     """Star edges (a, b) whose components are those of all pairs of distinct fingerprints within the radius.
 
     A shard is the set of fingerprints equal in two given blocks. Its tree goes to every task that searches it: one task
     for most shards; a shard above `tree_size` is dealt into trees of about that size and every tree is sent to each of
     the shard's query parts, so no task ever holds more than two parts and no pair of parts is left out. Trees are never
-    broadcast to tasks of other shards, as all trees together grow with the data.
+    broadcast to tasks of other shards, as all trees together grow with the data. A partition is sorted by tree and searched
+    in stretches of whole trees of about `held_rows` rows, so that its memory does not grow with the partition.
     """
     keyed = prints.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -203,17 +206,31 @@ def linked(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE)
         "fp", F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("task"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("role"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows)
+    def found(table: pa.Table) -> pa.RecordBatch:
         task, fp, role = (table.column(c).to_numpy() for c in ("task", "fp", "role"))
         a, b = shard_links(task, fp.view(np.uint64), role, radius)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        limit = held_rows
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < limit:
+                continue
+            table = pa.Table.from_batches(held)
+            task = table.column("task").to_numpy()
+            cut = int(np.searchsorted(task, task[-1], "left"))
+            if cut:
+                yield found(table.slice(0, cut))
+            held = table.slice(cut).combine_chunks().to_batches()
+            limit = max(held_rows, 2 * (len(task) - cut))
+        if any(b.num_rows for b in held):
+            yield found(pa.Table.from_batches(held))
 
     partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return dealt.repartition(partitions, "task").mapInArrow(search, "a bigint, b bigint")
+    ordered = dealt.repartition(partitions, "task").sortWithinPartitions("task")
+    return ordered.mapInArrow(search, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

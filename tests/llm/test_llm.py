@@ -108,7 +108,7 @@ def test_split_shards_lose_no_link(spark):
     a, b = np.where(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4)
     want = simhash_bk.merge_labels(np.arange(len(fp)), a, b)
     frame = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
-    edges = simhash_bk.linked(frame, tree_size=7)
+    edges = simhash_bk.linked(frame, tree_size=7, held_rows=50)
     at = {int(x): i for i, x in enumerate(fp.view(np.int64))}
     pairs = [(at[e.a], at[e.b]) for e in edges.collect()]
     got = simhash_bk.merge_labels(np.arange(len(fp)), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
@@ -253,6 +253,22 @@ def test_urls(spark):
     assert url_templates.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_url_shapes_agree_with_sql(spark, tmp_path):
+    """Hexadecimal segments, digits, long paths and mixed branches, judged by the query's SQL as by the operator."""
+    duckdb = pytest.importorskip("duckdb")
+    con, urls = duckdb.connect(), []
+    for i in range(400):
+        host = rng.choice(["example.com", "example.net", "a.org", "b.info"])
+        parts = [rng.choice(["de", "en", "fr", "x"]), rng.choice([f"{rng.getrandbits(80):020x}", str(i), "shop", "0123-4567-89ab-cdef"]),
+                 *[rng.choice(["p", "q1", "deadbeefdeadbeef0"]) for _ in range(rng.randint(0, 3))]]
+        urls.append((i, f"https://{host}/" + "/".join(parts) + rng.choice(["", "/", "?a=/b", "#c"])))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", urls)
+    got = url_templates.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(queries.URL_SQL).fetchall()))
+
+
 def test_passages(spark, docs, empty):
     passage = words(60).split()
     rows = [(i, words(90) + " " + " ".join(passage) + " " + words(40)) for i in range(12)]
@@ -307,8 +323,19 @@ def test_pipeline(spark):
     assert all(any((prints[i] ^ prints[j]).bit_count() <= 4 for j in prints if j < i) for i in set(prints) - kept)
     assert not any((prints[i] ^ prints[j]).bit_count() <= 4 for i in kept for j in kept if i < j)
     assert near.columns == exact.columns == good.columns == docs.columns
-    run = corpus_pipeline.run(spark, FOLDER).collect()
-    assert {r.doc_id for r in run} <= kept and len(run) == len({(r.doc_id, i) for i, r in enumerate(run)})
+    duckdb = pytest.importorskip("duckdb")
+    con, tok = duckdb.connect(), Tokenizer.from_str(WORD)
+    left = [(r.doc_id, r.text, r.source) for r in near.collect()]
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", left)
+    copies = {i: taken // size for i, size, taken in con.sql(f"select doc_id, size, taken from ({queries.MIX_SQL}) where size > 0").fetchall()}
+    want = []
+    for i, text, _ in left:
+        ids = tok.encode(text, add_special_tokens=False).ids
+        back = tok.decode(ids, skip_special_tokens=False)
+        want += [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())] * copies.get(i, 0)
+    run = corpus_pipeline.run(spark, FOLDER)
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run.collect()) == sorted(want)
 
 
 def test_banded_alignment_does_not_depend_on_the_batch():
