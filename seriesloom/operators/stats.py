@@ -432,33 +432,36 @@ def window_ids(position: Column, width: int, step: int) -> Column:
 def poisson_trend(counts: DataFrame, keys: Sequence[str], x: str, n: str, scale: float = 10.0, steps: int = 25) -> DataFrame:
     """Log-linear rate exp(a + b x) by Newton steps, likelihood ratio against a constant rate, percent per `scale`.
 
-    Takes one count per period and key, so a key is as long as the calendar.
+    Takes one count per period and key, so a key is as long as the calendar and fits one row as an array, over which
+    each step sums the score and the information.
     """
-    schema = T.StructType([*counts.select(*keys).schema.fields,
-                           *[T.StructField(c, T.DoubleType()) for c in ("n_periods", "rate", "lr")]])
-    width = len(list(keys))
+    one = counts.groupBy(*keys).agg(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(n).cast("double").alias("k"))).alias("s"),
+                                    F.avg(x).alias("mx"), F.log(F.greatest(F.avg(n), F.lit(1e-12))).alias("base"), F.count(F.lit(1)).cast("double").alias("n_periods"))
+    one = one.withColumn("s", F.transform("s", lambda p: F.struct((p["x"] - F.col("mx")).alias("t"), p["k"].alias("k"))))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("g0", "g1", "h00", "h01", "h11")])
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t0, k = pdf[x].to_numpy(float), pdf[n].to_numpy(float)
-        t = t0 - t0.mean()
-        a, b = math.log(max(k.mean(), 1e-12)), 0.0
-        base = a
-        for _ in range(steps):
-            mu = np.exp(np.clip(a + b * t, -700, 700))
-            g0, g1 = (k - mu).sum(), (t * (k - mu)).sum()
-            h00, h01, h11 = mu.sum(), (t * mu).sum(), (t * t * mu).sum()
-            det = h00 * h11 - h01 * h01
-            if det <= 0:
-                break
-            da, db = (g0 * h11 - g1 * h01) / det, (g1 * h00 - g0 * h01) / det
-            a, b = a + da, b + db
-            if abs(da) + abs(db) < 1e-12:
-                break
-        full = (k * (a + b * t) - np.exp(a + b * t)).sum()
-        null = (k * base - np.exp(base)).sum()
-        return pd.DataFrame([[*key[:width], float(len(k)), b, max(2 * (full - null), 0.0)]], columns=schema.names)
-
-    out = counts.select(*keys, x, n).groupBy(*keys).applyInPandas(fit, schema)
+    def rate(a: Column, b: Column, t: Column) -> Column:
+        return F.exp(F.least(F.greatest(a + b * t, F.lit(-700.0)), F.lit(700.0)))
+
+    def moved(c: Column) -> Column:
+        at = F.transform("s", lambda p: F.struct(p["t"].alias("t"), p["k"].alias("k"), rate(c["a"], c["b"], p["t"]).alias("mu")))
+
+        def add(m: Column, p: Column) -> Column:
+            off, tm = p["k"] - p["mu"], p["t"] * p["mu"]
+            return F.struct((m["g0"] + off).alias("g0"), (m["g1"] + p["t"] * off).alias("g1"), (m["h00"] + p["mu"]).alias("h00"),
+                            (m["h01"] + tm).alias("h01"), (m["h11"] + p["t"] * tm).alias("h11"))
+
+        def solve(m: Column) -> Column:
+            det = m["h00"] * m["h11"] - m["h01"] * m["h01"]
+            new = F.struct((c["a"] + (m["g0"] * m["h11"] - m["g1"] * m["h01"]) / det).alias("a"), (c["b"] + (m["g1"] * m["h00"] - m["g0"] * m["h01"]) / det).alias("b"))
+            return F.when(det > 0, new).otherwise(c)
+
+        return F.aggregate(at, zero, add, solve)
+
+    start = F.struct(F.col("base").alias("a"), F.lit(0.0).alias("b"))
+    fit = one.withColumn("c", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda c, _: moved(c)))
+    gain = F.aggregate("s", F.lit(0.0), lambda m, p: m + p["k"] * (F.col("c.a") + F.col("c.b") * p["t"] - F.col("base")) - rate(F.col("c.a"), F.col("c.b"), p["t"]) + F.exp("base"))
+    out = fit.select(*keys, "n_periods", F.col("c.b").alias("rate"), F.greatest(2 * gain, F.lit(0.0)).alias("lr"))
     return out.withColumns({"pct_per_scale": (F.exp(F.col("rate") * scale) - 1) * 100,
                             "p_value": p_value("chi2", F.col("lr"), F.lit(1.0))})
 

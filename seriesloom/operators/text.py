@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions import wordlists as L
-from seriesloom.operators.ranking import top_k_per_group
 
 SEP = "\u0001"
 DOT = "\u0002"
@@ -200,11 +199,20 @@ def without(words: Column, stop_words: Sequence[str]) -> Column:
     return F.array_except(words, F.array(*[F.lit(w) for w in stop_words]))
 
 
-def key_terms(docs: DataFrame, row_id: str, text: str, n: int = 30) -> DataFrame:
-    """The n most frequent terms of each text, ties by term."""
-    words = docs.select(row_id, F.explode(words_of(F.col(text))).alias("term")).filter(~F.col("term").isin(L.TERM_STOP_WORDS))
-    counts = words.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("n"))
-    return top_k_per_group(counts, [row_id], [F.desc("n"), F.col("term")], n)
+def key_terms(docs: DataFrame, row_id: str, text: str, n: int = 30, keep: Sequence[str] = ()) -> DataFrame:
+    """The n most frequent terms of each text, ties by term: row_id, term, n, rank and the columns in `keep`.
+
+    Terms are counted inside their row, as runs of the sorted words, so nothing is shuffled.
+    """
+    stop = L.TERM_STOP_WORDS
+    rows = docs.select(row_id, *keep, F.array_sort(F.filter(words_of(F.col(text)), lambda w: ~w.isin(stop))).alias("__w"))
+    size = F.size("__w")
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1))
+    rows = rows.withColumn("__at", F.filter(places, lambda i: (i == 0) | (F.get("__w", i) != F.get("__w", i - 1))))
+    ends = F.concat(F.slice("__at", F.lit(2), F.size("__at")), F.array(size))
+    runs = F.zip_with("__at", ends, lambda i, j: F.struct((i - j).alias("neg"), F.get("__w", i).alias("term")))
+    best = rows.select(row_id, *keep, F.posexplode(F.slice(F.array_sort(runs), 1, n)).alias("__r", "__t"))
+    return best.select(row_id, *keep, F.col("__t.term").alias("term"), (-F.col("__t.neg")).cast("bigint").alias("n"), (F.col("__r") + 1).alias("rank"))
 
 
 def claim_terms(text: Column) -> Column:

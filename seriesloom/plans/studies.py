@@ -297,7 +297,7 @@ def _(t):
     pages = TX.scored_pages(t).filter("ok").withColumn("grp", F.concat_ws("-", F.lit("g"), F.floor(F.col("page_id") / 25).cast("string")))
     # parsed pages, claims and kept claims feed several branches each: cut the plan after them
     pages = checkpointed(pages.drop("html"))
-    terms = T.key_terms(pages, "page_id", "text").join(pages.select("page_id", "grp"), "page_id").select("grp", "page_id", "term")
+    terms = T.key_terms(pages, "page_id", "text", keep=["grp"]).select("grp", "page_id", "term")
     cons = E.consistency(terms, "grp", "page_id").select("page_id", "consistency")
     scored = pages.join(cons, "page_id").withColumn("score", E.composite()).filter("score >= 3")
     claims = T.web_claims(scored, "page_id", "text", extra=["grp", "score"])

@@ -117,8 +117,8 @@ cs AS (SELECT grp, doc_id, avg(j) AS mean_overlap, coalesce(max(j), 0) AS max_ov
 
 
 def grouped_terms(t):
-    g = t.documents.select("doc_id", F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 25).cast("string")).alias("grp"))
-    return T.key_terms(t.documents, "doc_id", "text").join(g, "doc_id").select("grp", "doc_id", "term")
+    d = t.documents.withColumn("grp", F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 25).cast("string")))
+    return T.key_terms(d, "doc_id", "text", keep=["grp"]).select("grp", "doc_id", "term")
 
 
 @query("l07_consistency", f"""
@@ -276,10 +276,17 @@ def _(t):
 @query("l14_latest_per_key", """
 SELECT regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '/+$', '') AS url_key, max(page_id) AS page_id, count(*) AS n FROM pages GROUP BY 1""")
 def _(t):
-    plain = F.regexp_replace("url", "[?#].*$", "")
-    p = t.pages.select("page_id", plain.alias("url"))
-    newest = E.latest_per_key(p, E.url_key(F.col("url")), [-F.col("page_id")], "url_key").select("url_key", "page_id")
-    return newest.join(p.groupBy(E.url_key(F.col("url")).alias("url_key")).agg(F.count(F.lit(1)).alias("n")), "url_key")
+    key = E.url_key(F.regexp_replace("url", "[?#].*$", "")).alias("url_key")
+    return t.pages.groupBy(key).agg(F.max("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query("l14_latest_page", """
+SELECT url_key, page_id, url FROM (SELECT page_id, url, regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '/+$', '') AS url_key FROM pages)
+QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY page_id DESC) = 1""")
+def _(t):
+    p = t.pages.select("page_id", "url")
+    key = E.url_key(F.regexp_replace("url", "[?#].*$", ""))
+    return E.latest_per_key(p, key, [-F.col("page_id")], "url_key").select("url_key", "page_id", "url")
 
 
 @query("l15_keyword_match", """

@@ -277,7 +277,14 @@ def _(t):
     return rounded(S.b_value(e, ["start_day"], "mag").select("start_day", "mc", "n", "b"), 6, "b")
 
 
-@query("e18_poisson_trend")
+@query("e18_poisson_trend", f"""
+WITH RECURSIVE {DAILY}, dd AS (SELECT event_type, di - avg(di) OVER w AS t, n::DOUBLE AS k, avg(n) OVER w AS kb FROM daily WINDOW w AS (PARTITION BY event_type)),
+nw AS (SELECT DISTINCT event_type, ln(kb) AS a, 0.0::DOUBLE AS b, 0 AS i FROM dd
+ UNION ALL SELECT event_type, a + (g0 * h11 - g1 * h01) / (h00 * h11 - h01 * h01), b + (g1 * h00 - g0 * h01) / (h00 * h11 - h01 * h01), i + 1 FROM (
+  SELECT nw.event_type, a, b, i, sum(k - exp(a + b * t)) AS g0, sum(t * (k - exp(a + b * t))) AS g1, sum(exp(a + b * t)) AS h00, sum(t * exp(a + b * t)) AS h01, sum(t * t * exp(a + b * t)) AS h11
+  FROM nw JOIN dd ON dd.event_type = nw.event_type WHERE i < 25 GROUP BY 1, 2, 3, 4)),
+r AS (SELECT nw.event_type, count(*)::DOUBLE AS n_periods, b, greatest(2 * sum(k * (a + b * t - ln(kb)) - exp(a + b * t) + kb), 0) AS lr FROM nw JOIN dd ON dd.event_type = nw.event_type WHERE i = 25 GROUP BY 1, 3)
+SELECT event_type, n_periods, round(b, 6) AS rate, round(lr, 6) AS lr, round((exp(10 * b) - 1) * 100, 6) AS pct_per_scale, round({p_normal('sqrt(lr)')}, 6) AS p_value FROM r""")
 def _(t):
     out = S.poisson_trend(daily(t).withColumn("n", F.col("n").cast("double")), ["event_type"], "di", "n")
     return rounded(out, 6, "rate", "lr", "pct_per_scale", "p_value")
