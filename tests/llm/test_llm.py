@@ -357,3 +357,41 @@ def test_banded_alignment_does_not_depend_on_the_batch():
     for (a, b, c, d, identity), (size, lead) in zip(together, planted):
         assert b - a >= 0.8 * size and identity >= 0.8 and c >= lead - 2 and 0 <= a < b <= size
     assert passage_chains.align([]) == []
+
+
+def test_every_passage_of_a_pair(spark):
+    """Two and three passages with unshared words between them, and a rewritten paragraph, against the planted places."""
+    number = iter(range(10 ** 6))
+
+    def own(n):
+        return [f"u{next(number)}" for _ in range(n)]
+
+    want, rows = {}, []
+    for case, (sizes, gap, other_gap) in enumerate([((150, 60), 100, 100), ((150, 140), 100, 100), ((60, 150, 80), 90, 90),
+                                                    ((150, 60), 100, 400), ((400, 70, 300), 250, 245), ((60, 55), 1500, 20)]):
+        one, two, places = own(12), own(31), []
+        for size in sizes:
+            passage = own(size)
+            places.append((len(one), len(one) + size, len(two), len(two) + size))
+            one += passage + own(gap)
+            two += passage + own(other_gap)
+        rows += [(2 * case, " ".join(one)), (2 * case + 1, " ".join(two))]
+        want[2 * case], want[2 * case + 1] = places, [(c, d, a, b) for a, b, c, d in places]
+    out = passage_chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {i: sorted((r.start_word, r.end_word, r.partner_start, r.partner_end) for r in out if r.doc_id == i) for i in want}
+    assert got == want
+
+
+def test_stretches_leave_none_beside_them():
+    """Brute force over all stretches of a path that begin and end in an equal pair."""
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        good = np.concatenate([r.random(int(r.integers(5, 90))) < r.choice([0.1, 0.75, 0.82, 0.95]) for _ in range(5)])
+        found = passage_chains._stretches(good)
+        free = np.ones(len(good), bool)
+        for a, b in found:
+            assert b - a >= 50 and good[a:b].mean() >= 0.8 and good[a] and good[b - 1] and free[a:b].all()
+            free[a:b] = False
+        total, used = np.concatenate([[0], np.cumsum(good)]), np.concatenate([[0], np.cumsum(~free)])
+        assert not any(good[a] and good[b - 1] and used[a] == used[b] and 5 * (total[b] - total[a]) >= 4 * (b - a)
+                       for a in range(len(good)) for b in range(a + 50, len(good) + 1))
