@@ -395,3 +395,55 @@ def test_stretches_leave_none_beside_them():
         total, used = np.concatenate([[0], np.cumsum(good)]), np.concatenate([[0], np.cumsum(~free)])
         assert not any(good[a] and good[b - 1] and used[a] == used[b] and 5 * (total[b] - total[a]) >= 4 * (b - a)
                        for a in range(len(good)) for b in range(a + 50, len(good) + 1))
+
+
+def test_passages_are_covered_whoever_else_holds_their_seeds(spark):
+    """Mosaics of shared parts, versions of one text and second occurrences, against all pairs of documents."""
+    r = random.Random(12)
+    number = iter(range(10 ** 6))
+
+    def own(n):
+        return [f"m{next(number)}" for _ in range(n)]
+
+    pool = [own(30) for _ in range(12)]
+    texts = [sum((own(r.randint(5, 25)) + r.choice(pool) + r.choice(pool) for _ in range(4)), []) for _ in range(60)]
+    shared = own(60)
+    outsider = own(9) + shared[:30] + own(9)
+    texts = [outsider, *texts, own(8) + shared + own(5), own(3) + shared + own(70), own(9) + shared[:30] + own(9)]
+    repeated = own(55)
+    texts += [own(5) + repeated + own(40) + repeated + own(7), own(31) + repeated + own(6)]
+    versions = [own(200)]
+    for _ in range(40):
+        versions.append([next(iter(own(1))) if r.random() < 0.05 else w for w in versions[-1]])
+    order = list(range(41))
+    r.shuffle(order)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(1000 + v, " ".join(versions[v])) for v in order]
+    out = passage_chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    holders = {}
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 49):
+            holders.setdefault(tuple(t[k:k + 50]), set()).add(i)
+    for i, t in enumerate(texts):
+        found = {p for x in out if x.doc_id == i for p in range(x.start_word, x.end_word)}
+        want = {p for k in range(len(t) - 49) if len(holders[tuple(t[k:k + 50])]) > 1 for p in range(k, k + 50)}
+        assert want <= found
+    for v in range(41):
+        near = max(sum(a == b for a, b in zip(versions[v], versions[u])) for u in range(41) if u != v) / 200
+        best = max((x.end_word - x.start_word) * x.identity for x in out if x.doc_id == 1000 + v) / 200
+        assert best >= near - 0.06
+
+
+def test_recall_of_edited_passages():
+    """Substitutions at random places in 50 words, every match of equal seeds given."""
+    r, hits = np.random.default_rng(3), []
+    for _ in range(100):
+        one, two, p = (r.integers(1, 1 << 63, n, dtype=np.uint64) for n in (40, 55, 50))
+        q = p.copy()
+        q[r.choice(48, 7, replace=False) + 1] = r.integers(1, 1 << 63, 7, dtype=np.uint64)
+        x, y = np.concatenate([one, p, two]), np.concatenate([two[::-1], q, one[::-1]])
+        (a, ka, _), (b, kb, _) = passage_chains.seeds(x), passage_chains.seeds(y)
+        at = np.array([(i, j) for i, k in zip(a, ka) for j in b[kb == k]], np.int64).reshape(-1, 2).T
+        codes = [(t >> np.uint64(48)).astype("<u2") for t in (x, y)]
+        found = [s for i, j, k, m in passage_chains.pieces(*at) for s in passage_chains.align_all([(*codes, j - i, m - k)])[0]] if at.size else []
+        hits.append(any(min(s[1], 90) - max(s[0], 40) >= 40 for s in found))
+    assert np.mean(hits) >= 0.95
