@@ -195,6 +195,8 @@ def linked(prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE,
     broadcast to tasks of other shards, as all trees together grow with the data. A partition is sorted by tree and searched
     in stretches of whole trees of about `held_rows` rows, so that its memory does not grow with the partition.
     """
+    if not 0 <= radius <= len(BLOCKS) - 2:
+        raise ValueError(f"radius {radius}: {len(BLOCKS)} blocks leave two equal for at most {len(BLOCKS) - 2} bits")
     keyed = prints.select("fp", F.explode(_shard_keys(F.col("fp"))).alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     large = stored(sizes.where(F.col("size") > tree_size).select("shard", F.ceil(F.col("size") / tree_size).cast("int").alias("parts")), "large-shards")

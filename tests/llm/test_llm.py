@@ -447,3 +447,9 @@ def test_recall_of_edited_passages():
         found = [s for i, j, k, m in passage_chains.pieces(*at) for s in passage_chains.align_all([(*codes, j - i, m - k)])[0]] if at.size else []
         hits.append(any(min(s[1], 90) - max(s[0], 40) >= 40 for s in found))
     assert np.mean(hits) >= 0.95
+
+
+def test_radius_beyond_the_blocks_is_an_error(spark):
+    frame = spark.createDataFrame([(1,), (2,)], "fp long")
+    with pytest.raises(ValueError):
+        simhash_bk.linked(frame, radius=5)
