@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import (
     exact_dedup,
+    hard_negatives,
+    line_runs,
     passage_chains,
     pii_semicrf,
+    ptolemy_kmeans,
     quality_cascade,
     simhash_bk,
     source_mix,
@@ -215,3 +218,86 @@ def private(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_repeated_passages")
 def passages(spark: SparkSession, folder: str) -> DataFrame:
     return passage_chains.repeated_passages(documents(spark, folder))
+
+
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+NEGATIVES_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+ranked as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+  from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+   and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def negatives(spark: SparkSession, folder: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(embeddings(spark, folder).withColumn("label", turned))
+
+
+LINES_SQL = r"""
+with body as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lined as (select doc_id, generate_subscripts(lines, 1) as place, unnest(lines) as line from body),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lined),
+frequent as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where f.key is null), '')) as kept_sha256
+from keyed left join frequent f using (key) group by doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def frequent_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_runs.line_dedup(documents(spark, folder)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+CENTROID_SQL = """
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select (row_number() over (order by sha256('3:' || vec_id)) - 1)::int as cluster, e from v
+  qualify row_number() over (order by sha256('3:' || vec_id)) <= 8),
+"""
+
+
+def _assigned_sql(centres: str) -> str:
+    return f"""select vec_id, v.e, cluster, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::bigint as distance
+  from v cross join {centres} c
+  qualify row_number() over (partition by vec_id order by distance, cluster) = 1"""
+
+
+for _k in range(1, 11):
+    CENTROID_SQL += f"""a{_k} as materialized ({_assigned_sql(f"c{_k - 1}")}),
+s{_k} as (select cluster, i, sum(e[i])::bigint as s, count(*) as n from a{_k}, range(1, 65) r(i) group by cluster, i),
+c{_k} as materialized (
+  select cluster, coalesce(m.e, c.e) as e from c{_k - 1} c
+  left join (select cluster, list((s - ((s % n) + n) % n) // n order by i) as e from s{_k} group by cluster) m using (cluster)),
+"""
+CENTROID_SQL += f"""placed as ({_assigned_sql("c10")})
+select vec_id, p.cluster, distance, sum(distance) over (partition by p.cluster)::bigint as cluster_inertia, sum(distance) over ()::bigint as inertia,
+       sha256(array_to_string(c.e, ',')) as centroid_sha256
+from placed p join c10 c on c.cluster = p.cluster
+"""
+
+
+@query("op13_centroids", CENTROID_SQL)
+def centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return ptolemy_kmeans.cluster(embeddings(spark, folder))
