@@ -108,15 +108,18 @@ class LineIndex:
                     return
                 level += 1
                 continue
-            rows = reduce(DataFrame.unionByName, [self.read(run) for run in runs])
-            merged = rows.groupBy("hash").agg(F.sum("n").alias("n"), F.bool_or("settled").alias("settled"))
+            merged = reduce(_merge, [self.read(run) for run in runs])
             name = hashlib.sha256(",".join(runs).encode()).hexdigest()[:16]
             self._write(merged, f"{level + 1}_{name}", level + 1, "", runs)
 
     def settled(self) -> DataFrame:
-        """Hashes found in at least `min_docs` documents; each stands in one run only."""
+        """Hashes found in at least `min_docs` documents, each once: a key is settled in one run only.
+
+        They are written as a table of their own: Spark takes a union of bucketed scans for partitioned by their key, though
+        it lists their buckets one after the other, so nothing may be joined or grouped on that union.
+        """
         parts = [self.read(record.run).where("settled").select("hash") for record in self.live()]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "hash binary")
+        return stored(reduce(DataFrame.unionByName, parts), "settled-lines") if parts else self.spark.createDataFrame([], "hash binary")
 
     def drop_tables(self) -> None:
         """Forget the catalog entries; the files stay."""
@@ -124,6 +127,14 @@ class LineIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table(record.run)}")
 
 
+def _merge(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two runs as one, by a merge join of their buckets."""
+    other = right.withColumnsRenamed({"n": "other_n", "settled": "other_settled"}).hint("merge")
+    return left.join(other, "hash", "full").select(
+        "hash", (F.coalesce("n", F.lit(0)) + F.coalesce("other_n", F.lit(0))).alias("n"),
+        (F.coalesce("settled", F.lit(False)) | F.coalesce("other_settled", F.lit(False))).alias("settled"))
+
+
 def _tagged(docs: DataFrame, doc_id: str, text: str, *columns: Column) -> DataFrame:
     """A row is named by its id and a hash of its text: rows that share both have the same result."""
     rows = packed(docs, F.col(f"`{doc_id}`").alias("doc_id"), whole(f"`{text}`").alias("text"))
@@ -143,7 +154,7 @@ def _kept_lines(docs: DataFrame, min_docs: int, min_chars: int, batches: int, fa
     call = uuid.uuid4().hex
     for b in range(batches):
         index.add(counts.where(F.col("batch") == b).select("hash", "n"), f"{call}-{b}")
-    settled = stored(index.settled(), "settled-lines")
+    settled = index.settled()
     if own:
         index.drop_tables()
     hits = _positions(hashed, counts, settled, batches).withColumnsRenamed({"doc_id": "hit_id", "tag": "hit_tag"})
