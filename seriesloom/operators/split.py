@@ -9,7 +9,7 @@ the calendar, and the windowed operators use plain windows on them.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,21 +49,28 @@ def _ranged(df: DataFrame, order: str, n: int, name: str, filled: str | None = N
     probs = [i / n for i in range(1, n)]
     bounds = df.select(numeric.alias("o")).agg(
         F.percentile_approx("o", probs, max(1000, 4 * n)).alias("b")).scalar()
-    out = df.withColumns({"__bounds": bounds, "__order": numeric, name: F.lit(0)})
-    steps = [1 << power for power in reversed(range(n.bit_length() - 1))]
-    for step in steps:
-        # one projection per step keeps the search inside generated code without repeating sub-expressions
-        out = out.withColumn(name, F.col(name) + F.when(F.get("__bounds", F.col(name) + (step - 1)) < F.col("__order"), step).otherwise(0))
-    if filled:
+    out = df.withColumns({"__bounds": bounds, "__order": numeric})
+    out = out.withColumn(name, _climb(n, F.lit(0), lambda at: F.get("__bounds", at) < F.col("__order")))
+    if filled and _kept_apart(df, order):
         # Rows are cut by `tie` only where all of them have one value, which a rough number of a text does not prove.
+        sure = F.abs("__order") < float(1 << 53)
+        reach = _climb(n, F.col(name), lambda at: (F.get("__bounds", at) == F.col("__order")) & sure)
+        out = out.withColumn(filled, reach - F.col(name))
+    elif filled:
         out = out.withColumn(filled, F.lit(0))
-        for step in steps if _kept_apart(df, order) else []:
-            at = F.col(name) + F.col(filled) + (step - 1)
-            same = (F.get("__bounds", at) == F.col("__order")) & (F.abs("__order") < float(1 << 53))
-            out = out.withColumn(filled, F.col(filled) + F.when(same, step).otherwise(0))
     return out.drop("__bounds", "__order")
 
 
+def _climb(n: int, start: Column, holds: Callable[[Column], Column]) -> Column:
+    """First place from `start` on where `holds` fails, by binary search in log2(n) steps.
+
+    It is one expression whatever n is: a chain of columns, each naming the one before twice, doubles the plan's
+    constraints with every step.
+    """
+    steps = F.array(*[F.lit(1 << power) for power in reversed(range(n.bit_length() - 1))])
+    return F.aggregate(steps, start, lambda at, step: at + F.when(holds(at + step - 1), step).otherwise(0))
+
+
 def _kept_apart(df: DataFrame, name: str) -> bool:
     """Whether `_numeric` gives different values, below 2 ** 53, different numbers."""
     kind = df.schema[name].dataType
