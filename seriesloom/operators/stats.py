@@ -18,6 +18,7 @@ from seriesloom.functions.pvalues import p_value, t_critical
 from seriesloom.operators.aggregates import ratio
 from seriesloom.operators.joins import series_pairs
 from seriesloom.operators.split import (join_keys, running_sums, value_positions, with_group_stats)
+from seriesloom.session import stored
 
 
 # ---- linear trends -------------------------------------------------------------------------------------------
@@ -62,16 +63,25 @@ def ols_trend(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float =
 
 
 def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int | None = None) -> DataFrame:
-    """S = concordant minus discordant pairs per key, exactly, without forming pairs.
+    """S = concordant minus discordant pairs per key, exactly, without forming pairs; equal x do not count.
 
-    Rows get their position on x. Two rows are compared at the highest bit where their positions differ, so grouping
-    by (bit, higher bits) splits all pairs once; inside such a group S follows from running counts over y. The work
-    is N log N rows. Equal x never differ in a bit and do not count. n = 1 is for calendar-bounded series.
+    n = 1 is for calendar-bounded series.
     """
-    keys = list(keys)
+    return _pair_signs(_placed(df, keys, x, y, n), keys, n)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int | None) -> DataFrame:
+    """x, `__y` (a double), the position `__i` on x and the rows `n` of the key."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pos = value_positions(both, keys, x, n=n).select(*keys, x, F.col("n_before").alias("__i"), F.col("n_total").alias("n"))
-    rows = join_keys(both.select(*keys, x, F.col(y).cast("double").alias("__y")), pos, [*keys, x])
+    return join_keys(both.select(*keys, x, F.col(y).cast("double").alias("__y")), pos, [*keys, x])
+
+
+def _pair_signs(rows: DataFrame, keys: Sequence[str], n: int | None) -> DataFrame:
+    """S of placed rows. Two rows are compared at the highest bit where their positions differ, so grouping by (bit,
+    higher bits) splits all pairs once; inside such a group S follows from running counts over y. The work is N log N rows.
+    """
+    keys = list(keys)
     top = F.length(F.bin(F.col("n"))) - 1
     bits = rows.select(*keys, "__y", "__i", F.explode(F.sequence(F.lit(0), top)).alias("__l"))
     high = F.call_function("shiftright", F.col("__i"), F.col("__l") + 1)
@@ -115,29 +125,114 @@ def mann_kendall(df: DataFrame, keys: Sequence[str], time: str, value: str, n: i
     return out.withColumn("significant", F.col("p_value") < 0.05)
 
 
-def sen_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float = 1.0, digits: int = 6) -> DataFrame:
+def sen_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, scale: float = 1.0, digits: int = 6, in_task: int = 1024) -> DataFrame:
     """Median of pairwise slopes per key, times `scale`; 0 with fewer than two distinct x.
 
-    The input is a series with one row per period, so a key is as long as the calendar. Slopes are formed lag by lag
-    inside the task and never become rows.
+    Keys with up to `in_task` points, such as any series of calendar periods, form their slopes lag by lag inside one task,
+    which holds at most in_task^2 / 2 numbers. Longer ones go through `median_slope`, which never forms a pair.
     """
-    schema = T.StructType([*df.select(*keys).schema.fields, T.StructField("n", T.LongType()), T.StructField("sen_slope", T.DoubleType())])
-    width = len(list(keys))
+    keys = list(keys)
+    points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    sizes = df.groupBy(*keys).agg(F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()).alias("n"))
+    long = sizes.filter(F.col("n") > in_task)
+    picked = _slopes_in_task(join_keys(points, sizes.filter(F.col("n") <= in_task).select(*keys), keys, "left_semi") if keys
+                             else points.filter(sizes.scalar() <= in_task), keys)
+    if not long.isEmpty():
+        rows = join_keys(points, long.select(*keys), keys, "left_semi") if keys else points
+        picked = picked.unionByName(median_slope(rows, keys, "__x", "__y", 10.0 ** -(digits + 3) / abs(scale or 1.0)).select(*keys, "slope"))
+    slope = F.round(F.coalesce("slope", F.lit(0.0)) * scale, digits)
+    out = join_keys(sizes, picked, keys, "left") if keys else sizes.withColumn("slope", picked.select("slope").scalar())
+    return out.select(*keys, "n", slope.alias("sen_slope"))
+
+
+def _slopes_in_task(points: DataFrame, keys: list[str]) -> DataFrame:
+    schema = T.StructType([*points.select(*keys).schema.fields, T.StructField("slope", T.DoubleType())])
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = pdf[[x, y]].dropna().sort_values(x)
-        a, b = pts[x].to_numpy(float), pts[y].to_numpy(float)
+        pts = pdf.sort_values("__x")
+        a, b = pts["__x"].to_numpy(float), pts["__y"].to_numpy(float)
         slopes = []
         for lag in range(1, len(a)):
             dx = a[lag:] - a[:-lag]
             ok = dx != 0
             slopes.append((b[lag:] - b[:-lag])[ok] / dx[ok])
         flat = np.concatenate(slopes) if slopes else np.empty(0)
-        slope = float(np.median(flat)) * scale if len(flat) else 0.0
-        return pd.DataFrame([[*key[:width], len(a), slope]], columns=schema.names)
+        return pd.DataFrame([[*key[:len(keys)], float(np.median(flat)) if len(flat) else 0.0]], columns=schema.names)
+
+    return points.groupBy(*keys).applyInPandas(fit, schema)
+
 
-    out = df.select(*keys, x, y).groupBy(*keys).applyInPandas(fit, schema)
-    return out.withColumn("sen_slope", F.round("sen_slope", digits))
+def median_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, width: float, n: int | None = None, rounds: int = 60) -> DataFrame:
+    """Median of pairwise slopes of keys of any length, to within `width` (or 2^-45 of its size), without forming pairs.
+
+    A slope below theta is a discordant pair of y - theta * x over x, so `_pair_signs` ranks any theta among all slopes in N log
+    N rows. Brackets around the two middle ranks start from quantiles of slopes of random pairs and shrink for all keys at
+    once: every round ranks two values beside the interpolated rank and seven even steps. State is one row a key.
+    """
+    keys = list(keys)
+    rows = stored(_placed(df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__v")), keys, "__x", "__v", n)
+                        .withColumnRenamed("__y", "__v"))
+    halves = F.pmod(F.xxhash64("__x", "__v"), F.floor(F.col("n") / 2) + 1)
+    ends = rows.groupBy(*keys, halves.alias("__b")).agg(*[f(F.struct("__x", "__v")).alias(a) for f, a in ((F.min, "lo"), (F.max, "hi"))])
+    guess = ratio(F.col("hi.__v") - F.col("lo.__v"), F.col("hi.__x") - F.col("lo.__x"))
+    drawn = ends.select(*keys, guess.alias("g")).groupBy(*keys).agg(
+        F.percentile_approx("g", [0.02, 0.25, 0.42, 0.5, 0.58, 0.75, 0.98], 1000).alias("q"), F.min("g").alias("g0"), F.max("g").alias("g1"))
+    same_x = tie_terms(rows, keys, "__x", "x")
+    both = rows.groupBy(*keys, "__x", "__v").agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("both"))
+    facts = join_keys(join_keys(same_x.select(*keys, F.col("x_n").alias("m"), "x_pairs"), both, keys), drawn, keys)
+    pairs = (F.col("m") * (F.col("m") - 1) / 2 - F.col("x_pairs")).cast("bigint")
+    span = F.coalesce(F.greatest(F.col("g1") - F.col("g0"), F.abs("g1")), F.lit(0.0)) + width
+    facts = facts.select(*keys, "both", pairs.alias("pairs"), span.alias("span"),
+                         F.coalesce(F.array_distinct(F.concat("q", F.array("g0", "g1"))), F.array(F.lit(0.0))).alias("tries"))
+    state = facts.filter(F.col("pairs") > 0)
+    state = state.withColumns({"r_a": F.floor((F.col("pairs") - 1) / 2), "r_b": F.floor(F.col("pairs") / 2),
+                               **{f"{c}_{t}": F.lit(None).cast("double") for t in "ab" for c in ("lo", "hi", "c", "d")}})
+    state = stored(state)
+    for turn in range(rounds):
+        open_ = state.filter(F.size("tries") > 0)
+        if open_.isEmpty():
+            break
+        state = stored(_narrowed(rows, state, keys, n, width, turn))
+    middle = [(F.coalesce(f"lo_{t}", f"hi_{t}") + F.coalesce(f"hi_{t}", f"lo_{t}")) / 2 for t in "ab"]
+    return state.select(*keys, "pairs", ((middle[0] + middle[1]) / 2).alias("slope"))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, keys: list[str], n: int | None, width: float, turn: int) -> DataFrame:
+    """Rank the tried values of every open key and draw its brackets in."""
+    tried = state.filter(F.size("tries") > 0).select(*keys, F.explode("tries").alias("__theta"))
+    by = [*keys, "__theta"]
+    turned = join_keys(rows, tried, keys) if keys else rows.withColumn("__t", state.select("tries").scalar()).select("*", F.explode("__t").alias("__theta")).drop("__t")
+    turned = turned.withColumn("__y", F.col("__v") - F.col("__theta") * F.col("__x"))
+    signs = join_keys(_pair_signs(turned, by, n), tie_terms(turned, by, "__y", "z").select(*by, "z_pairs"), by)
+    ranked = join_keys(signs, state.select(*keys, "pairs", "both", "r_a", "r_b"), keys) if keys else signs.withColumns(
+        {c: state.select(c).scalar() for c in ("pairs", "both", "r_a", "r_b")})
+    ties = F.greatest(F.col("z_pairs") - F.col("both"), F.lit(0.0))
+    below = (F.col("pairs") - ties - F.col("s")) / 2
+    ranked = ranked.select(*keys, "r_a", "r_b", F.col("__theta").alias("at"), below.alias("lt"), (below + ties).alias("le"))
+    found = []
+    for t in "ab":
+        low, high = F.when(F.col("lt") <= F.col(f"r_{t}"), F.col("at")), F.when(F.col("le") > F.col(f"r_{t}"), F.col("at"))
+        found += [F.max(low).alias(f"__lo_{t}"), F.max_by("lt", low).alias(f"__c_{t}"), F.min(high).alias(f"__hi_{t}"), F.min_by("le", high).alias(f"__d_{t}")]
+    new = ranked.groupBy(*keys).agg(*found)
+    both = join_keys(state, new, keys, "left") if keys else state.withColumns({c: new.select(c).scalar() for c in new.columns})
+    for t in "ab":
+        up = F.coalesce(F.col(f"__lo_{t}") > F.col(f"lo_{t}"), F.col(f"__lo_{t}").isNotNull())
+        down = F.coalesce(F.col(f"__hi_{t}") < F.col(f"hi_{t}"), F.col(f"__hi_{t}").isNotNull())
+        both = both.withColumns({f"lo_{t}": F.when(up, F.col(f"__lo_{t}")).otherwise(F.col(f"lo_{t}")), f"c_{t}": F.when(up, F.col(f"__c_{t}")).otherwise(F.col(f"c_{t}")),
+                                 f"hi_{t}": F.when(down, F.col(f"__hi_{t}")).otherwise(F.col(f"hi_{t}")), f"d_{t}": F.when(down, F.col(f"__d_{t}")).otherwise(F.col(f"d_{t}"))})
+    far = F.col("span") * float(4 ** min(turn, 200))
+
+    def tries(t: str) -> Column:
+        lo, hi, r = F.col(f"lo_{t}"), F.col(f"hi_{t}"), F.col(f"r_{t}")
+        gap = hi - lo
+        at = lo + gap * F.greatest(F.least((r + 0.5 - F.col(f"c_{t}")) / F.greatest(F.col(f"d_{t}") - F.col(f"c_{t}"), F.lit(1.0)), F.lit(1.0)), F.lit(0.0))
+        inner = F.filter(F.array(at - gap / 64, at + gap / 64, *[lo + gap * (i / 8) for i in range(1, 8)]), lambda v: (v > lo) & (v < hi))
+        done = gap <= F.greatest(F.lit(width), F.greatest(F.abs(lo), F.abs(hi)) * 2.0**-45)
+        return (F.when(lo.isNull(), F.array(hi - far)).when(hi.isNull(), F.array(lo + far))
+                .when(done, F.array().cast("array<double>")).otherwise(inner))
+
+    same = F.col("lo_a").eqNullSafe(F.col("lo_b")) & F.col("hi_a").eqNullSafe(F.col("hi_b"))
+    return both.withColumn("tries", F.when(same, tries("a")).otherwise(F.array_distinct(F.concat(tries("a"), tries("b"))))).select(*state.columns)
 
 
 def kendall_tau_b(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int | None = 1, tests: bool = True) -> DataFrame:

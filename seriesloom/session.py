@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +46,30 @@ def segments(spark: SparkSession) -> int:
     return max(power, 2)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, which survives the loss of an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`, which driver and executors share.
 
-    A local session without `spark.checkpoint.dir` gets a temporary folder; on a cluster its absence is an error.
+    A local session without it gets a temporary folder; on a cluster its absence is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder, which survives the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like `checkpointed`, for state that is rewritten round after round: a checkpoint keeps the constraints that Spark has
+    derived for its rows, and these multiply with every round; a table that is written and read again has none.
+    """
+    path = f"{shared_folder(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -182,3 +182,35 @@ def test_valley_between_masses_far_apart(spark):
     curve = weighted_kde(df, [], "v", F.lit(1.0), 0.01, 0.5, 3.5, 401)
     row = valley_detect(curve, []).first()
     assert abs(np.log10(row.valley) - 2.0) < 0.01 and row.depth == 1.0
+
+
+def brute_sen(x, y):
+    i, j = np.triu_indices(len(x), 1)
+    dx = x[j] - x[i]
+    return float(np.median(((y[j] - y[i])[dx != 0]) / dx[dx != 0]))
+
+
+def test_median_slope_without_pairs(spark):
+    rng = np.random.default_rng(5)
+    n = 150
+    cases = {"noise": (np.arange(n), 0.03 * np.arange(n) + rng.normal(0, 4, n)), "ties": (rng.integers(0, 30, n), rng.integers(0, 3, n)),
+             "flat": (np.arange(n), np.zeros(n)), "heavy": (rng.normal(0, 1, n), rng.standard_cauchy(n)),
+             "two": (np.array([0, 1]), np.array([3.0, 9.0])), "steps": (np.array([0, 1, 2, 3]), np.array([0.0, 0, 10, 10]))}
+    pdf = pd.concat([pd.DataFrame({"k": k, "x": np.asarray(x, float), "y": np.asarray(y, float)}) for k, (x, y) in cases.items()])
+    df = spark.createDataFrame(pdf)
+    got = {r.k: r.slope for r in S.median_slope(df, ["k"], "x", "y", 1e-2, n=1).collect()}
+    assert got.keys() == cases.keys()
+    for k, (x, y) in cases.items():
+        assert abs(got[k] - brute_sen(np.asarray(x, float), np.asarray(y, float))) <= 2e-2, k
+
+
+def test_sen_slope_of_long_and_short_keys(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.concat([pd.DataFrame({"k": k, "x": np.arange(float(m)), "y": rng.normal(0, 1, m) + 0.2 * np.arange(m)}) for k, m in (("a", 90), ("b", 20), ("c", 1))])
+    got = {r.k: (r.n, r.sen_slope) for r in S.sen_slope(spark.createDataFrame(pdf), ["k"], "x", "y", scale=10, digits=1, in_task=50).collect()}
+    for k, g in pdf.groupby("k"):
+        want = brute_sen(g.x.to_numpy(), g.y.to_numpy()) * 10 if len(g) > 1 else 0.0
+        assert got[k] == (len(g), round(want, 1))
+    whole = S.sen_slope(spark.createDataFrame(pdf[pdf.k == "b"][["x", "y"]]), [], "x", "y", in_task=50).first()
+    b = pdf[pdf.k == "b"]
+    assert (whole.n, whole.sen_slope) == (20, round(brute_sen(b.x.to_numpy(), b.y.to_numpy()), 6))
