@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -87,24 +88,47 @@ def neighbourhood_join(mains: DataFrame, events: DataFrame, days: float, radius:
                        min_gap_seconds: float = 10.0, tags: Sequence[str] = ()) -> DataFrame:
     """(main, event) pairs with the event at most `days` later and within `radius` km of the main event.
 
-    Both sides carry id, t (seconds), lat, lon. Rows meet on (time bucket, latitude band): a main event visits the
-    buckets its window and circle can touch, so the join is an equi-join whose output is close to the result.
-    `radius` is an expression over the main columns prefixed with m_.
+    Both sides carry id, t (seconds), lat, lon. Rows meet in cells of time, latitude band and longitude. Cells come in
+    `LEVELS` sizes, each a quarter of the one before; a main event uses the smallest size that is not below its own radius and
+    visits the cells that its window and circle touch, so a small radius never meets the rows of a large cell. An event
+    stands in one cell a level. `radius` is an expression over the main columns prefixed with m_.
     """
     span = days * 86400.0
-    band_deg = max_radius_km / (EARTH_RADIUS_KM * 3.141592653589793 / 180.0)
-    m = mains.select(*[F.col(c).alias(f"m_{c}") for c in mains.columns])
+    degrees = EARTH_RADIUS_KM * math.pi / 180.0
+    m = mains.select(*[F.col(c).alias(f"m_{c}") for c in mains.columns]).withColumn("__r", F.least(radius, F.lit(float(max_radius_km))))
+    level = F.floor(F.log(4.0, max_radius_km / F.greatest(F.col("__r"), F.lit(1e-9))))
+    m = m.withColumn("level", F.greatest(F.least(level, F.lit(LEVELS - 1)), F.lit(0)).cast("int"))
     m = m.withColumn("tb", F.explode(F.array(F.floor(F.col("m_t") / span), F.floor(F.col("m_t") / span) + 1)))
-    lat_band = F.floor(F.col("m_lat") / band_deg)
-    m = m.withColumn("yb", F.explode(F.array(lat_band - 1, lat_band, lat_band + 1)))
-    e = events.withColumn("tb", F.floor(F.col("t") / span)).withColumn("yb", F.floor(F.col("lat") / band_deg))
+    size = max_radius_km / degrees / F.pow(F.lit(4.0), F.col("level"))
+    m = m.withColumn("yb", F.explode(F.sequence(F.floor((F.col("m_lat") - F.col("__r") / degrees) / size - 1e-9), F.floor((F.col("m_lat") + F.col("__r") / degrees) / size + 1e-9))))
+    # the widest longitude difference inside a circle; a circle that holds a pole reaches round the globe
+    arc = F.col("__r") / EARTH_RADIUS_KM
+    polar = F.radians(F.abs("m_lat")) + arc >= math.pi / 2 - 1e-9
+    reach = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.sin(arc) / F.cos(F.radians("m_lat")), F.lit(1.0)))) + 1e-6)
+    around = _cells_around(F.col("yb"), size)
+    first = F.floor((F.col("m_lon") - reach + 180) / 360 * around)
+    last = F.least(F.floor((F.col("m_lon") + reach + 180) / 360 * around), first + around - 1)
+    m = m.withColumn("xb", F.explode(F.transform(F.sequence(first, last), lambda c: F.pmod(c, around))))
+    e = events.withColumn("tb", F.floor(F.col("t") / span)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    e = e.withColumn("yb", F.floor(F.col("lat") / size))
+    e = e.withColumn("xb", F.pmod(F.floor((F.col("lon") + 180) / 360 * _cells_around(F.col("yb"), size)), _cells_around(F.col("yb"), size)))
     gap = F.col("t") - F.col("m_t")
     dist = haversine_km(F.col("m_lat"), F.col("m_lon"), F.col("lat"), F.col("lon"))
-    pairs = m.join(e, ["tb", "yb"]).filter((gap > min_gap_seconds) & (gap <= span))
-    return (pairs.withColumn("dist_km", dist).filter(F.col("dist_km") <= F.least(radius, F.lit(max_radius_km)))
+    pairs = m.join(e, ["tb", "level", "yb", "xb"]).filter((gap > min_gap_seconds) & (gap <= span))
+    return (pairs.withColumn("dist_km", dist).filter(F.col("dist_km") <= F.col("__r"))
             .select("m_id", "id", gap.alias("gap_s"), "dist_km", *[f"m_{c}" for c in tags], *tags))
 
 
+#: Cell sizes of `neighbourhood_join`; an event takes one row a size.
+LEVELS = 4
+
+
+def _cells_around(band: Column, size: Column) -> Column:
+    """Longitude cells of a latitude band: about as wide as the band is high at its edge nearer to a pole, one at least."""
+    edge = F.least(F.greatest(F.abs(band * size), F.abs((band + 1) * size)), F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / size), F.lit(1)).cast("bigint")
+
+
 def thin_events(events: DataFrame, min_days: float = 2.0, far_days: float = 90.0, min_km: float = 300.0) -> DataFrame:
     """Keep well-separated events, largest first: an event goes when a kept larger one precedes it by less than
     `min_days`, or by less than `far_days` within `min_km`. Columns id, t (seconds), mag, lat, lon.

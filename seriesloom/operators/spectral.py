@@ -1,22 +1,23 @@
 """Spectra and time-frequency power as sums over fixed frequency, period or scale grids.
 
-Series are calendar-bounded (one row per key and step). Grid size times series length bounds the rows a series turns
-into, and partial aggregation folds them before the shuffle.
+Series are calendar-bounded (one row per key and step). Transforms run in two stages of about sqrt(n) terms a row; other
+grids turn a series into grid size times length rows. Partial aggregation folds them before the shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators.aggregates import ratio
-from seriesloom.operators.split import with_group_stats
+from seriesloom.operators.split import join_keys, with_group_stats
 from seriesloom.operators.windows import by_time
 
 
@@ -34,16 +35,36 @@ def periodogram(df: DataFrame, keys: Sequence[str], step: str, value: str, fs: f
     rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value), __i0=F.min(step), __i1=F.max(step))
     x = F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0))
     rows = rows.select(*keys, (F.col(step) - F.col("__i0")).alias("i"), (F.col("__i1") - F.col("__i0") + 1).alias("n"), x.alias("x"))
-    grid = rows.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))).alias("f_idx"))
-    a = 2 * math.pi * F.col("f_idx") * F.col("i") / F.col("n")
-    xw = F.col("x") * _hann(F.col("i"), F.col("n"))
-    s = grid.groupBy(*keys, "n", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"))
+    root = F.floor(F.sqrt(F.col("n").cast("double"))).cast("int")
+    factor = F.array_max(F.filter(F.sequence(F.lit(1), root), lambda d: F.col("n") % d == 0))
+    rows = rows.select(*keys, "i", "n", (F.col("x") * _hann(F.col("i"), F.col("n"))).alias("x"), factor.alias("n1"))
+    s = two_stage_transform(rows, keys).withColumnRenamed("k", "f_idx").filter((F.col("f_idx") >= 1) & (2 * F.col("f_idx") <= F.col("n")))
     sides = F.when(2 * F.col("f_idx") == F.col("n"), 1.0).otherwise(2.0)
     freq = F.col("f_idx") * fs / F.col("n")
     return s.select(*keys, "f_idx", freq.alias("freq"), (1 / freq).alias("period"),
                     (sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (fs * F.col("n") * 0.375)).alias("power"))
 
 
+def two_stage_transform(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """re and im of sum x exp(2 pi j k i / n) per key for k = 0 .. n-1, in n * (n1 + n2) rows instead of n * n.
+
+    Rows carry the place `i`, the value `x`, the length `n` and a divisor `n1` of n; absent places count 0. With i = n2 i1 + i2
+    and k = k1 + n1 k2 the sum over i1 depends on k1 alone, so it is formed once for all k2 and then turned by k1 i2 / n. A
+    prime length has n1 = 1, which is the plain sum.
+    """
+    keys = list(keys)
+    n2 = (F.col("n") / F.col("n1")).cast("long")
+    part = rows.select(*keys, "n", "n1", "x", F.floor(F.col("i") / n2).alias("i1"), (F.col("i") % n2).alias("i2"),
+                       F.explode(F.sequence(F.lit(0), F.col("n1").cast("int") - 1)).alias("k1"))
+    a = 2 * math.pi * ((F.col("i1") * F.col("k1")) % F.col("n1")) / F.col("n1")
+    part = part.groupBy(*keys, "n", "n1", "i2", "k1").agg(F.sum(F.col("x") * F.cos(a)).alias("a"), F.sum(F.col("x") * F.sin(a)).alias("b"))
+    part = part.select("*", F.explode(F.sequence(F.lit(0), (n2 - 1).cast("int"))).alias("k2"))
+    t = 2 * math.pi * ((F.col("i2") * (F.col("k1") + F.col("n1") * F.col("k2"))) % F.col("n")) / F.col("n")
+    c, s = F.cos(t), F.sin(t)
+    return part.groupBy(*keys, "n", (F.col("k1") + F.col("n1") * F.col("k2")).alias("k")).agg(
+        F.sum(F.col("a") * c - F.col("b") * s).alias("re"), F.sum(F.col("a") * s + F.col("b") * c).alias("im"))
+
+
 def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg: int, fs: float = 12.0) -> DataFrame:
     """Mean density over half-overlapping Hann segments, each with its own mean removed; only full segments count.
 
@@ -58,11 +79,13 @@ def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg
     seg = rows.select(*keys, i.alias("i"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     seg = seg.filter("lo <= hi").select(*keys, "i", "x", F.explode(F.sequence("lo", "hi")).alias("seg"))
     seg = seg.withColumn("j", F.col("i") - F.col("seg") * half)
-    grid = seg.select("*", F.explode(F.sequence(F.lit(1), F.lit(half))).alias("f_idx"))
     n = F.lit(float(nperseg))
-    a = 2 * math.pi * F.col("f_idx") * F.col("j") / n
-    xw = F.col("x") * _hann(F.col("j"), n)
-    s = grid.groupBy(*keys, "seg", "f_idx").agg(F.sum(xw * F.cos(a)).alias("re"), F.sum(xw * F.sin(a)).alias("im"), F.sum("x").alias("sx"))
+    factor = max(d for d in range(1, math.isqrt(nperseg) + 1) if nperseg % d == 0)
+    placed = seg.select(*keys, "seg", F.col("j").alias("i"), (F.col("x") * _hann(F.col("j"), n)).alias("x"),
+                        F.lit(nperseg).cast("long").alias("n"), F.lit(factor).alias("n1"))
+    s = two_stage_transform(placed, [*keys, "seg"]).withColumnRenamed("k", "f_idx").filter(F.col("f_idx").between(1, half))
+    sums = seg.groupBy(*keys, "seg").agg(F.sum("x").alias("sx"))
+    s = join_keys(s, sums, [*keys, "seg"])
     re = F.col("re") + F.when(F.col("f_idx") == 1, F.col("sx") / n * (nperseg / 4.0)).otherwise(0.0)
     sides = F.when(2 * F.col("f_idx") == nperseg, 1.0).otherwise(2.0)
     p = sides * (re * re + F.col("im") * F.col("im")) / (fs * nperseg * 0.375)
@@ -75,26 +98,81 @@ def period_grid(low: float, high: float, n: int) -> list[float]:
     return [float(p) for p in np.logspace(math.log10(low), math.log10(high), n)]
 
 
+#: Terms of the expansion inside a bin and bins of a block. With eight bins to the shortest period an angle at twice the
+#: frequency moves by at most pi/4 from a bin's middle, so ORDER terms leave less than (pi/4)^ORDER / ORDER! = 7e-12 of a value.
+ORDER, BINS_A_PERIOD, BLOCK = 13, 8, 512
+
+
 def lomb_scargle(df: DataFrame, keys: Sequence[str], time: str, value: str, periods: Sequence[float]) -> DataFrame:
-    """Normalised power at the given periods for unevenly timed values (mean removed).
+    """Normalised power at the given periods for unevenly timed values (mean removed). Rows may be raw events.
 
-    The phase offset of each frequency follows from five sums, so one aggregate per (key, period) is enough. Rows may
-    be raw events: partial aggregation folds every task's rows to one row per key and period.
+    Rows are reduced to moments of time bins, an eighth of the shortest period wide, before anything is shuffled: within a
+    bin exp(i w t) is its value at the middle times a short series in the distance from it. Blocks of up to `BLOCK` bins are
+    then turned into sums at all periods by matrix products, and block sums are added up per key and period. Work is
+    rows x ORDER + bins x periods. A key without variance has no power (null).
     """
-    rows = with_group_stats(df.filter(F.col(value).isNotNull()).select(*keys, time, value), keys, __m=F.avg(value))
-    grid = F.array(*[F.struct(F.lit(i).alias("f_idx"), F.lit(p).alias("period")) for i, p in enumerate(periods)])
-    g = rows.select(*keys, (F.col(value) - F.col("__m")).alias("x"), F.col(time).cast("double").alias("t"), F.inline(grid))
-    a = 2 * math.pi * F.col("t") / F.col("period")
-    c, s, x = F.cos(a), F.sin(a), F.col("x")
-    m = g.groupBy(*keys, "f_idx", "period").agg(F.sum(x * c).alias("xc"), F.sum(x * s).alias("xs"), F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"),
-                                            F.sum(c * s).alias("cs"), F.sum(x * x).alias("xx"))
-    tau = F.atan2(2 * F.col("cs"), F.col("cc") - F.col("ss")) / 2
+    keys, low = list(keys), min(periods)
+    width = low / BINS_A_PERIOD
+    t = F.col(time).cast("double")
+    rows = df.filter(F.col(value).isNotNull() & F.col(time).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"), t.alias("t"), F.floor(t / width).alias("bin"))
+    rows = rows.withColumn("u", 2 * (F.col("t") / width - F.col("bin") - 0.5))
+    power_of = [F.lit(1.0)]
+    for _ in range(ORDER - 1):
+        power_of.append(power_of[-1] * F.col("u"))
+    cells = rows.groupBy(*keys, "bin").agg(*[F.sum(F.col("x") * u).alias(f"x{m}") for m, u in enumerate(power_of)], *[F.sum(u).alias(f"w{m}") for m, u in enumerate(power_of)])
+    moments = F.array(*[f"x{m}" for m in range(ORDER)], *[f"w{m}" for m in range(ORDER)])
+    blocks = cells.groupBy(*keys, F.floor(F.col("bin") / BLOCK).alias("block")).agg(F.collect_list(F.struct("bin", moments.alias("m"))).alias("bins"))
+    blocks = blocks.select(*keys, "block", F.col("bins.bin").alias("bin"), F.flatten("bins.m").alias("m"))
+    sums = ("xc", "xs", "wc", "ws", "w2c", "w2s")
+    fields = [*df.select(*keys).schema.fields, T.StructField("f_idx", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in sums]]
+    found = blocks.mapInArrow(_bin_sums(keys, np.asarray(periods, float), width), T.StructType(fields))
+    found = found.groupBy(*keys, "f_idx").agg(*[F.sum(c).alias(c) for c in sums])
+    stats = rows.groupBy(*keys).agg(F.count("x").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("xx"))
+    if keys:
+        m = join_keys(found, stats, keys)
+    else:
+        one = stats.select(F.struct("n", "mean", "xx").alias("s")).scalar()
+        m = found.withColumn("__s", one).select("*", "__s.n", "__s.mean", "__s.xx")
+    m = m.withColumns({"xc": F.col("xc") - F.col("mean") * F.col("wc"), "xs": F.col("xs") - F.col("mean") * F.col("ws")})
+    sum_cc, sum_ss, sum_cs = (F.col("n") + F.col("w2c")) / 2, (F.col("n") - F.col("w2c")) / 2, F.col("w2s") / 2
+    tau = F.atan2(2 * sum_cs, sum_cc - sum_ss) / 2
     ct, st = F.cos(tau), F.sin(tau)
     xc, xs = F.col("xc") * ct + F.col("xs") * st, F.col("xs") * ct - F.col("xc") * st
-    cc = ct * ct * F.col("cc") + 2 * ct * st * F.col("cs") + st * st * F.col("ss")
-    ss = ct * ct * F.col("ss") - 2 * ct * st * F.col("cs") + st * st * F.col("cc")
-    power = (ratio(xc * xc, cc) + ratio(xs * xs, ss)) / F.col("xx")
-    return m.select(*keys, "f_idx", "period", power.alias("power"))
+    cc = ct * ct * sum_cc + 2 * ct * st * sum_cs + st * st * sum_ss
+    ss = ct * ct * sum_ss - 2 * ct * st * sum_cs + st * st * sum_cc
+    power = ratio(F.coalesce(ratio(xc * xc, cc), F.lit(0.0)) + F.coalesce(ratio(xs * xs, ss), F.lit(0.0)), F.col("xx"))
+    grid = F.array(*[F.lit(float(p)) for p in periods])
+    return m.select(*keys, "f_idx", F.get(grid, F.col("f_idx")).alias("period"), power.alias("power"))
+
+
+def _bin_sums(keys: list[str], periods: np.ndarray, width: float):
+    """Sums of value and weight times exp(i w t), and of weight times exp(2 i w t), per block and period."""
+    steps = np.arange(ORDER)
+    factorial = np.array([math.factorial(m) for m in steps], float)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        omega = 2 * math.pi / periods
+        turn = 1j * omega[:, None] * width / 2
+        once, twice = turn ** steps / factorial, (2 * turn) ** steps / factorial
+        held = {"block": None}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = batch.column("block")[k].as_py()
+                if held["block"] != block:
+                    middle = (block * BLOCK + np.arange(BLOCK) + 0.5) * width
+                    held = {"block": block, "wave": np.exp(1j * omega[:, None] * middle)}
+                bins = np.asarray(batch.column("bin")[k].values) - block * BLOCK
+                m = np.asarray(batch.column("m")[k].values, float).reshape(len(bins), 2 * ORDER)
+                wave = held["wave"][:, bins]
+                turned = wave @ m
+                x, w = (turned[:, :ORDER] * once).sum(1), (turned[:, ORDER:] * once).sum(1)
+                w2 = ((wave * wave) @ m[:, ORDER:] * twice).sum(1)
+                same = np.full(len(periods), k)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(same)) for c in keys], pa.array(np.arange(len(periods), dtype=np.int32)),
+                                                  *[pa.array(np.ascontiguousarray(v)) for z in (x, w, w2) for v in (z.real, z.imag)]],
+                                                 [*keys, "f_idx", "xc", "xs", "wc", "ws", "w2c", "w2s"])
+
+    return work
 
 
 def spectral_peaks(spectrum: DataFrame, keys: Sequence[str], order: str, period: str = "period", power: str = "power", min_ratio: float = 0.1,

@@ -39,6 +39,39 @@ def _(t):
     return long_cols(rounded(out, 5, "power"), "f_idx")
 
 
+HOURS = f"""{HOURLY}, sp AS (SELECT event_type, min(hi) AS i0, max(hi) - min(hi) + 1 AS n, avg(value) AS m FROM hourly GROUP BY 1),
+st AS (SELECT event_type, i0, n, m, unnest(range(0, n)) AS i FROM sp),
+dn AS (SELECT st.event_type, st.n, i, coalesce(value - m, 0) AS x FROM st LEFT JOIN hourly h ON h.event_type = st.event_type AND h.hi = i0 + i)"""
+
+
+def _welch_hours(nperseg: int) -> str:
+    half = nperseg // 2
+    return f"""
+WITH {HOURS}, sg AS (SELECT unnest(range(0, 40)) AS seg), a AS (SELECT event_type, seg, i - seg * {half} AS j, x AS v FROM dn, sg
+  WHERE i >= seg * {half} AND i < seg * {half} + {nperseg} AND seg * {half} + {nperseg} <= n),
+d AS (SELECT event_type, seg, j, v - avg(v) OVER (PARTITION BY event_type, seg) AS x, 0.5 - 0.5 * cos(2 * pi() * j / {nperseg}) AS w FROM a),
+k AS (SELECT unnest(range(1, {half + 1})) AS k),
+s AS (SELECT event_type, seg, k, sum(x * w * cos(2 * pi() * k * j / {nperseg})) AS re, sum(x * w * sin(2 * pi() * k * j / {nperseg})) AS im, sum(w * w) AS ww
+      FROM d, k GROUP BY ALL)
+SELECT event_type, k AS f_idx, count(*) AS n_segments, round(avg(CASE WHEN k = {half} THEN 1 ELSE 2 END * (re * re + im * im) / (24 * ww)), 4) AS power
+FROM s GROUP BY 1, 2"""
+
+
+def _hours(t, nperseg):
+    out = H.welch_psd(hourly(t), ["event_type"], "hi", "value", nperseg, 24.0).select("event_type", "f_idx", "n_segments", "power")
+    return long_cols(rounded(out, 4, "power"), "f_idx")
+
+
+@query("h02_welch_360", _welch_hours(360))
+def _(t):
+    return _hours(t, 360)
+
+
+@query("h02_welch_512", _welch_hours(512))
+def _(t):
+    return _hours(t, 512)
+
+
 @query("h03_lomb_scargle", f"""
 WITH {HOURLY}, e AS (SELECT event_type, hi / 24.0::DOUBLE AS t, value - avg(value) OVER (PARTITION BY event_type) AS x FROM hourly),
 g AS (SELECT k, pow(10, log10(2) + (log10(150) - log10(2)) * k / 1999) AS p FROM (SELECT unnest(range(0, 2000)) AS k)),
@@ -52,6 +85,20 @@ def _(t):
     return rounded(out, 6, "power")
 
 
+@query("h03_user_spectra", """
+WITH e AS (SELECT user_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400e6 AS t, value - avg(value) OVER (PARTITION BY user_id) AS x FROM events),
+g AS (SELECT k, pow(10, log10(0.5) + (log10(30) - log10(0.5)) * k / 399) AS p FROM (SELECT unnest(range(0, 400)) AS k)),
+m AS (SELECT user_id, k, p, sum(x * cos(2 * pi() * t / p)) AS xc, sum(x * sin(2 * pi() * t / p)) AS xs, sum(pow(cos(2 * pi() * t / p), 2)) AS cc, sum(pow(sin(2 * pi() * t / p), 2)) AS ss,
+  sum(cos(2 * pi() * t / p) * sin(2 * pi() * t / p)) AS cs, sum(x * x) AS xx FROM e, g GROUP BY 1, 2, 3), q AS (SELECT *, atan2(2 * cs, cc - ss) / 2 AS a FROM m)
+SELECT user_id, k AS f_idx, round(p, 8) AS period, round((pow(xc * cos(a) + xs * sin(a), 2) / (pow(cos(a), 2) * cc + 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * ss)
+  + pow(xs * cos(a) - xc * sin(a), 2) / (pow(cos(a), 2) * ss - 2 * cos(a) * sin(a) * cs + pow(sin(a), 2) * cc)) / xx, 6) AS power FROM q""")
+def _(t):
+    """The raw, uneven events of every user."""
+    e = t.events.select("user_id", "value", ((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 86400e6).alias("t"))
+    out = H.lomb_scargle(e, ["user_id"], "t", "value", H.period_grid(0.5, 30, 400))
+    return rounded(rounded(long_cols(out, "f_idx"), 6, "power"), 8, "period")
+
+
 @query("h04_spectral_peaks")
 def _(t):
     spec = H.periodogram(mega(t), ["priority"], "mi", "v")

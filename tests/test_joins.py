@@ -68,3 +68,18 @@ def test_first_overlap_takes_list_order(spark):
     df = spark.createDataFrame([("2020-01-05", "2020-02-01")], "s string, e string")
     hit = df.select(first_overlap(F.col("s"), F.col("e"), [("late", "2020-01-20", "2020-03-01"), ("early", "2020-01-01", "2020-01-10")]).alias("n")).first().n
     assert hit == "late"
+
+
+def test_neighbourhood_over_date_line_poles_and_levels(spark):
+    rng = np.random.default_rng(7)
+
+    def points(n, first):
+        lat = np.concatenate([rng.uniform(-90, 90, n // 3), rng.uniform(85, 90, n // 3), rng.uniform(-5, 5, n - 2 * (n // 3))])
+        lon = np.concatenate([rng.uniform(-180, 180, 2 * (n // 3)), rng.choice([-179.9, 179.9, -180.0, 180.0, 0.0], n - 2 * (n // 3))])
+        return pd.DataFrame({"id": np.arange(first, first + n), "t": rng.uniform(0, 40 * 86400, n), "lat": lat, "lon": lon})
+
+    mains, events = points(60, 0).assign(reach=rng.choice([3.0, 40.0, 300.0, 1000.0], 60)), points(500, 1000)
+    events.loc[:19, ["lat", "lon"]] = mains.loc[:19, ["lat", "lon"]].to_numpy()
+    got = {(r.m_id, r.id) for r in neighbourhood_join(spark.createDataFrame(mains), spark.createDataFrame(events), 20, F.col("m_reach"), 1000.0).collect()}
+    want = {(m.id, e.id) for m in mains.itertuples() for e in events.itertuples() if 10 < e.t - m.t <= 20 * 86400 and km(m, e) <= m.reach}
+    assert got == want and len(want) > 200

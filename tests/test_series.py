@@ -142,3 +142,35 @@ def test_stream_forms(spark, tmp_path):
         q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
         assert spark.table(name).count() == want
+
+
+def test_two_stage_transform_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    cases = {n: rng.normal(0, 1, n) for n in (1, 2, 13, 36, 90)}
+    rows = [(n, i, float(v), n, max(d for d in range(1, int(n ** 0.5) + 1) if n % d == 0)) for n, x in cases.items() for i, v in enumerate(x)]
+    out = H.two_stage_transform(spark.createDataFrame(rows, "g int, i long, x double, n long, n1 int"), ["g"]).collect()
+    assert len(out) == sum(cases)
+    for r in out:
+        want = np.conj(np.fft.fft(cases[r.g]))[r.k]
+        assert abs(complex(r.re, r.im) - want) < 1e-9
+
+
+def test_lomb_scargle_bins_match_direct_sums(spark):
+    rng = np.random.default_rng(10)
+    periods = H.period_grid(0.3, 400, 60)
+    cases = {"long": 1000.0, "short": 3.0}
+    rows = [(k, float(t), float(v)) for k, span in cases.items() for t, v in zip(rng.uniform(-span, span, 200), rng.normal(1e4, 1, 200))]
+    rows += [("flat", 1.0, 2.0), ("flat", 2.0, 2.0), ("none", None, 1.0), ("none", 1.0, None)]
+    got = {(r.k, r.f_idx): r.power for r in H.lomb_scargle(spark.createDataFrame(rows, "k string, t double, v double"), ["k"], "t", "v", periods).collect()}
+    assert len(got) == 3 * len(periods) and all(got["flat", i] is None for i in range(len(periods)))
+    for k in cases:
+        t, v = (np.array([r[c] for r in rows if r[0] == k]) for c in (1, 2))
+        x = v - v.mean()
+        for i, p in enumerate(periods):
+            w = 2 * np.pi / p
+            tau = np.arctan2(np.sin(2 * w * t).sum(), np.cos(2 * w * t).sum()) / (2 * w)
+            c, s = np.cos(w * (t - tau)), np.sin(w * (t - tau))
+            want = ((x @ c) ** 2 / (c @ c) + (x @ s) ** 2 / (s @ s)) / (x @ x)
+            assert abs(got[k, i] - want) < 1e-7
+    whole = H.lomb_scargle(spark.createDataFrame(rows[:200], "k string, t double, v double"), [], "t", "v", periods).collect()
+    assert all(abs(r.power - got["long", r.f_idx]) < 1e-9 for r in whole)

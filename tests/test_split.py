@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import split
 from seriesloom.operators.ranking import interleave
-from seriesloom.operators.split import SEG, nearest_known, neighbours, row_positions, with_segment
+from seriesloom.operators.split import SEG, exact_quantiles, nearest_known, neighbours, row_positions, with_segment
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,29 @@ def test_text_order(spark):
     df = spark.createDataFrame([("g", c) for c in names], "g string, name string")
     want = {c: k for k, c in enumerate(sorted(names, key=lambda c: c.encode()))}
     assert {r.name: r.turn for r in interleave(df, "g", "name", ["g"]).collect()} == want
+
+
+def test_quantiles_reread_only_wanted_segments(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "hot", "hot", "a", "b"], 3000), "v": np.where(rng.random(3000) < 0.3, 1.0, rng.normal(0, 5, 3000))})
+    pdf.loc[pdf.k == "b", "v"] = pdf.loc[pdf.k == "b", "v"].round()
+    df = spark.createDataFrame(pdf)
+    probs = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    for row in exact_quantiles(df, ["k"], "v", probs, n=64).collect():
+        assert np.allclose([row[c] for c in probs], np.quantile(pdf[pdf.k == row.k].v, list(probs.values())))
+    floor = exact_quantiles(df, [], "v", {"m": 0.5, "q": 0.9}, "floor", n=16).first()
+    assert (floor.m, floor.q) == tuple(np.sort(pdf.v)[[1500, 2700]])
+    assert exact_quantiles(df.limit(0), ["k"], "v", probs, n=16).count() == 0
+
+
+def test_plans_stay_small_at_many_segments(spark):
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), (F.col("id") % 50).alias("o"), F.col("id").alias("t"))
+    rows = row_positions(df, ["k"], "o", "t", n=1024)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("\n") < 40
+    place = {}
+    for r in sorted(df.collect(), key=lambda r: (r.k, r.o, r.t)):
+        place[r.t] = place.get(("n", r.k), 0) + 1
+        place["n", r.k] = place[r.t]
+    assert all(r.position == place[r.t] for r in rows.collect())
+    near = neighbours(df, ["k"], "o", "t", before={"t": "prev"}, n=1024)
+    assert near.filter("prev is null").count() == 7
