@@ -246,25 +246,62 @@ def acf_peaks(acf: DataFrame, keys: Sequence[str], distance: int, height: float)
     return acf.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(find, schema)
 
 
+#: Least steps of a block of `morlet_power`.
+WAVE_BLOCK = 2048
+
+
 def morlet_power(df: DataFrame, keys: Sequence[str], step: str, value: str, scales: Sequence[float], omega0: float = 6.0,
                  steps_per_unit: float = 12.0) -> DataFrame:
     """Morlet wavelet power per (time, scale): window half-width 3 scales, period 2 pi s / omega0.
 
-    Each value adds its product with the wavelet to every step in reach, and the products are summed by (key, scale,
-    step) inside the task before they are shuffled. Missing values and steps count 0 after mean removal; only steps that
-    have a row come out.
+    A series is cut into blocks of steps; a value goes to its block and, near an edge, to the neighbour that its wavelets
+    reach, so a row is shuffled twice at most. Inside a block all scales are products in the frequency domain, padded so that
+    nothing wraps round. Missing values and steps count 0 after mean removal; only steps that have a row come out.
     """
+    keys = list(keys)
+    reach = max(int(3 * max(scales)), 1)
+    size = max(WAVE_BLOCK, 2 * reach)
     rows = with_group_stats(df.select(*keys, step, value), keys, __m=F.avg(value))
-    grid = F.explode(F.array(*[F.lit(float(s)) for s in scales])).alias("scale")
-    rows = rows.select(*keys, F.col(step).cast("bigint").alias("at"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).alias("x"), grid)
-    half = F.greatest(F.floor(3 * F.col("scale")), F.lit(1)).cast("int")
-    reach = rows.select(*keys, "scale", "at", "x", F.explode(F.sequence(-half, half)).alias("lag"))
-    eta = F.col("lag") / F.col("scale")
-    part = F.col("x") * F.exp(-eta * eta / 2)
-    sums = reach.groupBy(*keys, "scale", (F.col("at") - F.col("lag")).alias("step")).agg(
-        F.sum(part * F.cos(omega0 * eta)).alias("re"), F.sum(part * F.sin(omega0 * eta)).alias("im"), F.bool_or(F.col("lag") == 0).alias("own"))
-    power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("scale") * math.sqrt(math.pi))
-    return sums.filter("own").select(*keys, "scale", "step", power.alias("power"), (2 * math.pi * F.col("scale") / omega0 / steps_per_unit).alias("period"))
+    rows = rows.select(*keys, F.col(step).cast("bigint").alias("at"), F.coalesce(F.col(value) - F.col("__m"), F.lit(0.0)).cast("double").alias("x"))
+    blocks = F.explode(F.sequence(F.floor((F.col("at") - reach) / size), F.floor((F.col("at") + reach) / size))).alias("block")
+    near = rows.select("*", blocks).groupBy(*keys, "block").agg(F.collect_list(F.struct("at", "x")).alias("r"))
+    near = near.select(*keys, "block", F.col("r.at").alias("at"), F.col("r.x").alias("x"))
+    fields = [*df.select(*keys).schema.fields, T.StructField("scale", T.DoubleType()), T.StructField("step", T.LongType()), T.StructField("power", T.DoubleType())]
+    out = near.mapInArrow(_block_waves(keys, np.asarray(scales, float), omega0, reach, size), T.StructType(fields))
+    return out.select("*", (2 * math.pi * F.col("scale") / omega0 / steps_per_unit).alias("period"))
+
+
+def _block_waves(keys: list[str], scales: np.ndarray, omega0: float, reach: int, size: int):
+    length = size + 2 * reach
+    padded = 1 << (length + 2 * reach).bit_length()
+
+    def wavelets() -> list[tuple[int, np.ndarray]]:
+        out = []
+        for s in scales:
+            half = max(int(3 * s), 1)
+            eta = np.arange(half, -half - 1, -1) / s
+            out.append((half, np.fft.fft(np.exp(-eta * eta / 2 + 1j * omega0 * eta), padded)))
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = wavelets()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                first = batch.column("block")[k].as_py() * size
+                at, x = np.asarray(batch.column("at")[k].values), np.asarray(batch.column("x")[k].values, float)
+                own = np.unique(at[(at >= first) & (at < first + size)])
+                if not len(own):
+                    continue
+                dense = np.zeros(padded)
+                np.add.at(dense, at - first + reach, x)
+                waves = np.fft.fft(dense)
+                power = np.stack([np.abs(np.fft.ifft(waves * spectrum)[own - first + reach + half]) ** 2 / (s * math.sqrt(math.pi))
+                                  for s, (half, spectrum) in zip(scales, ready)])
+                same = pa.array(np.full(power.size, k))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(same) for c in keys], pa.array(np.repeat(scales, len(own))),
+                                                  pa.array(np.tile(own, len(scales))), pa.array(power.ravel())], [*keys, "scale", "step", "power"])
+
+    return work
 
 
 def dominant_period(power: DataFrame, keys: Sequence[str], low: float, high: float, smooth: int) -> DataFrame:

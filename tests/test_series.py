@@ -174,3 +174,20 @@ def test_lomb_scargle_bins_match_direct_sums(spark):
             assert abs(got[k, i] - want) < 1e-7
     whole = H.lomb_scargle(spark.createDataFrame(rows[:200], "k string, t double, v double"), [], "t", "v", periods).collect()
     assert all(abs(r.power - got["long", r.f_idx]) < 1e-9 for r in whole)
+
+
+def test_morlet_blocks_match_direct_sums(spark, monkeypatch):
+    monkeypatch.setattr(H, "WAVE_BLOCK", 8)
+    rng = np.random.default_rng(12)
+    steps = np.sort(rng.choice(np.arange(-60, 120), 90, replace=False))
+    values = [None if i % 17 == 0 else float(v) for i, v in enumerate(rng.normal(0, 3, 90))]
+    scales = [0.2, 1.0, 2.5, 9.0]
+    df = spark.createDataFrame([("a", int(t), v) for t, v in zip(steps, values)], "k string, t long, v double")
+    got = {(r.scale, r.step): r.power for r in H.morlet_power(df, ["k"], "t", "v", scales).collect()}
+    assert len(got) == len(scales) * len(steps)
+    mean = np.mean([v for v in values if v is not None])
+    x = {int(t): 0.0 if v is None else v - mean for t, v in zip(steps, values)}
+    for (s, t), power in got.items():
+        half = max(int(3 * s), 1)
+        w = sum(x.get(t + lag, 0.0) * np.exp(-(lag / s) ** 2 / 2 + 6j * lag / s) for lag in range(-half, half + 1))
+        assert abs(power - abs(w) ** 2 / (s * np.sqrt(np.pi))) < 1e-9 * (1 + power)
