@@ -15,41 +15,50 @@ class DigestIndex:
 
     The folder is the persistent state: another session opens it with the same path and number of buckets. A batch is
     reduced to one row per digest before anything moves, then anti-joined with the index by sort-merge; the index side
-    is read in its buckets, without a shuffle. What the anti-join leaves is appended, one file a bucket. A batch that is
-    run again finds its own digests and appends nothing, so a failed job can simply be repeated.
+    is read in its buckets, without a shuffle. What the anti-join leaves is appended, one file a bucket, under the name of
+    its batch. A batch that is run again appends nothing and finds its own digests under its own name, so that they count
+    as fresh again: a job that failed before, during or after the append can simply be repeated.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "bigint"):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.id_type = spark, path, id_type
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self.table = f"digest_index_{hashlib.sha256(path.encode()).hexdigest()[:16]}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}, keep_row BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, groups: DataFrame) -> DataFrame:
+    def _append(self, rows: DataFrame) -> None:
+        (rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table, path=self.path))
+
+    def add(self, groups: DataFrame, batch: str) -> DataFrame:
         """Append the digests of `groups` (digest, keep_id, keep_row, group_size) that are new; return them all with
-        the id that stands in the index, and `fresh`: whether this batch brought it."""
+        the id that stands in the index. keep_row stays where this batch brought the digest and is null elsewhere."""
         new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        new = stored(new.select("digest", "keep_id", "keep_row"), "new-digests")
-        (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table, path=self.path))
-        old = self.read().select("digest", F.col("keep_id").alias("index_id"), F.col("keep_row").alias("index_row"))
-        both = groups.join(old.hint("merge"), "digest").join(
-            new.select("digest", F.lit(True).alias("fresh")).hint("merge"), "digest", "left")
-        return both.select("digest", F.col("index_id").alias("keep_id"),
-                           F.when(F.col("fresh"), F.col("index_row")).alias("keep_row"), "group_size")
+        self._append(stored(new.select("digest", "keep_id", F.lit(batch).alias("batch")), "new-digests"))
+        old = self.read().select("digest", F.col("keep_id").alias("index_id"), F.col("batch") == batch)
+        both = groups.join(old.toDF("digest", "index_id", "fresh").hint("merge"), "digest")
+        return both.select("digest", F.col("index_id").alias("keep_id"), F.when(F.col("fresh"), F.col("keep_row")).alias("keep_row"), "group_size")
+
+    def compacted(self, path: str) -> DigestIndex:
+        """The same index at another path with one file a bucket, however many batches it had."""
+        other = DigestIndex(self.spark, path, self.buckets, self.id_type)
+        other._append(self.read())
+        return other
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
     """One row per input row: doc_id, digest, keep_id, group_size, kept.
 
     Texts are equal when identical; null is the empty text. Of equal texts in a batch the row with the largest id stays
     (a null id is smaller than any other; of rows that repeat an id, one); a text that the index already holds stays
     with its earlier id and all rows of the batch go. group_size counts rows of the batch. Empty tables give no rows.
+    `batch` names the batch in the index; by default it is a hash of all its digests, ids and counts, so that a rerun of the
+    same rows has the same name and the same result.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, fresh_path(spark, "digest-index"), id_type=docs.schema[doc_id].dataType.simpleString())
@@ -59,7 +68,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     groups = stored(digests.groupBy("digest").agg(top.alias("top"), F.count("*").alias("group_size"))
                     .select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.row").alias("keep_row"), "group_size"),
                     "digest-groups")
-    placed = stored(index.add(groups), "digest-places")
+    if batch is None:
+        seen = groups.agg(F.count("*"), F.sum("group_size"), F.bit_xor(F.xxhash64("digest", "keep_id", "group_size")), F.bit_xor(F.xxhash64("group_size", "keep_id", "digest"))).first()
+        batch = hashlib.sha256(repr(tuple(seen)).encode()).hexdigest()[:32]
+    placed = stored(index.add(groups, batch), "digest-places")
     return attach(digests, placed, "digest", "group_size").select(
         "doc_id", "digest", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"))
 

@@ -75,6 +75,28 @@ def test_digest_index_persists(spark, tmp_path):
     assert found == {3: (2, False), 4: (5, False), 5: (5, True)}
 
 
+def test_digest_index_survives_repeated_and_failed_batches(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "doc_id long, text string")
+    two = spark.createDataFrame([(4, "b"), (5, "c"), (6, "d")], "doc_id long, text string").repartition(2)
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 3)
+
+    def result(df):
+        return {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df, index).collect()}
+
+    first = result(one)
+    assert first == {1: (1, True), 2: (3, False), 3: (3, True)} == result(one.repartition(3))
+    # a job that fails after a part of its digests was appended
+    real = index._append
+    monkeypatch.setattr(index, "_append", lambda rows: (real(rows.where("keep_id = 5")), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        result(two)
+    monkeypatch.setattr(index, "_append", real)
+    want = {4: (3, False), 5: (5, True), 6: (6, True)}
+    assert result(two) == want and result(two) == want and result(one) == first
+    small = index.compacted(str(tmp_path / "small"))
+    assert sorted(map(tuple, small.read().collect())) == sorted(map(tuple, index.read().collect())) and small.read().count() == 4
+
+
 def brute_print(text):
     w = text.encode().lower().split()
     if not w:
