@@ -140,11 +140,17 @@ def histogram_2d(df: DataFrame, keys: Sequence[str], x: str, y: str, x_edges: tu
     return inside.groupBy(*keys, "xb", "yb").agg(F.count(F.lit(1)).alias("n"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, levels: Sequence) -> DataFrame:
-    """Counts of every row value for each fixed column level; empty cells are 0. Long form (row, level, n)."""
-    wide = df.groupBy(row).pivot(column, list(levels)).agg(F.count(F.lit(1)))
-    wide = wide.fillna(0)
-    return wide.unpivot(row, [str(v) for v in levels], "level", "n")
+def crosstab(df: DataFrame, row: str, column: str, levels: Sequence, rest: str | None = None) -> DataFrame:
+    """Counts of every row value for each fixed column level; empty cells are 0. Long form (row, level, n).
+
+    `rest` names one more level for all rows of other levels and of none, so that the cells sum to the table.
+    """
+    levels = [str(v) for v in levels]
+    named = F.col(column).cast("string")
+    if rest is not None:
+        named, levels = F.when(named.isin(levels), named).otherwise(rest), [*levels, rest]
+    wide = df.select(row, named.alias("__level")).groupBy(row).pivot("__level", levels).agg(F.count(F.lit(1)))
+    return wide.fillna(0, levels).unpivot(row, levels, "level", "n")
 
 
 def shannon_entropy(df: DataFrame, keys: Sequence[str], category: str, base: float = 2.0,

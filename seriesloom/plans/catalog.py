@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 MODULES = ["quality", "joining", "grouping", "trends", "windowing", "episodes", "spectra", "ranking",
-           "scalars", "texts", "portfolios", "sourcing", "studies"]
+           "scalars", "texts", "portfolios", "sourcing", "studies", "study_tables"]
 
 
 class Tables:

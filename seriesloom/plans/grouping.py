@@ -167,6 +167,15 @@ def _(t):
     return A.crosstab(t.orders.withColumn("yr", F.year("o_orderdate")), "o_orderpriority", "yr", range(1994, 2002))
 
 
+@query("d13_crosstab_rest", """
+SELECT p.o_orderpriority, level, count(o_orderkey) AS n
+FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (VALUES ('1996'), ('1997'), ('1998'), ('other years')) g(level)
+LEFT JOIN orders o ON o.o_orderpriority = p.o_orderpriority AND level = CASE WHEN year(o_orderdate) IN (1996, 1997, 1998) THEN year(o_orderdate)::VARCHAR ELSE 'other years' END
+GROUP BY 1, 2""")
+def _(t):
+    return A.crosstab(t.orders.withColumn("yr", F.year("o_orderdate")), "o_orderpriority", "yr", [1996, 1997, 1998], "other years")
+
+
 @query("d13_decade_crosstab", """
 SELECT l_returnflag, CAST(d AS VARCHAR) AS level, count(l_orderkey) AS n
 FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem) CROSS JOIN (VALUES (1980), (1990), (2000)) g(d)

@@ -31,22 +31,26 @@ def _(t):
     return long_cols(P.quantile_buckets(signals(t), ["as_of"], "composite", "k"), "as_of").select("as_of", "k", "bucket")
 
 
-MRETN = f"""{MONTHLY}, rt AS (SELECT nation, mi, value / lag(value) OVER (PARTITION BY nation ORDER BY mi) - 1 AS r FROM monthly WHERE mi < 79),
+#: The first month that the orders do not cover to its last day.
+LAST_SQL = "(SELECT (year(max(o_orderdate) + INTERVAL 1 DAY) - 1995) * 12 + month(max(o_orderdate) + INTERVAL 1 DAY) - 1 FROM orders)"
+MRETN = f"""{MONTHLY}, rt AS (SELECT nation, mi, value / lag(value) OVER (PARTITION BY nation ORDER BY mi) - 1 AS r FROM monthly WHERE mi < {LAST_SQL}),
 ew AS (SELECT mi, avg(r) AS ew_return, count(r) AS n_members FROM rt WHERE r IS NOT NULL GROUP BY 1)"""
 
 
 def nation_returns(t):
     from seriesloom.operators.windows import by_time
-    m = monthly(t).filter("mi < 79")
+    after = F.date_add(F.max("o_orderdate"), 1)
+    open_month = t.orders.agg(((F.year(after) - 1995) * 12 + F.month(after) - 1).alias("m")).scalar()
+    m = monthly(t).filter(F.col("mi") < open_month)
     return m.select("nation", "mi", (F.col("value") / F.lag("value").over(by_time(["nation"], "mi")) - 1).alias("r")).filter("r is not null")
 
 
 @query("p03_benchmark", f"""
-WITH {MRETN} SELECT count(*) AS n, round(sum(ln(1 + ew_return)), 8) AS log_total, round(pow(exp(sum(ln(1 + ew_return))), 1 / 6.5) - 1, 6) AS annualised,
+WITH {MRETN} SELECT count(*) AS n, round(sum(ln(1 + ew_return)), 8) AS log_total, round(pow(exp(sum(ln(1 + ew_return))), 12.0 / count(*)) - 1, 6) AS annualised,
   round(avg(ew_return) / stddev_samp(ew_return) * sqrt(12), 6) AS sharpe FROM ew""")
 def _(t):
     ew = P.equal_weight(nation_returns(t), "mi", "r")
-    perf = P.performance(ew, [], "ew_return", F.lit(6.5)).withColumn("log_total", F.log1p("total_return")).drop("total_return")
+    perf = P.performance(ew, [], "ew_return", F.col("n") / 12).withColumn("log_total", F.log1p("total_return")).drop("total_return")
     return rounded(rounded(perf, 6, "annualised", "sharpe"), 8, "log_total")
 
 

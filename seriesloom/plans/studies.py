@@ -163,7 +163,7 @@ def _(t):
     cat = catalogue(t)
     mains = thin_events(cat.filter("mag >= 6")).select("id", "t", "mag", "lat", "lon")
     pairs = neighbourhood_join(mains, cat, 90, F.pow(F.lit(10.0), 0.5 * F.col("m_mag") - 1.78), 1000.0, tags=("mag",))
-    fits = S.omori_fit(pairs.select("m_id", (F.col("gap_s") / 86400).alias("d")), ["m_id"], "d", refine=False)
+    fits = S.omori_fit(pairs.select("m_id", (F.col("gap_s") / 86400).alias("d")), ["m_id"], "d")
     bath = S.baths_law(pairs, mains.select(F.col("id").alias("m_id"), F.col("mag").alias("main_mag")), "m_id", "main_mag", "mag")
     return rounded(join_keys(bath.select("m_id", "main_mag", "largest", "n_after", "gap"), fits.select("m_id", "rate_k", "c", "p", "aic"), ["m_id"], "left"), 6, "main_mag", "largest", "gap", "rate_k", "c", "p", "aic")
 
@@ -192,12 +192,12 @@ def _(t):
 
 @query("q11_radius_valley", f"""
 WITH qc AS (SELECT p_type, v, CASE WHEN f > 0 THEN 1.0 / (f * v * f * v) ELSE 1.0 END AS wt FROM (SELECT p_type, p_retailprice AS v, CASE WHEN p_size % 3 = 0 THEN greatest(p_size * 0.9, p_size * 1.1) ELSE p_size * 0.9 END / p_retailprice AS f FROM part)
-  WHERE v BETWEEN 900 AND 1000 AND f <= 0.2), {curve_sql('qc', 'p_type', 'v', 'wt', 0.0015, 2.95, 3.0, 400)}, {valley_sql('cv', 'p_type', 0.004)}""")
+  WHERE v BETWEEN 900 AND 1000 AND f <= 0.2), {curve_sql('qc', 'p_type', 'v', 'wt', 0.0015, 2.95, 3.0, 1000)}, {valley_sql('cv', 'p_type', 0.004)}""")
 def _(t):
     """Quality cuts, weights, log density and its valley per part type."""
     src = t.part.select("p_partkey", "p_type", "p_retailprice", (F.col("p_size") * 0.9).alias("up"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") * -1.1).alias("down"))
     cut = B.quality_cuts(src, "p_retailprice", "up", "down", 900, 1000)
-    curve = S.weighted_kde(cut, ["p_type"], "p_retailprice", F.col("weight"), 0.0015, 2.95, 3.0, 400)
+    curve = S.weighted_kde(cut, ["p_type"], "p_retailprice", F.col("weight"), 0.0015, 2.95, 3.0, 1000)
     return rounded(S.valley_detect(curve, ["p_type"], min_gap=0.004), 6, "peak_low", "peak_high", "low_density", "high_density", "valley", "valley_density", "depth", "width_log")
 
 

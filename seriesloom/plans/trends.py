@@ -336,13 +336,13 @@ def _(t):
     return rounded(out.filter("n_after >= 5").select("m_id", "largest", "n_after", "gap"), 6, "largest", "gap")
 
 
-KDE = dict(bandwidth=0.0025, low=2.95, high=3.0, points=200)
+KDE = dict(bandwidth=0.0025, low=2.95, high=3.0, points=1000)
 
 
 @query("e21_weighted_kde", """
 WITH v AS (SELECT log10(p_retailprice) AS lv, sum(p_size) AS w FROM part GROUP BY 1), tot AS (SELECT sum(p_size) AS s FROM part),
-g AS (SELECT unnest(range(0, 200)) AS g)
-SELECT g, round(sum(w / s * exp(-0.5 * pow((lv - (2.95 + g * (0.05 / 199))) / 0.0025, 2)) / (0.0025 * sqrt(2 * pi()))), 6) AS density FROM v, tot, g GROUP BY 1""")
+g AS (SELECT unnest(range(0, 1000)) AS g)
+SELECT g, round(sum(w / s * exp(-0.5 * pow((lv - (2.95 + g * (0.05 / 999))) / 0.0025, 2)) / (0.0025 * sqrt(2 * pi()))), 6) AS density FROM v, tot, g GROUP BY 1""")
 def _(t):
     out = S.weighted_kde(t.part, [], "p_retailprice", F.col("p_size"), **KDE)
     return out.select(F.col("g").cast("bigint").alias("g"), F.round("density", 6).alias("density"))
@@ -457,13 +457,13 @@ def _(t):
 
 
 @query("e30_harmonic_fit", f"""
-WITH {MPRIO}, g AS (SELECT priority, p, value AS y, cos(2 * pi() * mi / p) AS c, sin(2 * pi() * mi / p) AS s FROM mprio, (SELECT unnest([6.0, 9.0, 12.0, 18.0, 24.0, 36.0]) AS p)),
+WITH {MPRIO}, g AS (SELECT priority, p, value AS y, cos(2 * pi() * mi / p) AS c, sin(2 * pi() * mi / p) AS s FROM mprio, (SELECT unnest(range(6, 81))::DOUBLE AS p)),
 m AS (SELECT priority, p, count(*) AS n, regr_sxx(y, c) AS cc, regr_sxx(y, s) AS ss, regr_sxy(s, c) AS cs, regr_sxy(y, c) AS cy, regr_sxy(y, s) AS sy, regr_syy(y, c) AS yy FROM g GROUP BY 1, 2),
 f AS (SELECT *, (cy * ss - sy * cs) / (cc * ss - cs * cs) AS a, (sy * cc - cy * cs) / (cc * ss - cs * cs) AS b FROM m), r AS (SELECT *, yy - a * cy - b * sy AS rss FROM f),
 q AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY rss, p) AS i FROM r)
 SELECT priority, n, CAST(p AS DOUBLE) AS period, round(sqrt(a * a + b * b), 2) AS amplitude, round(1 - rss / yy, 6) AS r2, round(((yy - rss) / 2) / (rss / (n - 3)), 5) AS f_stat FROM q WHERE i = 1""")
 def _(t):
-    out = S.harmonic_fit(monthly_priority(t), ["priority"], "mi", "value", [6, 9, 12, 18, 24, 36], tests=False).drop("phase")
+    out = S.harmonic_fit(monthly_priority(t), ["priority"], "mi", "value", range(6, 81), tests=False).drop("phase")
     return rounded(rounded(rounded(out, 2, "amplitude"), 6, "r2"), 5, "f_stat")
 
 
