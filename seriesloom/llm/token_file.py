@@ -31,8 +31,12 @@ def _cache(config: str, width: str) -> Cache:
     return Cache(lambda piece: np.array(ids(piece), width).tobytes(), CACHED)
 
 
-def encode_ids(docs: DataFrame, config: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned, two bytes while the vocabulary permits) with `end_id` appended."""
+def encode_ids(docs: DataFrame, config: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", tally: bool = False) -> DataFrame:
+    """doc_id, n, ids (little-endian unsigned, two bytes while the vocabulary permits) with `end_id` appended.
+
+    With `tally` every task adds a last row with n = -1: the ids it wrote, and in `times` how often, as 64-bit numbers. It is a
+    row of the task's own output, so it is written or lost with the ids that it counts.
+    """
     width = "<u2" if library_tokenizer(config).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(config)
     base = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
@@ -42,34 +46,40 @@ def encode_ids(docs: DataFrame, config: str, end_id: int = 0, doc_id: str = "doc
         config = shared.value
         split, library, entry = special_splitter(config), library_tokenizer(config), _cache(config, width).__getitem__
         end = np.array([end_id], width).tobytes()
+        total, id_type = np.zeros(0, np.int64), None
         for batch in batches:
+            id_type = batch.schema.field("doc_id").type
             out = []
             for value in batch.column("text").to_pylist():
                 parts = []
                 for part, token in split(value):
                     parts.append(np.array([token], width).tobytes() if token is not None else b"".join(map(entry, byte_pieces(library, part))))
                 out.append(b"".join([*parts, end]))
+            if tally:
+                more = np.bincount(np.frombuffer(b"".join(out), width), minlength=len(total))
+                more[: len(total)] += total
+                total = more
             counts = [len(x) // int(width[-1]) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary())],
-                                             names=["doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())],
+                                             names=["doc_id", "n", "ids", "times"])
+        seen = np.flatnonzero(total)
+        if len(seen):
+            last = [pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.array([seen.astype(width).tobytes()], pa.binary()), pa.array([total[seen].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(last, names=["doc_id", "n", "ids", "times"])
 
-    return base.mapInArrow(compute, f"doc_id {kind}, n bigint, ids binary")
+    rows = base.mapInArrow(compute, f"doc_id {kind}, n bigint, ids binary, times binary")
+    return rows if tally else rows.drop("times")
 
 
 def id_counts(encoded: DataFrame, width: str) -> dict[int, int]:
-    """How often each id occurs in all documents: summed in each task, then by id; one row an id reaches the driver."""
+    """How often each id occurs in all documents: the tasks' tallies summed by id; one row an id reaches the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), width)
-            more = np.bincount(ids, minlength=len(total))
-            more[: len(total)] += total
-            total = more
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
+            for ids, times in zip(batch.column("ids").to_pylist(), batch.column("times").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, width).astype(np.int64)), pa.array(np.frombuffer(times, np.int64))], names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = encoded.where("n = -1").select("ids", "times").mapInArrow(unfold, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in rows}
 
 
@@ -157,12 +167,13 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
 
 def unpack(bits: bytes, checkpoints: np.ndarray, n: int, book_bits: int, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The n ids from the first checkpoint on. All stretches between checkpoints advance together, one id at a time."""
-    raw = np.frombuffer(bits + bytes(STEP * book_bits // 8 + 8), np.uint8).astype(np.uint32)
-    window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
+    raw = bits + bytes(STEP * book_bits // 8 + 8)
+    # four bytes from any byte on, read in place: only the windows that are asked for are ever formed
+    window = np.ndarray((len(raw) - 3,), ">u4", raw, strides=(1,))
     at, mask = checkpoints.astype(np.int64), np.uint32((1 << book_bits) - 1)
     out = np.empty((len(at), STEP), np.uint32)
     for k in range(min(STEP, n)):
-        code = (window[at >> 3] >> (32 - book_bits - (at & 7)).astype(np.uint32)) & mask
+        code = (window[at >> 3].astype(np.uint32) >> (32 - book_bits - (at & 7)).astype(np.uint32)) & mask
         out[:, k] = ids[code]
         at = at + lengths[code]
     return out.reshape(-1)[:n]
@@ -183,13 +194,13 @@ def write_tokens(docs: DataFrame, path: str, config: str, end_id: int = 0, doc_i
     """
     spark = docs.sparkSession
     width = "<u2" if library_tokenizer(config).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    encoded = stored(encode_ids(docs, config, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    encoded = stored(encode_ids(docs, config, end_id, doc_id, text, tally=True).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     book = CodeBook.of(id_counts(encoded, width), longest)
     spark.createDataFrame(pa.table({"id": book.ids, "bits": book.lengths})).coalesce(1).write.parquet(f"{path}/codes")
     shared = spark.sparkContext.broadcast(book)
     kind = encoded.schema["doc_id"].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = encoded.repartitionByRange(partitions, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    ordered = encoded.where("n >= 0").select("doc_id", "row", "n", "ids").repartitionByRange(partitions, "doc_id", "row").sortWithinPartitions("doc_id", "row")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, lengths = shared.value.encoder()
