@@ -134,15 +134,22 @@ def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     return rows.where(first_failed(order, measures(F.col("body"))).isNull()).select("row.*")
 
 
+#: Measures that a report has by default; all others are formed inside the cascade, where a rule that needs them is reached.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text",
-                   sample_rows: int = 2000) -> DataFrame:
-    """doc_id, every measure, failed_rule and kept for each row; the cascade reads the measures already computed.
+                   sample_rows: int = 2000, reported: tuple[str, ...] = REPORTED) -> DataFrame:
+    """doc_id, the `reported` measures, failed_rule and kept for each row.
 
-    Null and empty texts have no words and fail; repeated rows are reported each; an empty table gives no rows.
+    Reported measures are formed once for every row and read by the cascade; a rule on any other measure forms it only
+    where all rules ahead of it pass. Null and empty texts have no words and fail; repeated rows are reported each; an
+    empty table gives no rows.
     """
     order = ordered_rules(docs, rules, text, sample_rows)
     base = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("body"))
-    names = list(measures(F.col("body")))
-    counted = base.select("doc_id", *[c.alias(k) for k, c in measures(F.col("body")).items()])
-    failed = first_failed(order, {k: F.col(k) for k in names})
-    return counted.select("*", failed.alias("failed_rule"), failed.isNull().alias("kept"))
+    every = measures(F.col("body"))
+    counted = base.select("doc_id", "body", *[every[k].alias(k) for k in reported])
+    failed = first_failed(order, every | {k: F.col(k) for k in reported})
+    judged = counted.withColumn("failed_rule", failed)
+    return judged.select("doc_id", *reported, "failed_rule", F.col("failed_rule").isNull().alias("kept"))
