@@ -38,7 +38,7 @@ def periodogram(df: DataFrame, keys: Sequence[str], step: str, value: str, fs: f
     root = F.floor(F.sqrt(F.col("n").cast("double"))).cast("int")
     factor = F.array_max(F.filter(F.sequence(F.lit(1), root), lambda d: F.col("n") % d == 0))
     rows = rows.select(*keys, "i", "n", (F.col("x") * _hann(F.col("i"), F.col("n"))).alias("x"), factor.alias("n1"))
-    s = two_stage_transform(rows, keys).withColumnRenamed("k", "f_idx").filter((F.col("f_idx") >= 1) & (2 * F.col("f_idx") <= F.col("n")))
+    s = two_stage_transform(rows, keys).withColumnRenamed("__k", "f_idx").filter((F.col("f_idx") >= 1) & (2 * F.col("f_idx") <= F.col("n")))
     sides = F.when(2 * F.col("f_idx") == F.col("n"), 1.0).otherwise(2.0)
     freq = F.col("f_idx") * fs / F.col("n")
     return s.select(*keys, "f_idx", freq.alias("freq"), (1 / freq).alias("period"),
@@ -46,7 +46,7 @@ def periodogram(df: DataFrame, keys: Sequence[str], step: str, value: str, fs: f
 
 
 def two_stage_transform(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """re and im of sum x exp(2 pi j k i / n) per key for k = 0 .. n-1, in n * (n1 + n2) rows instead of n * n.
+    """`__k`, re and im of sum x exp(2 pi j k i / n) per key for k = 0 .. n-1, in n * (n1 + n2) rows instead of n * n.
 
     Rows carry the place `i`, the value `x`, the length `n` and a divisor `n1` of n; absent places count 0. With i = n2 i1 + i2
     and k = k1 + n1 k2 the sum over i1 depends on k1 alone, so it is formed once for all k2 and then turned by k1 i2 / n. A
@@ -54,15 +54,15 @@ def two_stage_transform(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     n2 = (F.col("n") / F.col("n1")).cast("long")
-    part = rows.select(*keys, "n", "n1", "x", F.floor(F.col("i") / n2).alias("i1"), (F.col("i") % n2).alias("i2"),
-                       F.explode(F.sequence(F.lit(0), F.col("n1").cast("int") - 1)).alias("k1"))
-    a = 2 * math.pi * ((F.col("i1") * F.col("k1")) % F.col("n1")) / F.col("n1")
-    part = part.groupBy(*keys, "n", "n1", "i2", "k1").agg(F.sum(F.col("x") * F.cos(a)).alias("a"), F.sum(F.col("x") * F.sin(a)).alias("b"))
-    part = part.select("*", F.explode(F.sequence(F.lit(0), (n2 - 1).cast("int"))).alias("k2"))
-    t = 2 * math.pi * ((F.col("i2") * (F.col("k1") + F.col("n1") * F.col("k2"))) % F.col("n")) / F.col("n")
+    part = rows.select(*keys, "n", "n1", "x", F.floor(F.col("i") / n2).alias("__i1"), (F.col("i") % n2).alias("__i2"),
+                       F.explode(F.sequence(F.lit(0), F.col("n1").cast("int") - 1)).alias("__k1"))
+    a = 2 * math.pi * ((F.col("__i1") * F.col("__k1")) % F.col("n1")) / F.col("n1")
+    part = part.groupBy(*keys, "n", "n1", "__i2", "__k1").agg(F.sum(F.col("x") * F.cos(a)).alias("__a"), F.sum(F.col("x") * F.sin(a)).alias("__b"))
+    part = part.select("*", F.explode(F.sequence(F.lit(0), (n2 - 1).cast("int"))).alias("__k2"))
+    t = 2 * math.pi * ((F.col("__i2") * (F.col("__k1") + F.col("n1") * F.col("__k2"))) % F.col("n")) / F.col("n")
     c, s = F.cos(t), F.sin(t)
-    return part.groupBy(*keys, "n", (F.col("k1") + F.col("n1") * F.col("k2")).alias("k")).agg(
-        F.sum(F.col("a") * c - F.col("b") * s).alias("re"), F.sum(F.col("a") * s + F.col("b") * c).alias("im"))
+    return part.groupBy(*keys, "n", (F.col("__k1") + F.col("n1") * F.col("__k2")).alias("__k")).agg(
+        F.sum(F.col("__a") * c - F.col("__b") * s).alias("re"), F.sum(F.col("__a") * s + F.col("__b") * c).alias("im"))
 
 
 def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg: int, fs: float = 12.0) -> DataFrame:
@@ -83,7 +83,7 @@ def welch_psd(df: DataFrame, keys: Sequence[str], step: str, value: str, nperseg
     factor = max(d for d in range(1, math.isqrt(nperseg) + 1) if nperseg % d == 0)
     placed = seg.select(*keys, "seg", F.col("j").alias("i"), (F.col("x") * _hann(F.col("j"), n)).alias("x"),
                         F.lit(nperseg).cast("long").alias("n"), F.lit(factor).alias("n1"))
-    s = two_stage_transform(placed, [*keys, "seg"]).withColumnRenamed("k", "f_idx").filter(F.col("f_idx").between(1, half))
+    s = two_stage_transform(placed, [*keys, "seg"]).withColumnRenamed("__k", "f_idx").filter(F.col("f_idx").between(1, half))
     sums = seg.groupBy(*keys, "seg").agg(F.sum("x").alias("sx"))
     s = join_keys(s, sums, [*keys, "seg"])
     re = F.col("re") + F.when(F.col("f_idx") == 1, F.col("sx") / n * (nperseg / 4.0)).otherwise(0.0)

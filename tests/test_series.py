@@ -148,10 +148,10 @@ def test_two_stage_transform_of_any_length(spark):
     rng = np.random.default_rng(8)
     cases = {n: rng.normal(0, 1, n) for n in (1, 2, 13, 36, 90)}
     rows = [(n, i, float(v), n, max(d for d in range(1, int(n ** 0.5) + 1) if n % d == 0)) for n, x in cases.items() for i, v in enumerate(x)]
-    out = H.two_stage_transform(spark.createDataFrame(rows, "g int, i long, x double, n long, n1 int"), ["g"]).collect()
+    out = H.two_stage_transform(spark.createDataFrame(rows, "k int, i long, x double, n long, n1 int"), ["k"]).collect()
     assert len(out) == sum(cases)
     for r in out:
-        want = np.conj(np.fft.fft(cases[r.g]))[r.k]
+        want = np.conj(np.fft.fft(cases[r.k]))[r["__k"]]
         assert abs(complex(r.re, r.im) - want) < 1e-9
 
 
