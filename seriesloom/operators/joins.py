@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.literals import explode_matches, first_match
 from seriesloom.functions.scalars import EARTH_RADIUS_KM, haversine_km
-from seriesloom.operators.priority import resolve_conflicts
 from seriesloom.operators.split import join_keys, nearest_known
 
 
@@ -129,34 +128,6 @@ def _cells_around(band: Column, size: Column) -> Column:
     return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / size), F.lit(1)).cast("bigint")
 
 
-def thin_events(events: DataFrame, min_days: float = 2.0, far_days: float = 90.0, min_km: float = 300.0) -> DataFrame:
-    """Keep well-separated events, largest first: an event goes when a kept larger one precedes it by less than
-    `min_days`, or by less than `far_days` within `min_km`. Columns id, t (seconds), mag, lat, lon.
-
-    Larger events that precede are found by two bucketed joins (time only; time and latitude band); the greedy order
-    is resolved in rounds. Equal magnitudes rank by id.
-    """
-    near, far = min_days * 86400.0, far_days * 86400.0
-    band_deg = min_km / (EARTH_RADIUS_KM * 3.141592653589793 / 180.0)
-    big = events.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "t", "mag", "lat", "lon")])
-    larger = (F.col("b_mag") > F.col("mag")) | ((F.col("b_mag") == F.col("mag")) & (F.col("b_id") < F.col("id")))
-    gap = F.col("t") - F.col("b_t")
-    bucket = F.floor(F.col("b_t") / near)
-    by_time = (big.withColumn("tb", F.explode(F.array(bucket, bucket + 1)))
-               .join(events.withColumn("tb", F.floor(F.col("t") / near)), "tb")
-               .filter(larger & (gap > 0) & (gap < near)).select("b_id", "id"))
-    bucket, band = F.floor(F.col("b_t") / far), F.floor(F.col("b_lat") / band_deg)
-    by_space = (big.withColumn("tb", F.explode(F.array(bucket, bucket + 1)))
-                .withColumn("yb", F.explode(F.array(band - 1, band, band + 1)))
-                .join(events.withColumn("tb", F.floor(F.col("t") / far))
-                      .withColumn("yb", F.floor(F.col("lat") / band_deg)), ["tb", "yb"])
-                .filter(larger & (gap > 0) & (gap < far))
-                .filter(haversine_km(F.col("b_lat"), F.col("b_lon"), F.col("lat"), F.col("lon")) < min_km)
-                .select("b_id", "id"))
-    gone = resolve_conflicts(by_time.union(by_space), "b_id", "id")
-    return events.join(gone.withColumnRenamed("l", "id"), "id", "left_anti")
-
-
 def series_pairs(df: DataFrame, slot: Sequence[str], key: str, value: str) -> DataFrame:
     """Unordered pairs of series that share a slot: key_a < key_b with values x and y.
 

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from seriesloom.operators.joins import (box_join, first_box, first_overlap, month_fallback, nearest_within,
-                                        neighbourhood_join, series_pairs, share_of_global, snapshot_compare,
-                                        thin_events)
+                                        neighbourhood_join, series_pairs, share_of_global, snapshot_compare)
 from seriesloom.operators.split import neighbours
+from seriesloom.operators.thinning import thin_events
 from seriesloom.plans.catalog import query
 from seriesloom.plans.inputs import DAILY, MONTHLY, daily, monthly
 
@@ -140,19 +140,29 @@ def _(t):
                                      F.round(F.avg("dist_km"), 4).alias("mean_km"))
 
 
-@query("c10_thin_events", f"""
-WITH RECURSIVE {CATALOGUE}, o AS (SELECT *, row_number() OVER (ORDER BY mag DESC, id) AS r FROM cat WHERE mag >= 6),
+def _kept_in_turn(where: str) -> str:
+    return f"""
+WITH RECURSIVE {CATALOGUE}, o AS (SELECT *, row_number() OVER (ORDER BY mag DESC, id) AS r FROM cat WHERE {where}),
 g(r, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, t DOUBLE, lat DOUBLE, lon DOUBLE)[] UNION ALL
   SELECT o.r, CASE WHEN len(list_filter(kept, lambda s: o.t > s.t AND (o.t - s.t < 172800 OR (o.t - s.t < 7776000 AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(o.lat - s.lat) / 2), 2)
     + cos(radians(s.lat)) * cos(radians(o.lat)) * pow(sin(radians(o.lon - s.lon) / 2), 2)))) < 300)))) = 0
    THEN list_append(kept, {{'id': o.id, 't': o.t::DOUBLE, 'lat': o.lat::DOUBLE, 'lon': o.lon::DOUBLE}}) ELSE kept END FROM g JOIN o ON o.r = g.r + 1),
 k AS (SELECT unnest(kept).id AS id FROM g WHERE r = (SELECT count(*) FROM o))
-SELECT id, round(mag, 4) AS mag, round(t, 3) AS t FROM cat JOIN k USING (id)""")
+SELECT id, round(mag, 4) AS mag, round(t, 3) AS t FROM cat JOIN k USING (id)"""
+
+
+@query("c10_thin_events", _kept_in_turn("mag >= 6"))
 def _(t):
     kept = thin_events(catalogue(t).filter("mag >= 6"))
     return kept.select("id", F.round("mag", 4).alias("mag"), F.round("t", 3).alias("t"))
 
 
+@query("c10_thin_catalogue", _kept_in_turn("TRUE"))
+def _(t):
+    """Every event, without a cut in magnitude."""
+    return thin_events(catalogue(t)).select("id", F.round("mag", 4).alias("mag"), F.round("t", 3).alias("t"))
+
+
 @query("c11_series_pairs", f"""
 WITH {DAILY} SELECT a.event_type AS key_a, b.event_type AS key_b, count(*) AS n_slots,
   round(sum(a.value * b.value), 2) AS sum_xy FROM daily a JOIN daily b ON a.di = b.di AND a.event_type < b.event_type GROUP BY 1, 2""")

@@ -13,8 +13,9 @@ from seriesloom.operators import spectral as H
 from seriesloom.operators import stats as S
 from seriesloom.operators import text as T
 from seriesloom.operators import windows as W
-from seriesloom.operators.joins import box_join, first_box, thin_events
+from seriesloom.operators.joins import box_join, first_box
 from seriesloom.operators.split import exact_quantiles, join_keys, row_positions, with_group_stats
+from seriesloom.operators.thinning import thin_events
 from seriesloom.plans import texts as TX
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import SEASON, rounded

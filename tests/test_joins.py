@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pandas as pd
 
-from seriesloom.operators.joins import first_overlap, month_fallback, nearest_within, neighbourhood_join, snapshot_compare, thin_events
+from seriesloom.operators.joins import first_overlap, month_fallback, nearest_within, neighbourhood_join, snapshot_compare
 from seriesloom.operators.priority import resolve_conflicts
+from seriesloom.operators.thinning import thin_events
 from pyspark.sql import functions as F
 
 
@@ -16,11 +17,7 @@ def km(a, b):
     return 2 * 6371 * math.asin(math.sqrt(h))
 
 
-def test_thinning_is_greedy(spark):
-    rng = np.random.default_rng(11)
-    n = 150
-    pdf = pd.DataFrame({"id": np.arange(n), "t": rng.uniform(0, 300 * 86400, n), "mag": rng.uniform(6, 8, n).round(1), "lat": rng.uniform(-10, 10, n), "lon": rng.uniform(-10, 10, n)})
-    got = {r.id for r in thin_events(spark.createDataFrame(pdf)).collect()}
+def greedy(pdf):
     kept = []
     for row in pdf.sort_values(["mag", "id"], ascending=[False, True]).itertuples():
         def hides(s):
@@ -28,7 +25,34 @@ def test_thinning_is_greedy(spark):
             return 0 < gap and (gap < 2 * 86400 or (gap < 90 * 86400 and km(row, s) < 300))
         if not any(hides(s) for s in kept):
             kept.append(row)
-    assert got == {r.id for r in kept}
+    return {r.id for r in kept}
+
+
+def catalogue(n, days, box, seed):
+    rng = np.random.default_rng(seed)
+    return pd.DataFrame({"id": np.arange(n), "t": rng.uniform(0, days * 86400, n), "mag": rng.uniform(6, 8, n).round(1),
+                         "lat": rng.uniform(box[0], box[1], n), "lon": rng.uniform(box[2], box[3], n)})
+
+
+def test_thinning_is_greedy(spark):
+    sparse = catalogue(150, 300, (-10, 10, -10, 10), 11)
+    dense = catalogue(600, 90, (0, 2, 0, 2), 12)
+    poles = catalogue(300, 2000, (84, 90, -180, 180), 13)
+    line = catalogue(300, 2000, (-4, 4, 176, 184), 14).assign(lon=lambda d: (d.lon + 180) % 360 - 180)
+    rising = catalogue(80, 1, (0, 1, 0, 1), 15).assign(mag=lambda d: 5 + d.t / 86400)
+    tied = catalogue(60, 30, (0, 1, 0, 1), 16).assign(mag=6.0, t=lambda d: (d.t / 86400).round() * 86400)
+    for pdf in (sparse, dense, poles, line, rising, tied):
+        got = [r.id for r in thin_events(spark.createDataFrame(pdf)).collect()]
+        assert len(got) == len(set(got)) and set(got) == greedy(pdf)
+
+
+def test_thinning_without_times_magnitudes_or_rows(spark):
+    day = 86400.0
+    rows = [(1, 0.0, 7.0, 0.0, 0.0), (2, None, 6.0, 0.0, 0.0), (3, day, None, 0.0, 0.0), (4, day, 6.0, None, None), (5, 3 * day, 6.0, None, 0.0), (6, 3 * day, 6.5, 0.0, 1.0), (7, 3 * day, 6.5, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "id int, t double, mag double, lat double, lon double").withColumn("rank", F.lit("x"))
+    assert {r.id for r in thin_events(df).collect()} == {1, 2, 3, 5, 7}
+    assert thin_events(df.limit(0)).count() == 0
+    assert {r.id for r in thin_events(df, min_days=0, min_km=0).collect()} == set(range(1, 8))
 
 
 def test_conflict_chain(spark):
