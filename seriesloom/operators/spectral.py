@@ -10,9 +10,8 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -179,71 +178,81 @@ def spectral_peaks(spectrum: DataFrame, keys: Sequence[str], order: str, period:
                    distance: int = 5, n_peaks: int = 10, low: float | None = None, high: float | None = None) -> DataFrame:
     """Local maxima by prominence: at least `min_ratio` of the largest power, at least `distance` grid steps apart.
 
-    A spectrum is as long as its grid; the prominence search is a small array step per key.
+    Prominence is the height over the higher of the two lowest points towards the next higher values. Of two maxima closer than
+    `distance` the higher stays, of equal ones the later. Rows without a power are left out. A spectrum is as long as its grid:
+    all steps are windows over a key's grid and folds over one array of its runs.
     """
-    inside = spectrum
+    keys, inside = list(keys), spectrum
     if low is not None:
         inside = inside.filter(F.col(period).between(low, high))
-    fields = [*inside.select(*keys).schema.fields, T.StructField("rank", T.LongType())]
-    schema = T.StructType([*fields, *[T.StructField(c, T.DoubleType()) for c in ("period", "power", "prominence")]])
-    width = len(list(keys))
-
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        p, per = pdf[power].to_numpy(float), pdf[period].to_numpy(float)
-        rows = [(i, prominence(p, i)) for i in spaced(p, local_maxima(p), distance)]
-        rows = [r for r in rows if r[1] >= min_ratio * p.max()]
-        rows.sort(key=lambda r: -r[1])
-        return pd.DataFrame([[*key[:width], k + 1, per[i], p[i], prom] for k, (i, prom) in enumerate(rows[:n_peaks])], columns=schema.names)
-
-    return inside.select(*keys, order, period, power).groupBy(*keys).applyInPandas(find, schema)
-
-
-def local_maxima(p: np.ndarray) -> list[int]:
-    """Indices of strict local maxima; a flat top counts at its middle."""
-    out, i = [], 1
-    while i < len(p) - 1:
-        if p[i] > p[i - 1]:
-            j = i
-            while j < len(p) - 1 and p[j + 1] == p[i]:
-                j += 1
-            if j < len(p) - 1 and p[j + 1] < p[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return out
-
-
-def spaced(p: np.ndarray, peaks: list[int], distance: int) -> list[int]:
-    """Drop peaks closer than `distance` to a higher kept one, highest first."""
-    keep: list[int] = []
-    for i in sorted(peaks, key=lambda i: (-p[i], -i)):
-        if all(abs(i - j) >= distance for j in keep):
-            keep.append(i)
-    return sorted(keep)
-
-
-def prominence(p: np.ndarray, i: int) -> float:
-    """Height of a peak over the higher of the two lowest points towards the next higher values."""
-    higher = np.flatnonzero(p > p[i])
-    left, right = higher[higher < i], higher[higher > i]
-    a = left[-1] + 1 if len(left) else 0
-    b = right[0] if len(right) else len(p)
-    return float(p[i] - max(p[a:i + 1].min(), p[i:b].min()))
+    runs = level_runs(inside.withColumn("__item", F.col(period).cast("double")), keys, order, power)
+    highest = F.max("__h").over(Window.partitionBy(*keys)).alias("__highest")
+    tops = with_prominence(runs.select("*", highest), keys, ["__highest"]).filter((F.col("__before") < F.col("__h")) & (F.col("__after") < F.col("__h")))
+    tops = spaced(tops, keys, distance, ["__highest", "prominence"]).filter(F.col("prominence") >= min_ratio * F.col("__highest"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("prominence"), "__at")).cast("bigint")
+    return tops.select(*keys, rank.alias("rank"), F.col("__item").alias("period"), F.col("__h").alias("power"), "prominence").filter(F.col("rank") <= n_peaks)
+
+
+def level_runs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
+    """One row per run of equal values in order: `__run`, height `__h`, middle place `__at` (from 0) with its `__item`, and the heights
+    `__before` and `__after`, NULL at the ends. The rows of `df` carry the item as `__item`; those without a value are left out."""
+    keys, h = list(keys), F.col(value).cast("double")
+    rows = df.filter(h.isNotNull() & ~F.isnan(h)).select(*keys, F.col(order).alias("__o"), h.alias("__h"), F.col("__item").alias("__item"))
+    w = by_time(keys, "__o")
+    rows = rows.withColumns({"__at": F.row_number().over(w) - 1, "__new": F.coalesce((F.lag("__h").over(w) != F.col("__h")).cast("int"), F.lit(1))})
+    rows = rows.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "__run").agg(F.first("__h").alias("__h"), F.array_sort(F.collect_list(F.struct("__at", "__item"))).alias("__flat"))
+    middle = F.get("__flat", F.floor((F.size("__flat") - 1) / 2).cast("int"))
+    runs = runs.select(*keys, "__run", "__h", middle["__at"].alias("__at"), middle["__item"].alias("__item"))
+    w = by_time(keys, "__run")
+    return runs.withColumns({"__before": F.lag("__h").over(w), "__after": F.lead("__h").over(w)})
+
+
+def with_prominence(runs: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """Adds `prominence` to every run of `level_runs`.
+
+    A fold from each side keeps the runs that are still seen from the current one, heights falling, each with the lowest
+    height since the one before it; a run takes over the lows of all that it hides.
+    """
+    keys, names = list(keys), ["__run", "__h", "__at", "__item", "__before", "__after", *carry]
+    one = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("__runs"))
+    seen = "array<struct<h:double,low:double>>"
 
+    def step(state: Column, run: Column) -> Column:
+        hidden = F.filter(state["seen"], lambda s: s["h"] <= run["__h"])
+        low = F.least(F.array_min(F.transform(hidden, lambda s: s["low"])), run["__h"])
+        left = F.filter(state["seen"], lambda s: s["h"] > run["__h"])
+        return F.struct(F.concat(left, F.array(F.struct(run["__h"].alias("h"), low.alias("low")))).alias("seen"),
+                        F.concat(state["lows"], F.array(low)).alias("lows"))
 
-def acf_peaks(acf: DataFrame, keys: Sequence[str], distance: int, height: float) -> DataFrame:
-    """Local maxima of an autocorrelation above `height`, at least `distance` lags apart."""
-    schema = T.StructType([*acf.select(*keys).schema.fields, T.StructField("lag", T.LongType()), T.StructField("acf", T.DoubleType())])
-    width = len(list(keys))
+    def lows(sequence: Column) -> Column:
+        start = F.struct(F.array().cast(seen).alias("seen"), F.array().cast("array<double>").alias("lows"))
+        return F.aggregate(sequence, start, step, lambda state: state["lows"])
+
+    sides = one.select(*keys, "__runs", lows(F.col("__runs")).alias("__back"), F.reverse(lows(F.reverse("__runs"))).alias("__ahead"))
+    rows = sides.select(*keys, F.explode(F.arrays_zip("__runs", "__back", "__ahead")).alias("__r"))
+    return rows.select(*keys, *[F.col(f"__r.__runs.{c}").alias(c) for c in names], (F.col("__r.__runs.__h") - F.greatest("__r.__back", "__r.__ahead")).alias("prominence"))
+
+
+def spaced(tops: DataFrame, keys: Sequence[str], distance: float, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (`__at`, `__h`, `__item`) at least `distance` apart in `__at`: highest first, of equal heights the later first."""
+    keys = list(keys)
+    first = F.struct((-F.col("__h")).alias("a"), (-F.col("__at")).alias("b"), "__at", "__h", "__item", *carry)
+    one = tops.groupBy(*keys).agg(F.array_sort(F.collect_list(first)).alias("__tops"))
+
+    def step(kept: Column, top: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: F.abs(k["__at"] - top["__at"]) < distance), kept).otherwise(F.concat(kept, F.array(top)))
+
+    kept = F.aggregate("__tops", F.filter("__tops", lambda _: F.lit(False)), step)
+    return one.select(*keys, F.explode(kept).alias("__k")).select(*keys, *[F.col(f"__k.{c}").alias(c) for c in ("__at", "__h", "__item", *carry)])
 
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        p = pdf["acf"].to_numpy(float)
-        tops = spaced(p, [i for i in local_maxima(p) if p[i] >= height], distance)
-        return pd.DataFrame([[*key[:width], int(pdf["lag"].iloc[i]), p[i]] for i in tops], columns=schema.names)
 
-    return acf.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(find, schema)
+def acf_peaks(acf: DataFrame, keys: Sequence[str], distance: int, height: float) -> DataFrame:
+    """Local maxima of an autocorrelation above `height`, at least `distance` lags apart. NULLs are left out."""
+    keys = list(keys)
+    runs = level_runs(acf.withColumn("__item", F.col("lag").cast("bigint")), keys, "lag", "acf")
+    tops = runs.filter((F.col("__before") < F.col("__h")) & (F.col("__after") < F.col("__h")) & (F.col("__h") >= height))
+    return spaced(tops, keys, distance).select(*keys, F.col("__item").alias("lag"), F.col("__h").alias("acf"))
 
 
 #: Least steps of a block of `morlet_power`.

@@ -7,7 +7,7 @@ from seriesloom.operators.windows import autocorrelation
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded
 from seriesloom.plans.inputs import HOURLY, MPRIO, hourly, monthly_priority
-from seriesloom.plans.windowing import long_cols
+from seriesloom.plans.windowing import ACF, long_cols
 
 
 def mega(t):
@@ -99,13 +99,38 @@ def _(t):
     return rounded(rounded(long_cols(out, "f_idx"), 6, "power"), 8, "period")
 
 
-@query("h04_spectral_peaks")
+def _spaced_apart(distance: int) -> str:
+    """Of `tops` (priority, i, v) those that no higher one has already kept away."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY v DESC, i DESC) AS r FROM tops),
+g(priority, r, kept) AS (SELECT DISTINCT priority, 0::BIGINT, []::BIGINT[] FROM o UNION ALL
+  SELECT o.priority, o.r, CASE WHEN len(list_filter(kept, lambda s: abs(s - o.i) < {distance})) = 0 THEN list_append(kept, o.i) ELSE kept END
+  FROM g JOIN o ON o.priority = g.priority AND o.r = g.r + 1),
+apart AS (SELECT priority, unnest(arg_max(kept, r)) AS i FROM g GROUP BY 1)"""
+
+
+@query("h04_spectral_peaks", f"""
+WITH RECURSIVE {DENSE}, d AS (SELECT priority, n, i, x, 0.5 - 0.5 * cos(2 * pi() * i / n) AS w FROM dn), k AS (SELECT unnest(range(1, 100)) AS k),
+s AS (SELECT priority, k, n, sum(x * w * cos(2 * pi() * k * i / n)) AS re, sum(x * w * sin(2 * pi() * k * i / n)) AS im, sum(w * w) AS ww FROM d, k WHERE k <= n // 2 GROUP BY ALL),
+f AS (SELECT priority, k AS i, n / (12.0 * k) AS period, CASE WHEN 2 * k = n THEN 1 ELSE 2 END * (re * re + im * im) / (12 * ww) AS v FROM s),
+tops AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM f WINDOW w AS (PARTITION BY priority ORDER BY i)) WHERE v > a AND v > b),
+{_spaced_apart(5)},
+near AS (SELECT t.priority, t.i, coalesce(max(j.i) FILTER (j.i < t.i AND j.v > t.v), 0) AS l, coalesce(min(j.i) FILTER (j.i > t.i AND j.v > t.v), 1000) AS r
+  FROM tops t JOIN f j ON j.priority = t.priority GROUP BY 1, 2),
+lows AS (SELECT b.priority, b.i, min(j.v) FILTER (j.i > b.l AND j.i <= b.i) AS lo, min(j.v) FILTER (j.i >= b.i AND j.i < b.r) AS hi FROM near b JOIN f j ON j.priority = b.priority GROUP BY 1, 2),
+m AS (SELECT priority, max(v) AS m FROM f GROUP BY 1),
+p AS (SELECT priority, i, period, v, v - greatest(lo, hi) AS prominence FROM tops JOIN apart USING (priority, i) JOIN lows USING (priority, i) JOIN m USING (priority) WHERE v - greatest(lo, hi) >= 0.1 * m),
+q AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY prominence DESC, i) AS rank FROM p)
+SELECT priority, rank, round(period::DOUBLE, 6) AS period, round(v, 6) AS power, round(prominence, 6) AS prominence FROM q WHERE rank <= 10""")
 def _(t):
     spec = H.periodogram(mega(t), ["priority"], "mi", "v")
     return rounded(H.spectral_peaks(spec, ["priority"], "f_idx"), 6, "period", "power", "prominence")
 
 
-@query("h04_acf_peaks")
+@query("h04_acf_peaks", f"""
+WITH RECURSIVE {ACF.replace("range(0, 37)", "range(0, 61)")}, f AS (SELECT priority, lag, acf AS v, row_number() OVER (PARTITION BY priority ORDER BY lag) AS i FROM acf),
+tops AS (SELECT * FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM f WINDOW w AS (PARTITION BY priority ORDER BY i)) WHERE v > a AND v > b AND v >= 0.05),
+{_spaced_apart(6)}
+SELECT priority, lag, round(v, 6) AS acf FROM tops JOIN apart USING (priority, i)""")
 def _(t):
     acf = autocorrelation(monthly_priority(t), ["priority"], "mi", "value", 60)
     return rounded(H.acf_peaks(acf, ["priority"], 6, 0.05), 6, "acf")

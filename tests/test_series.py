@@ -92,11 +92,46 @@ def test_periodogram_peak_and_parseval(spark):
     assert len(peaks) == 1 and peaks[0].period == pytest.approx(1.0)
 
 
-def test_peak_helpers():
-    p = np.array([0, 1, 0, 3, 2, 2.5, 0, 2, 2, 1.0])
-    assert H.local_maxima(p) == [1, 3, 5, 7]
-    assert H.prominence(p, 5) == pytest.approx(0.5) and H.prominence(p, 3) == pytest.approx(3)
-    assert H.spaced(p, [1, 3, 5, 7], 3) == [3, 7]
+def peaks_by_definition(p, distance, least):
+    """(place, height, prominence) of spaced maxima, straight from the definitions."""
+    n, tops = len(p), []
+    for i in range(1, n - 1):
+        j = i
+        while j + 1 < n and p[j + 1] == p[i]:
+            j += 1
+        if p[i - 1] < p[i] and j + 1 < n and p[j + 1] < p[i]:
+            tops.append((i + j) // 2)
+    kept = []
+    for i in sorted(tops, key=lambda i: (p[i], i), reverse=True):
+        if all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+    out = []
+    for i in sorted(kept):
+        a = next((k + 1 for k in range(i, -1, -1) if p[k] > p[i]), 0)
+        b = next((k for k in range(i, n) if p[k] > p[i]), n)
+        out.append((i, p[i], p[i] - max(min(p[a:i + 1]), min(p[i:b]))))
+    return [o for o in out if o[2] >= least * max(p)]
+
+
+def test_peaks_equal_their_definition(spark):
+    rng = np.random.default_rng(5)
+    series = {f"s{k}": rng.integers(0, levels, n).astype(float).tolist() for k, (n, levels) in enumerate([(60, 5), (60, 40), (200, 3), (80, 1000), (3, 9), (2, 2), (1, 1)])}
+    series |= {"hill": [0.0, 1, 0, 3, 2, 2.5, 0, 2, 2, 1], "flat": [2.0] * 9, "up": list(map(float, range(30)))}
+    df = spark.createDataFrame([(k, i, float(100 - i), float(v)) for k, p in series.items() for i, v in enumerate(p)] + [("none", 0, 1.0, None)], "k string, i int, period double, power double")
+    for distance in (1, 3, 8):
+        got = {}
+        for r in H.spectral_peaks(df, ["k"], "i", distance=distance, n_peaks=1000).orderBy("k", "rank").collect():
+            got.setdefault(r.k, []).append((int(100 - r.period), r.power, r.prominence))
+        want = {k: sorted(peaks_by_definition(p, distance, 0.1), key=lambda o: (-o[2], o[0])) for k, p in series.items()}
+        assert got == {k: v for k, v in want.items() if v}
+    assert [r.k for r in H.spectral_peaks(df, ["k"], "i", low=0, high=0).collect()] == []
+
+
+def test_acf_peaks_leave_out_missing_lags(spark):
+    p = [1.0, 0.2, 0.4, 0.1, None, 0.6, 0.5, 0.55, 0.0]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(p)], "k string, lag int, acf double")
+    assert {(r.lag, r.acf) for r in H.acf_peaks(df, ["k"], 2, 0.3).collect()} == {(2, 0.4), (5, 0.6), (7, 0.55)}
+    assert {r.lag for r in H.acf_peaks(df, ["k"], 3, 0.3).collect()} == {5}
 
 
 def test_morlet_dominant_period(spark):
