@@ -13,7 +13,7 @@ from seriesloom.plans.grouping import rounded
 from seriesloom.plans.inputs import DAILY, daily
 from seriesloom.sources import dimensions as D
 from seriesloom.sources import readers as R
-from seriesloom.streaming.incremental import load_new_files
+from seriesloom.streaming.incremental import load_new_files, newest_table, newest_wins
 
 
 def scratch(t) -> str:
@@ -178,3 +178,23 @@ SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY
 def _(t):
     live = fresh_rows(t.events, "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), 10 * 86400)
     return latest_per_key(live, F.col("user_id"), [-F.unix_micros(F.col("ts").cast("timestamp")), -F.col("event_id")], "k").select("user_id", "event_id", "value")
+
+
+@query("s02_newest_stream", """
+SELECT user_id, event_id, event_type, round(value, 4) AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events)
+WHERE r = 1 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY""")
+def _(t):
+    """The events as a stream of one file a week, after which the first two weeks come a second time with other values: rows
+    behind the watermark, and older rows of keys that are still held, change nothing."""
+    base = scratch(t)
+    week = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7)
+    e = t.events.select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), week.alias("week"))
+    weeks = sorted(r.week for r in e.select("week").distinct().collect())
+    parts = [e.filter(F.col("week") == w) for w in weeks] + [e.filter(F.col("week") < 2).withColumn("value", F.col("value") + 1000)]
+    for k, part in enumerate(parts):
+        part.drop("week").coalesce(1).write.parquet(f"{base}/in/part={k:04d}")
+    source = t.spark.readStream.schema(e.drop("week").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    out = newest_table(newest_wins(source, ["user_id"], "ts", "10 days"), ["user_id"], "ts", base + "/newest", base + "/marks")
+    newest = t.events.agg(F.max(F.col("ts").cast("timestamp")).alias("m")).scalar()
+    live = out.filter(F.col("ts") >= newest - F.expr("INTERVAL 10 DAYS"))
+    return live.select("user_id", "event_id", "event_type", F.round("value", 4).alias("value"))

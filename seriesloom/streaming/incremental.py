@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
@@ -31,34 +31,73 @@ def newest_within(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> D
     return stream.withWatermark(stamp, ttl).dropDuplicatesWithinWatermark(keys)
 
 
+class _Newest(StatefulProcessor):
+    """Holds the time of the newest row of a key until the watermark has passed it.
+
+    Spark hands over batches under other names where a column's name is no Python identifier, so columns go by their place.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("newest", "micros long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs()
+        held = self.best.get()[0] if self.best.exists() else None
+        best, row = max(limit * 1000 - 1, held if held is not None else limit * 1000 - 1), None
+        for batch in rows:
+            batch = batch.set_axis(self.columns, axis=1)
+            at = int(batch[MICROS].to_numpy().argmax())
+            if int(batch[MICROS].iloc[at]) > best:
+                best, row = int(batch[MICROS].iloc[at]), batch.iloc[[at]]
+        if row is not None:
+            if held is not None:
+                self.handle.deleteTimer(held // 1000 + 1)
+            self.best.update((best,))
+            self.handle.registerTimer(best // 1000 + 1)
+            yield row.drop(columns=MICROS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+MICROS = "__micros"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def newest_wins(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> DataFrame:
     """Newest row per key inside the time to live of a stream (update mode): a key's row comes out each time a newer one
     arrives, so the last one written for a key is its newest.
 
-    The state holds one time per key and goes when the watermark, `ttl` behind the newest time seen, has passed it. Rows
-    behind the watermark and rows without a time are ignored; of equal times the first seen stays.
+    The state holds one time per key in the RocksDB store, beyond the memory of the executors, and an event-time timer drops
+    it when the watermark, `ttl` behind the newest time seen, has passed it. Rows behind the watermark and rows without a time
+    are ignored; of equal times the first seen stays. NULL keys are one key.
     """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = stream.where(F.col(stamp).isNotNull()).withColumn(MICROS, F.unix_micros(F.col(stamp).cast("timestamp")))
+    return timed.withWatermark(stamp, ttl).groupBy(*keys).transformWithStateInPandas(_Newest(timed.columns), stream.schema, "update", "EventTime")
 
-    def newer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        limit = state.getCurrentWatermarkMs()
-        best, row = state.get[0] if state.exists else limit * 1000 - 1, None
-        for batch in batches:
-            times = batch[stamp]
-            micros = times.astype("datetime64[us]").astype("int64")
-            at = int(micros.to_numpy().argmax())
-            if micros.iloc[at] > best:
-                best, row = int(micros.iloc[at]), batch.iloc[[at]]
-        if row is not None:
-            state.update((best,))
-            state.setTimeoutTimestamp(max(best // 1000, limit) + 1)
-            yield row
 
-    timed = stream.where(F.col(stamp).isNotNull()).withWatermark(stamp, ttl)
-    return timed.groupBy(*keys).applyInPandasWithState(
-        newer, stream.schema, "newest long", "update", GroupStateTimeout.EventTimeTimeout)
+def newest_table(newest: DataFrame, keys: list[str], stamp: str, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of `newest_wins` until its source is read, and returns the newest row per key.
+
+    Every micro-batch overwrites its own folder of `path`, so a batch that is repeated after a failure adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    newest.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = newest.sparkSession.read.schema(newest.schema.add("batch", "long")).parquet(path)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*newest.columns), F.struct(stamp, "batch")).alias("r"))
+    return last.select("r.*")
 
 
 def windowed_counts(stream: DataFrame, stamp: str, width: str, step: str, late: str, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -2,25 +2,52 @@
 
 from datetime import datetime
 
-from seriesloom.streaming.incremental import newest_wins
+import pytest
 
-SCHEMA = "k string, at timestamp, v int"
+from seriesloom.streaming.incremental import newest_table, newest_wins
 
+SCHEMA = "k string, at timestamp, `_v` int"
 
-def test_newest_row_wins_and_old_rows_are_ignored(spark, tmp_path):
-    source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
-    day = lambda d, h=0: datetime(2024, 1, d, h)
-    batches = [[("a", day(10), 1), ("a", day(10, 5), 2), ("b", day(10), 3), ("c", None, 9)],
-               [("a", day(10, 3), 4), ("b", day(11), 5)],
-               [("a", day(1), 6), ("d", day(1), 7), ("b", day(10), 8)]]
-    seen = []
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source + "/*")
 
-    def take(df, _):
-        seen.extend(tuple(r) for r in df.select("k", "v").collect())
+def day(d, h=0):
+    return datetime(2024, 1, d, h)
+
 
+def written(spark, folder, batches):
     for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{source}/{k}")
-        run = newest_wins(stream, ["k"], "at", "2 days").writeStream.outputMode("update").foreachBatch(take)
-        run.option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    assert sorted(seen) == [("a", 2), ("b", 3), ("b", 5)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{k}")
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+BATCHES = [
+    [("a", day(10), 1), ("a", day(10, 5), 2), ("b", day(10), 3), ("c", None, 9), (None, day(10), 10)],
+    [("a", day(10, 3), 4), ("b", day(11), 5), ("a", day(10, 5), 11), (None, day(10, 1), 12)],  # older, newer, equal, NULL key
+    [("a", day(1), 6), ("d", day(1), 7), ("b", day(10), 8)],  # behind the watermark, or older
+    [("b", day(20), 13)],  # the watermark passes every other key
+    [("a", day(12), 14), ("d", day(19), 15)],  # late for the stream though newer than what expired; in time
+    [("a", day(19, 1), 16), ("b", day(19), 17)],  # an expired key comes back; a held one stays newer
+]
+SEEN = [(None, 10), (None, 12), ("a", 2), ("a", 16), ("b", 3), ("b", 5), ("b", 13), ("d", 15)]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_newest_row_wins_and_old_rows_are_ignored(spark, tmp_path, zone):
+    seen, before = [], spark.conf.get("spark.sql.session.timeZone")
+
+    def take(df, _):
+        seen.extend(tuple(r) for r in df.select("k", "_v").collect())
+
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        run = newest_wins(written(spark, tmp_path, BATCHES), ["k"], "at", "2 days").writeStream.outputMode("update").foreachBatch(take)
+        run.option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert sorted(seen, key=lambda r: (r[0] or "", r[1])) == SEEN
+
+
+def test_table_of_the_newest_rows_survives_a_second_run(spark, tmp_path):
+    stream = newest_wins(written(spark, tmp_path, BATCHES), ["k"], "at", "2 days")
+    for _ in range(2):  # the second run finds nothing new
+        table = newest_table(stream, ["k"], "at", str(tmp_path / "out"), str(tmp_path / "marks"))
+        assert {(r.k, r["_v"]) for r in table.collect()} == {(None, 12), ("a", 16), ("b", 13), ("d", 15)}
