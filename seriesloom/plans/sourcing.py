@@ -1,7 +1,5 @@
 """Reader, writer and streaming queries. Files are written from the test tables first and read back."""
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,17 +9,15 @@ from seriesloom.operators.joins import box_join, first_box
 from seriesloom.plans.catalog import query
 from seriesloom.plans.grouping import rounded
 from seriesloom.plans.inputs import DAILY, daily
+from seriesloom.session import shared_folder
 from seriesloom.sources import dimensions as D
 from seriesloom.sources import readers as R
 from seriesloom.streaming.incremental import load_new_files, newest_table, newest_wins
 
 
 def scratch(t) -> str:
-    """A new folder under the cluster's shared folder, or a local one where none is set (tests)."""
-    base = t.spark.conf.get("spark.checkpoint.dir", "")
-    if base:
-        return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-"), "data")
+    """A new folder under the folder that driver and executors share."""
+    return f"{shared_folder(t.spark)}/scratch-{uuid.uuid4().hex}"
 
 
 @query("a01_columnar_json", f"WITH {DAILY} SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, min(day) AS first_day FROM daily GROUP BY 1")
