@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from seriesloom.functions.pvalues import p_value, t_critical
 from seriesloom.operators.aggregates import ratio
-from seriesloom.operators.joins import series_pairs
+from seriesloom.operators.pairs import pair_moments
 from seriesloom.operators.split import (join_keys, running_sums, value_positions, with_group_stats)
 from seriesloom.session import stored
 
@@ -261,7 +261,10 @@ def corr_columns(n: Column, sxx: Column, syy: Column, sxy: Column) -> tuple[Colu
 
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3, tests: bool = True) -> DataFrame:
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
-    m = df.groupBy(*keys).agg(*line_aggs(xs, ys))
+    return _correlated(df.groupBy(*keys).agg(*line_aggs(xs, ys)), keys, min_n, tests)
+
+
+def _correlated(m: DataFrame, keys: Sequence[str], min_n: int, tests: bool) -> DataFrame:
     r, tstat = corr_columns(F.col("n"), F.col("sxx"), F.col("syy"), F.col("sxy"))
     few = F.col("n") < min_n
     out = m.select(*keys, "n", F.when(few, 0.0).otherwise(r).alias("r"), F.when(~few, tstat).alias("t"))
@@ -272,8 +275,8 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 3,
 
 
 def pearson_matrix(df: DataFrame, slot: Sequence[str], key: str, value: str, tests: bool = True) -> DataFrame:
-    """r and p for every pair of series over their common slots."""
-    return pearson(series_pairs(df, slot, key, value), ["key_a", "key_b"], "x", "y", tests=tests)
+    """r and p for every pair of series over their common slots, from `pair_moments`. Pairs without a common value are left out."""
+    return _correlated(pair_moments(df, slot, key, value), ["key_a", "key_b"], 3, tests)
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, n: int | None = None) -> DataFrame:

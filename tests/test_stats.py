@@ -214,3 +214,21 @@ def test_sen_slope_of_long_and_short_keys(spark):
     whole = S.sen_slope(spark.createDataFrame(pdf[pdf.k == "b"][["x", "y"]]), [], "x", "y", in_task=50).first()
     b = pdf[pdf.k == "b"]
     assert (whole.n, whole.sen_slope) == (20, round(brute_sen(b.x.to_numpy(), b.y.to_numpy()), 6))
+
+
+def test_pair_moments_equal_numpy(spark, monkeypatch):
+    from seriesloom.operators import pairs as PM
+    monkeypatch.setattr(PM, "BLOCK_SERIES", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e4, 5, (40, 13))
+    x[:, 3], x[:, 4] = 7.0, np.nan
+    x[rng.random(x.shape) < 0.2] = np.nan
+    rows = [(t % 5, t // 5, f"k{k:02d}", None if np.isnan(x[t, k]) and k % 2 else float(x[t, k])) for t in range(40) for k in range(13)]
+    out = {(r.key_a, r.key_b): r for r in S.pearson_matrix(spark.createDataFrame(rows, "k int, slot int, key string, v double"), ["k", "slot"], "key", "v").collect()}
+    assert len(out) == 12 * 11 // 2
+    for (a, b), r in out.items():
+        p, q = x[:, int(a[1:])], x[:, int(b[1:])]
+        ok = ~np.isnan(p) & ~np.isnan(q)
+        want = 0.0 if "k03" in (a, b) else np.corrcoef(p[ok], q[ok])[0, 1]
+        assert a < b and r.n == ok.sum() and abs(r.r - want) < 1e-9
+    assert S.pearson_matrix(spark.createDataFrame([], "k int, slot int, key string, v double"), ["k"], "key", "v").count() == 0
