@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -475,3 +476,37 @@ def test_radius_beyond_the_blocks_is_an_error(spark):
     frame = spark.createDataFrame([(1,), (2,)], "fp long")
     with pytest.raises(ValueError):
         simhash_bk.linked(frame, radius=5)
+
+
+def test_chains_of_a_pair_are_joined():
+    """Overlapping chains on near diagonals become one; others, and those of other pairs, stay as they are."""
+    rows = [(1, 2, 0, 10, 40, 50), (1, 2, 30, 45, 90, 104), (1, 2, 60, 400, 80, 420), (1, 2, 900, 910, 950, 960), (1, 3, 0, 10, 40, 50)]
+    names = ["doc", "partner", "a", "b", "c", "d"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=names) for part in (rows[:2], rows[2:])]
+    out = sorted(tuple(r.values()) for b in passage_chains._merged(iter(batches), 64) for r in b.to_pylist())
+    assert out == [(1, 2, 0, 10, 90, 104), (1, 2, 60, 400, 80, 420), (1, 2, 900, 910, 950, 960), (1, 3, 0, 10, 40, 50)]
+    assert sum(b.num_rows for b in passage_chains._merged(iter([]), 64)) == 0
+
+
+def test_shared_words_within_the_band():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x, y = (rng.integers(0, 12, int(rng.integers(0, 40))).astype("<u2") for _ in range(2))
+        low, width = int(rng.integers(-50, 50)), int(rng.integers(1, 30))
+        want = [any(0 <= j < len(y) and y[j] == w for j in range(i + low, i + low + width)) for i, w in enumerate(x)]
+        assert passage_chains._in_band(x, y, low, width).tolist() == want
+
+
+def test_texts_of_unlike_length_need_no_wider_band():
+    """A passage in a short and in a very long text, at every place, with inserted words: found whatever stands around it."""
+    rng = np.random.default_rng(6)
+    for front, back in ((0, 3000), (3000, 0), (2500, 2500), (0, 0)):
+        passage = rng.integers(0, 60000, 120)
+        edited = np.concatenate([passage[:50], [60001, 60002, 60003], passage[50:90], [60004], passage[90:]])
+        x = np.concatenate([rng.integers(0, 60000, front), passage, rng.integers(0, 60000, back)]).astype("<u2")
+        y = np.concatenate([rng.integers(0, 60000, 7), edited]).astype("<u2")
+        shift = 7 - front
+        [(a, b, c, d, identity)] = passage_chains.align_all([(x, y, shift, shift + 4)])[0]
+        assert (a, b, c, d) == (front, front + 120, 7, 131) and identity > 0.95
+        [(c, d, a, b, _)] = passage_chains.align_all([(y, x, -shift, -shift - 4)])[0]
+        assert (a, b, c, d) == (front, front + 120, 7, 131)
