@@ -208,3 +208,24 @@ def test_write_result_has_finite_numbers(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.0)], "id int, v double")
     R.write_result(df, str(tmp_path / "o"))
     assert {r.id: r.v for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {1: None, 2: None, 3: 1.0}
+
+
+def test_source_score_sql_states_the_rule(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from seriesloom.plans import catalog
+    catalog.load_all()
+    heads = ["", '<meta name="author" content="Ann Lee">', "<meta property='article:published_time' content='2026-05-20T10:00:00Z'>", '<meta name="date" content="May 3, 2025">',
+             '<meta name="DATE" content="12 Mar 2019"><meta content="X" name="author">', '<meta name="date" content="on 2027-01-05 or so">', '<meta name="date" content="someday">',
+             '<meta name="pubdate" content="2026/1/5">', '<meta name="date" content="2026-05-30T23:30:00+0200">']
+    words = ["", " of 2023", " of 2024 and 2025", " of 2026", " of 2031", " of 1999"]
+    page = "<html><head><title>T</title>{}</head><body><p>{}</p>{}</body></html>"
+    rows = [(i * 10 + j, "http://www.example.org/a", page.format(h, "some words here " * 20 + w, "<time datetime='2024-02-02'>x</time>" if j == 5 else ""))
+            for i, h in enumerate(heads) for j, w in enumerate(words)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.QUERIES["l06_source_score"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql("set timezone='UTC'")
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.sql(catalog.SQL["l06_source_score"])
+    assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
+    assert got.select("freshness").distinct().count() >= 7
