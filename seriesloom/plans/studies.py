@@ -26,7 +26,7 @@ from seriesloom.plans.sourcing import BASIN_VALUES, REGION_CASE
 from seriesloom.plans.sqlstats import p_normal, p_t
 from seriesloom.plans.trends import MK_SQL, curve_sql, line_sql, valley_sql
 from seriesloom.plans.windowing import long_cols
-from seriesloom.session import checkpointed
+from seriesloom.session import checkpointed, stored
 from seriesloom.sources import dimensions as D
 
 PERIODS = [("full", 0, 79), ("early", 0, 39), ("late", 40, 79)]
@@ -295,9 +295,9 @@ def _(t):
 @query("q19_web_evidence")
 def _(t):
     """Pages to scores, consistency per language group, claims, near-duplicate removal, themes and their strength."""
-    pages = TX.scored_pages(t).filter("ok").withColumn("grp", F.concat_ws("-", F.lit("g"), F.floor(F.col("page_id") / 25).cast("string")))
-    # parsed pages, claims and kept claims feed several branches each: cut the plan after them
-    pages = checkpointed(pages.drop("html"))
+    # parsed pages, claims and kept claims feed several branches each: cut the plan after them. Pages are written before they
+    # are filtered: a filter would be pushed below the parser's projections and hold a copy of the whole parser a use of a column
+    pages = stored(TX.scored_pages(t).drop("html")).filter("ok").withColumn("grp", F.concat_ws("-", F.lit("g"), F.floor(F.col("page_id") / 25).cast("string")))
     terms = T.key_terms(pages, "page_id", "text", keep=["grp"]).select("grp", "page_id", "term")
     cons = E.consistency(terms, "grp", "page_id").select("page_id", "consistency")
     scored = pages.join(cons, "page_id").withColumn("score", E.composite()).filter("score >= 3")

@@ -226,3 +226,15 @@ def test_morlet_blocks_match_direct_sums(spark, monkeypatch):
         half = max(int(3 * s), 1)
         w = sum(x.get(t + lag, 0.0) * np.exp(-(lag / s) ** 2 / 2 + 6j * lag / s) for lag in range(-half, half + 1))
         assert abs(power - abs(w) ** 2 / (s * np.sqrt(np.pi))) < 1e-9 * (1 + power)
+
+
+def test_web_study_plans_in_a_small_driver(spark, tmp_path):
+    """Pages are stored as parsed, so no later plan holds the parser."""
+    from seriesloom.plans import catalog
+    catalog.load_all()
+    words = " ".join(f"In 202{i % 6} the number of towns increased by {i} percent compared with the estimated growth of the other regions and cities of the land." for i in range(20))
+    rows = [(i, f"http://h{i}.example.org/a", f"<html><head><title>T{i}</title></head><body><article><p>{words}</p></article></body></html>") for i in range(6)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    out = catalog.QUERIES["q19_web_evidence"](spark, str(tmp_path))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    assert out.count() > 0
