@@ -229,3 +229,13 @@ def test_source_score_sql_states_the_rule(spark, tmp_path):
     rel = con.sql(catalog.SQL["l06_source_score"])
     assert sorted(tuple(r[c] for c in rel.columns) for r in got.collect()) == sorted(rel.fetchall())
     assert got.select("freshness").distinct().count() >= 7
+
+
+def test_claim_patterns_run_once(spark):
+    df = spark.createDataFrame(list(ABSTRACTS.items()), "id int, text string")
+    claims = T.extract_claims(df, "id", "text")
+    plan = claims._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("negative trend") == 1
+    best = E.match_findings(claims, ["Sea level rose 3.4 mm/yr", "Ice declined"], ["id", "pos"], 3)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("negative trend") == 1 and plan.count("[a-zA-Z]+") == 1
