@@ -628,24 +628,47 @@ def baths_law(pairs: DataFrame, mains: DataFrame, main_id: str, main_mag: str, m
 
 # ---- densities and valleys -----------------------------------------------------------------------------------
 
+#: Values that a task lays against the grid at once.
+KDE_BLOCK = 256
+
+
 def weighted_kde(df: DataFrame, keys: Sequence[str], value: str, weight: Column, bandwidth: float, low: float,
                  high: float, points: int = 1000) -> DataFrame:
     """Gaussian density on a fixed grid in log10 units.
 
-    Equal values are combined first. Each distinct value visits the grid points within 39 bandwidths: further away
-    exp(-z * z / 2) is 0 in double precision, so no contribution is left out.
+    Equal values are combined first. A task sums its distinct values over the grid as matrix blocks of bounded size and hands on
+    one row a key and grid point, so what is shuffled does not grow with the values.
     """
-    reach = 39.0
     step = (high - low) / (points - 1)
-    lv = F.log10(F.col(value))
     mass = df.filter(F.col(value) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
-    mass = with_group_stats(mass, keys, __total=F.sum("w")).withColumn("lv", lv)
-    first = F.greatest(F.lit(0), F.ceil((F.col("lv") - reach * bandwidth - low) / step)).cast("int")
-    last = F.least(F.lit(points - 1), F.floor((F.col("lv") + reach * bandwidth - low) / step)).cast("int")
-    near = mass.filter(first <= last).select("*", F.explode(F.sequence(first, last)).alias("g"))
-    z = (F.col("lv") - (low + F.col("g") * step)) / bandwidth
-    part = F.col("w") / F.col("__total") * F.exp(-0.5 * z * z) / (bandwidth * math.sqrt(2 * math.pi))
-    hits = near.groupBy(*keys, "g").agg(F.sum(part).alias("density"))
+    shares = with_group_stats(mass, keys, __total=F.sum("w")).select(
+        *keys, F.log10(F.col(value)).cast("double").alias("__lv"), (F.col("w") / F.col("__total")).cast("double").alias("__share"))
+    at, scale, keys = low + np.arange(points) * step, bandwidth * math.sqrt(2 * math.pi), list(keys)
+
+    def sums(batches):
+        held = {}
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]
+            lv, share = pdf["__lv"].to_numpy(), pdf["__share"].to_numpy()
+            for key, rows in groups:
+                if not len(rows):
+                    continue
+                first, total = held.setdefault(str(key), (pdf[keys].iloc[rows[:1]], np.zeros(points)))
+                rows = rows[np.argsort(lv[rows], kind="stable")]
+                for i in range(0, len(rows), KDE_BLOCK):
+                    block = rows[i:i + KDE_BLOCK]
+                    # 39 bandwidths away exp(-z * z / 2) is 0 in double precision
+                    a, b = np.searchsorted(at, [lv[block[0]] - 39 * bandwidth, lv[block[-1]] + 39 * bandwidth])
+                    z = (lv[block, None] - at[a:b]) / bandwidth
+                    z *= z
+                    z *= -0.5
+                    total[a:b] += (share[block, None] * np.exp(z, out=z)).sum(axis=0)
+        for first, total in held.values():
+            out = first.iloc[np.zeros(points, dtype=int)].reset_index(drop=True)
+            yield out.assign(g=np.arange(points, dtype=np.int32), part=total / scale)
+
+    kinds = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in keys], T.StructField("g", T.IntegerType()), T.StructField("part", T.DoubleType())])
+    hits = shares.mapInPandas(sums, kinds).groupBy(*keys, "g").agg(F.sum("part").alias("density"))
     every = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g")
     grid = mass.select(*keys).distinct().select(*keys, every) if keys else df.sparkSession.range(1).select(every)
     return join_keys(grid, hits, [*keys, "g"], "left").select(

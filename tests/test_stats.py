@@ -232,3 +232,19 @@ def test_pair_moments_equal_numpy(spark, monkeypatch):
         want = 0.0 if "k03" in (a, b) else np.corrcoef(p[ok], q[ok])[0, 1]
         assert a < b and r.n == ok.sum() and abs(r.r - want) < 1e-9
     assert S.pearson_matrix(spark.createDataFrame([], "k int, slot int, key string, v double"), ["k"], "key", "v").count() == 0
+
+
+def test_weighted_kde_sums_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(10 ** v), float(w)) for k in ("a", None) for v, w in zip(rng.uniform(0, 3, 700), rng.uniform(0.5, 2, 700))] + [("a", -1.0, 5.0)]
+    df = spark.createDataFrame(rows, "k string, x double, w double").repartition(3)
+    for keys in (["k"], []):
+        out = S.weighted_kde(df, keys, "x", F.col("w"), 0.05, 0.5, 2.0, 40)
+        assert "explode(sequence(greatest" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row a value and grid point
+        for key in ("a",) if keys else (None,):
+            mine = [r for r in rows if r[1] > 0 and (not keys or r[0] == key)]
+            lv, w = np.log10([r[1] for r in mine]), np.array([r[2] for r in mine])
+            at = 0.5 + np.arange(40) * (1.5 / 39)
+            want = (w / w.sum() * np.exp(-0.5 * ((at[:, None] - lv) / 0.05) ** 2)).sum(1) / (0.05 * np.sqrt(2 * np.pi))
+            got = {r.g: r.density for r in out.collect() if not keys or r.k == key}
+            assert np.allclose([got[g] for g in range(40)], want, rtol=1e-9)
