@@ -248,3 +248,15 @@ def test_weighted_kde_sums_in_blocks(spark):
             want = (w / w.sum() * np.exp(-0.5 * ((at[:, None] - lv) / 0.05) ** 2)).sum(1) / (0.05 * np.sqrt(2 * np.pi))
             got = {r.g: r.density for r in out.collect() if not keys or r.k == key}
             assert np.allclose([got[g] for g in range(40)], want, rtol=1e-9)
+
+
+def test_omori_times_are_not_shuffled(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, float(x)) for k in (1, 2, None) for x in rng.pareto(1.1, 300) * 0.2 + 0.01] + [(9, 1.0)], "k int, d double").repartition(4)
+    fits = S.omori_fit(df, ["k"], "d", refine=False)
+    plan = fits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # one pass over the times, summed before they move
+    assert sorted(str(r.k) for r in fits.collect()) == ["1", "2", "None"]
+    fine = {r.k: r for r in S.omori_fit(df, ["k"], "d").collect()}
+    for r in fits.collect():
+        assert fine[r.k].log_likelihood >= r.log_likelihood - 1e-9 and fine[r.k].n == 300
