@@ -239,3 +239,10 @@ def test_claim_patterns_run_once(spark):
     best = E.match_findings(claims, ["Sea level rose 3.4 mm/yr", "Ice declined"], ["id", "pos"], 3)
     plan = best._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("negative trend") == 1 and plan.count("[a-zA-Z]+") == 1
+
+
+def test_inverted_index_stays_in_its_row(spark):
+    df = spark.createDataFrame([(1, " b a\nb  c b "), (2, ""), (3, None), (4, "x")], "id int, text string")
+    out = R.inverted_index(df, "id", "text")
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.inverted for r in out.collect()} == {1: {"a": [1], "b": [0, 2, 4], "c": [3]}, 4: {"x": [0]}}
