@@ -240,7 +240,7 @@ def test_weighted_kde_sums_in_blocks(spark):
     df = spark.createDataFrame(rows, "k string, x double, w double").repartition(3)
     for keys in (["k"], []):
         out = S.weighted_kde(df, keys, "x", F.col("w"), 0.05, 0.5, 2.0, 40)
-        assert "explode(sequence(greatest" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row a value and grid point
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # of the grid, none a value and grid point
         for key in ("a",) if keys else (None,):
             mine = [r for r in rows if r[1] > 0 and (not keys or r[0] == key)]
             lv, w = np.log10([r[1] for r in mine]), np.array([r[2] for r in mine])
