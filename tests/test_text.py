@@ -1,5 +1,6 @@
 """Sentences, claims, page extraction, near duplicates, matching and scoring on fixed texts."""
 
+import random
 import re
 
 import numpy as np
@@ -135,6 +136,40 @@ def test_jaccard_pairs_match_brute_force(spark, near_texts):
         assert got == want
 
 
+def test_jaccard_pairs_of_many_blocks_match_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        s = set(rng.sample(words, rng.choice([3, 8, 20, 60, 150, 300])))
+        rows.append((i * 2, "g", sorted(s)))
+        rows.append((i * 2 + 1, "g", sorted(set(list(s)[: max(1, len(s) * rng.randint(6, 10) // 10)]))))
+    df = spark.createDataFrame(rows, "id int, g string, s array<string>")
+    for size in (5, 1 << 15):
+        monkeypatch.setattr(E, "BLOCK_SETS", size, raising=False)
+        for above in (0.3, 0.6, 0.9):
+            got = sorted((r.a, r.b, round(r.jaccard, 9)) for r in E.jaccard_pairs(df, ["g"], "id", "s", above).collect())
+            js = [(a[0], b[0], len(set(a[2]) & set(b[2])) / len(set(a[2]) | set(b[2]))) for i, a in enumerate(rows) for b in rows[i + 1:]]
+            assert got == sorted((a, b, round(j, 9)) for a, b, j in js if j > above)
+
+
+def test_jaccard_pairs_shuffle_no_pairs_of_unlike_sets(spark):
+    """Sets of terms in common use: nearly all share some of their rarest terms, none is similar to another."""
+    rng = random.Random(3)
+    rows = [(i, "g", sorted(rng.sample([f"w{k}" for k in range(200)], 60))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, s array<string>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written() -> int:
+        gateway = spark.sparkContext._gateway
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    assert E.jaccard_pairs(df, ["g"], "id", "s", 0.6).count() == 0
+    assert written() - before < 10_000
+
+
 def test_consistency_matches_brute_force(spark):
     sets = {1: "abc", 2: "abd", 3: "abc", 4: "xyz", 5: "a"}
     df = spark.createDataFrame([("g", k, t) for k, ts in sets.items() for t in ts], "g string, src int, term string")
