@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -34,34 +33,38 @@ def newest_within(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> D
 class _Newest(StatefulProcessor):
     """Holds the time of the newest row of a key until the watermark has passed it.
 
-    Spark hands over batches under other names where a column's name is no Python identifier, so columns go by their place.
+    A call of the state costs far more than a row, so a key has one timer at a time: it is set for the key's first row, and
+    where newer rows have come until it fires, it is set again for the newest. Columns go by their place, as Spark hands rows
+    over under other names where a column's name is no Python identifier; the time is the last one, in microseconds.
     """
 
     def __init__(self, columns: list[str]):
-        self.columns = columns
+        self.named = Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.best = handle.getValueState("newest", "micros long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs()
-        held = self.best.get()[0] if self.best.exists() else None
-        best, row = max(limit * 1000 - 1, held if held is not None else limit * 1000 - 1), None
-        for batch in rows:
-            batch = batch.set_axis(self.columns, axis=1)
-            at = int(batch[MICROS].to_numpy().argmax())
-            if int(batch[MICROS].iloc[at]) > best:
-                best, row = int(batch[MICROS].iloc[at]), batch.iloc[[at]]
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.best.get()
+        best, row = timerValues.getCurrentWatermarkInMs() * 1000 - 1, None
+        if held is not None:
+            best = max(best, held[0])
+        for r in rows:
+            if r[-1] > best:
+                best, row = r[-1], r
         if row is not None:
-            if held is not None:
-                self.handle.deleteTimer(held // 1000 + 1)
             self.best.update((best,))
-            self.handle.registerTimer(best // 1000 + 1)
-            yield row.drop(columns=MICROS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.best.clear()
+            if held is None:
+                self.handle.registerTimer(best // 1000 + 1)
+            yield self.named(*row)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        ends = self.best.get()[0] // 1000 + 1
+        if ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+        else:
+            self.best.clear()
         return iter(())
 
     def close(self) -> None:
@@ -82,7 +85,8 @@ def newest_wins(stream: DataFrame, keys: list[str], stamp: str, ttl: str) -> Dat
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = stream.where(F.col(stamp).isNotNull()).withColumn(MICROS, F.unix_micros(F.col(stamp).cast("timestamp")))
-    return timed.withWatermark(stamp, ttl).groupBy(*keys).transformWithStateInPandas(_Newest(timed.columns), stream.schema, "update", "EventTime")
+    newest = timed.withWatermark(stamp, ttl).groupBy(*keys).transformWithState(_Newest(timed.columns), timed.schema, "update", "EventTime")
+    return newest.drop(MICROS)
 
 
 def newest_table(newest: DataFrame, keys: list[str], stamp: str, path: str, checkpoint: str) -> DataFrame:

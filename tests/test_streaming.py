@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from seriesloom.streaming.incremental import newest_table, newest_wins
+from seriesloom.streaming.incremental import MICROS, _Newest, newest_table, newest_wins
 
 SCHEMA = "k string, at timestamp, `_v` int"
 
@@ -51,3 +51,56 @@ def test_table_of_the_newest_rows_survives_a_second_run(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         table = newest_table(stream, ["k"], "at", str(tmp_path / "out"), str(tmp_path / "marks"))
         assert {(r.k, r["_v"]) for r in table.collect()} == {(None, 12), ("a", 16), ("b", 13), ("d", 15)}
+
+
+def test_newer_rows_of_a_held_key_leave_its_timer():
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, new):
+            calls.append("update")
+            self.held = new
+
+        def clear(self):
+            calls.append("clear")
+            self.held = None
+
+    class Handle:
+        def getValueState(self, *_):
+            return value
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    calls, value = [], Value()
+    newest = _Newest(["k", MICROS])
+    newest.init(Handle())
+    assert [tuple(r) for r in newest.handleInputRows(("a",), iter([("a", 5_000), ("a", 7_000), ("a", 6_000)]), Times(0))] == [("a", 7_000)]
+    assert calls == ["get", "update", ("timer", 8)]
+    calls.clear()
+    assert [tuple(r) for r in newest.handleInputRows(("a",), iter([("a", 7_000), ("a", 20_000)]), Times(0))] == [("a", 20_000)]
+    assert calls == ["get", "update"]
+    calls.clear()
+    list(newest.handleExpiredTimer(("a",), Times(9), None))
+    assert calls == ["get", ("timer", 21)]
+    calls.clear()
+    list(newest.handleExpiredTimer(("a",), Times(21), None))
+    assert calls == ["get", "clear"]
