@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.functions import scalars as K
+from seriesloom.functions import wordlists as L
 from seriesloom.operators import evidence as E
 from seriesloom.operators import text as T
 from seriesloom.sources import readers as R
@@ -281,3 +282,11 @@ def test_inverted_index_stays_in_its_row(spark):
     out = R.inverted_index(df, "id", "text")
     assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: r.inverted for r in out.collect()} == {1: {"a": [1], "b": [0, 2, 4], "c": [3]}, 4: {"x": [0]}}
+
+
+def test_clean_up_marks_are_found_wherever_a_pattern_is():
+    texts = ["- a b", "•\tx", "a[12, 3]b", "a[x]", "^ note", "seaLevel rise", "iPhone", "Open Menu", "Openly", "ab– cd2024-01-02 Commented on", "12@ab c", "a 1@b", "",
+             *ABSTRACTS.values()]
+    for (pattern, _), mark in zip(L.CLAIM_CLEANUP, L.CLAIM_CLEANUP_MARKS, strict=True):
+        found = [t for t in texts if re.search(pattern, t)]
+        assert found and all(re.search(mark, t) for t in found) and any(not re.search(mark, t) for t in texts)
