@@ -6,6 +6,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from operator import attrgetter
 
 from tokenizers import Tokenizer
 
@@ -64,26 +65,32 @@ def byte_letters() -> dict[int, str]:
 
 
 class Cache(dict):
-    """Values of keys made on demand; at `limit` entries the oldest half goes, so memory stays bounded."""
+    """Values of keys made on demand, none of them None. Once `limit` / 2 keys are in use they become the older half, of which
+    keys that are asked for again come back and the others go with the next half, so memory stays bounded."""
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.older = make, max(limit // 2, 1), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            for old in list(self)[: self.limit // 2]:
-                del self[old]
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
 @lru_cache(maxsize=4)
 def piece_ids(config: str) -> Callable[[str], list[int]]:
     """Ids of one pre-token of a byte-level vocabulary, by the library's own merges."""
-    tokenize, letters = library_tokenizer(config).model.tokenize, byte_letters()
+    tokenize, letters, number = library_tokenizer(config).model.tokenize, byte_letters(), attrgetter("id")
 
     def ids(piece: str) -> list[int]:
-        return [t.id for t in tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))]
+        if piece.isascii() and piece.isprintable():
+            return list(map(number, tokenize(piece.replace(" ", letters[32]))))
+        return list(map(number, tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))))
 
     return ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -9,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,9 @@ from seriesloom.llm.pretokens import Cache, byte_pieces, library_tokenizer, piec
 LONGEST_CODE = 20
 BLOCK_IDS = 1 << 16
 STEP = 256
-CACHED = 300_000
+CACHED = 500_000
+#: Bytes of text encoded at one time.
+SPAN = 1 << 23
 
 
 # ---- ids -----------------------------------------------------------------------------------------------------
@@ -27,8 +31,68 @@ CACHED = 300_000
 
 @lru_cache(maxsize=2)
 def _cache(config: str, width: str) -> Cache:
-    ids = piece_ids(config)
-    return Cache(lambda piece: np.array(ids(piece), width).tobytes(), CACHED)
+    """The ids of a pre-token, as bytes."""
+    ids, kind = piece_ids(config), {"<u2": "H", "<u4": "I"}[width]
+
+    def entry(piece: str) -> bytes:
+        found = ids(piece)
+        return struct.pack(f"<{len(found)}{kind}", *found)
+
+    return Cache(entry, CACHED)
+
+
+def _spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of at most SPAN bytes, a longer row alone."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > start and held + size > SPAN:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def encoded(texts: pa.Array, config: str, width: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after the other, `end_id` behind each, and how many each text has.
+
+    A byte-level vocabulary cuts a text before a space that has no white space on either side, whatever stands further
+    off. So texts are cut there by column and each different part is encoded once. Texts with other white space beside a
+    space, and those with added strings, are encoded whole.
+    """
+    entry, split, library = _cache(config, width).__getitem__, special_splitter(config), library_tokenizer(config)
+
+    def alone(text: str) -> bytes:
+        return b"".join(np.array([token], width).tobytes() if token is not None else b"".join(map(entry, byte_pieces(library, part))) for part, token in split(text))
+
+    values, n = texts.to_pylist(), len(texts)
+    cut = pc.split_pattern(texts, " ")
+    counts = pc.list_value_length(cut).to_numpy()
+    first = np.cumsum(counts) - counts
+    coded = cut.flatten().dictionary_encode()
+    part, parts = coded.indices.to_numpy(), coded.dictionary
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), " ")[0].as_py().split(" ")
+    odd = np.array([not w or len(w.strip()) < len(w) for w in words])
+    whole_text = np.logical_or.reduceat(odd[part], first) | np.array([next(split(v)) != (v, None) for v in values])
+    # A part has no space of its own, so that it begins with its only pre-token with a space.
+    pieces = byte_pieces(library, "".join(f" {w}" for w, o in zip(words, odd.tolist()) if not o))
+    found = list(map(entry, pieces))
+    lengths = np.zeros(len(words), np.int64)
+    if pieces:
+        lengths[~odd] = np.add.reduceat(np.fromiter(map(len, found), np.int64, len(found)), np.flatnonzero([p[0] == " " for p in pieces]))
+    end, nothing, heads = len(words), len(words) + 1, len(words) + 2
+    others = [np.array([end_id], width).tobytes(), b""]
+    others += [alone(v) if w else b"".join(map(entry, byte_pieces(library, v.partition(" ")[0]))) for v, w in zip(values, whole_text.tolist())]
+    # The parts of each text in order, its first part as an entry of its own as no space is ahead of it, then the end id.
+    row = np.repeat(np.arange(n), counts)
+    order = np.full(len(part) + n, end)
+    order[np.arange(len(part)) + row] = np.where(whole_text[row], nothing, part)
+    order[first + np.arange(n)] = heads + np.arange(n)
+    sizes = np.append(lengths, list(map(len, others))) // int(width[-1])
+    starts, size = np.cumsum(sizes) - sizes, sizes[order]
+    stops = np.cumsum(size)
+    ids = np.frombuffer(b"".join(found + others), width)[np.repeat(starts[order] - stops + size, size) + np.arange(stops[-1])]
+    return ids, np.add.reduceat(size, first + np.arange(n))
 
 
 def encode_ids(docs: DataFrame, config: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", tally: bool = False) -> DataFrame:
@@ -43,25 +107,20 @@ def encode_ids(docs: DataFrame, config: str, end_id: int = 0, doc_id: str = "doc
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        config = shared.value
-        split, library, entry = special_splitter(config), library_tokenizer(config), _cache(config, width).__getitem__
-        end = np.array([end_id], width).tobytes()
         total, id_type = np.zeros(0, np.int64), None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            out = []
-            for value in batch.column("text").to_pylist():
-                parts = []
-                for part, token in split(value):
-                    parts.append(np.array([token], width).tobytes() if token is not None else b"".join(map(entry, byte_pieces(library, part))))
-                out.append(b"".join([*parts, end]))
-            if tally:
-                more = np.bincount(np.frombuffer(b"".join(out), width), minlength=len(total))
-                more[: len(total)] += total
-                total = more
-            counts = [len(x) // int(width[-1]) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())],
-                                             names=["doc_id", "n", "ids", "times"])
+            texts = batch.column("text")
+            for start, stop in _spans(pc.binary_length(texts).to_numpy()):
+                ids, counts = encoded(texts.slice(start, stop - start), shared.value, width, end_id)
+                if tally:
+                    more = np.bincount(ids, minlength=len(total))
+                    more[: len(total)] += total
+                    total = more
+                data, ends = ids.tobytes(), np.cumsum(counts) * ids.itemsize
+                out = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), pa.array(counts, pa.int64()), pa.array(out, pa.binary()),
+                                                  pa.nulls(len(out), pa.binary())], names=["doc_id", "n", "ids", "times"])
         seen = np.flatnonzero(total)
         if len(seen):
             last = [pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.array([seen.astype(width).tobytes()], pa.binary()), pa.array([total[seen].tobytes()], pa.binary())]

@@ -292,6 +292,24 @@ def test_url_shapes_agree_with_sql(spark, tmp_path):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.sql(queries.URL_SQL).fetchall()))
 
 
+def test_parts_of_texts_are_encoded_once():
+    """White space of all kinds beside a space, added strings and letters of all kinds, against the library."""
+    bits = [" ", " ", "  ", "\n", " \n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "a", "foo", "'s", "'", "12", "²", "中文", "Σ", "é", "<|endoftext|>", "<|end", "!", "\u0301", "x" * 70]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["", " ", " a", "a ", "<|endoftext|>"]
+    ids, counts = token_file.encoded(pa.array(texts), BYTE, "<u2", 0)
+    library = pretokens.library_tokenizer(BYTE)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert list(token_file._spans(np.array([3, token_file.SPAN, 5, 5]))) == [(0, 1), (1, 2), (2, 4)] and not list(token_file._spans(np.array([])))
+
+
+def test_cache_keeps_the_keys_in_use():
+    made = []
+    cache = pretokens.Cache(lambda key: made.append(key) or key, 100)
+    for k in range(1000):
+        assert cache[k] == k and cache["often"] == "often" and len(cache) + len(cache.older) <= 100
+    assert made.count("often") == 1
+
+
 def test_passages(spark, docs, empty):
     passage = words(60).split()
     rows = [(i, words(90) + " " + " ".join(passage) + " " + words(40)) for i in range(12)]
