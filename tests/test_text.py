@@ -290,3 +290,18 @@ def test_clean_up_marks_are_found_wherever_a_pattern_is():
     for (pattern, _), mark in zip(L.CLAIM_CLEANUP, L.CLAIM_CLEANUP_MARKS, strict=True):
         found = [t for t in texts if re.search(pattern, t)]
         assert found and all(re.search(mark, t) for t in found) and any(not re.search(mark, t) for t in texts)
+
+
+def test_page_texts_are_worked_out_once(spark):
+    """Each pattern of the page's title and main text stands once in the plan, however often its result is named."""
+    pages = spark.createDataFrame([("https://a.org/x", "<title>A &#65;&lt;</title><body>Text &#66; here<p>ADVERTISEMENT</p><p>More &amp; text</p></body>"), ("u", None), ("u", "")], "url string, html string")
+    out = T.html_extract(pages)
+    plan = out.select("title", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</title") == 1 and plan.count("</article") == 1
+    assert [tuple(r) for r in out.select("domain", "title", "text").collect()] == [("a.org", "A A<", "Text B here\n\nMore & text"), ("", "", None), ("", "", "")]
+
+
+def test_relevance_counts_words_only(spark):
+    df = spark.createDataFrame([(["ring", "co2", "sea"], "Ring of co2, ring", "the SEA", "x.org")], "terms array<string>, title string, text string, domain string")
+    got = df.select(E.relevance(F.col("terms"), F.lit(9), F.col("title"), F.col("text"), F.col("domain")).alias("r")).first().r
+    assert abs(got - (0.5 + 3 / 3 + 2.5 / 3 + 0.5)) < 1e-9
