@@ -76,17 +76,23 @@ def _unblocked(places: DataFrame) -> DataFrame:
     """Ids of the events with no larger one in the slice before or earlier in the slice of any home place.
 
     That is more than the rules ask for, so an event may wait a round longer, but no event passes one that could remove it.
+    Events of one time never remove each other, so none waits for them: a catalogue with many events at each time, such as
+    one on coarse times, takes no more rounds than it would with the largest ones alone.
     """
     ranked = places.withColumn("rank", _rank())
     parts = ranked.groupBy(*PLACE, SEG).agg(F.min("rank").alias("rank"))
     whole = parts.groupBy(*PLACE).agg(F.min("rank").alias("slice_before")).withColumn("slice", F.col("slice") + 1)
     earlier = Window.partitionBy(*PLACE).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     before = parts.select(*PLACE, SEG, F.min("rank").over(earlier).alias("part_before"))
-    so_far = Window.partitionBy(*PLACE, SEG).orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_home = ranked.withColumn("best", F.min("rank").over(so_far)).where("home")
+    by_time = Window.partitionBy(*PLACE, SEG).orderBy("t")
+    so_far = by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of the events of one time only the first in the window comes after an earlier time: its best holds for all of them.
+    ahead = ranked.withColumn("so_far", F.min("rank").over(so_far)).withColumns({"t_ahead": F.lag("t").over(by_time), "ahead": F.lag("so_far").over(by_time)})
+    best = F.min(F.when(F.col("t_ahead") < F.col("t"), F.col("ahead"))).over(Window.partitionBy(*PLACE, SEG, "t"))
+    at_home = ahead.withColumn("best", best).where("home")
     seen = at_home.join(before, [*PLACE, SEG], "left").join(whole, PLACE, "left")
     best = F.least("best", "part_before", "slice_before")
-    return seen.groupBy("id").agg(F.bool_or(best < F.col("rank")).alias("blocked")).where(~F.col("blocked")).select("id")
+    return seen.groupBy("id").agg(F.bool_or(F.coalesce(best < F.col("rank"), F.lit(False))).alias("blocked")).where(~F.col("blocked")).select("id")
 
 
 def _in_reach(rest: DataFrame, kept: DataFrame, limits: dict[int, float], min_km: float) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 
 from seriesloom.operators.joins import first_overlap, month_fallback, nearest_within, neighbourhood_join, snapshot_compare
 from seriesloom.operators.priority import resolve_conflicts
+from seriesloom.operators import thinning
 from seriesloom.operators.thinning import thin_events
 from pyspark.sql import functions as F
 
@@ -55,6 +56,17 @@ def test_thinning_without_times_magnitudes_or_rows(spark):
     assert {r.id for r in thin_events(df, min_days=0, min_km=0).collect()} == set(range(1, 8))
 
 
+def test_thinning_rounds_do_not_grow_with_events_of_one_time(spark, monkeypatch):
+    """Twelve copies of each event at its time, of falling magnitude, take as many rounds as one."""
+    one = [(i, 3 * 86400.0 * i, 7.0, 0.0, 20.0 * i) for i in range(4)]
+    copies = [(100 * c + i, t, mag - c / 100, lat + 30.0 * (c % 3), lon) for c in range(12) for i, t, mag, lat, lon in one]
+    rounds, unblocked = [], thinning._unblocked
+    monkeypatch.setattr(thinning, "_unblocked", lambda places: rounds.append(1) or unblocked(places))
+    got = thin_events(spark.createDataFrame(copies, "id int, t double, mag double, lat double, lon double")).collect()
+    pdf = pd.DataFrame(copies, columns=["id", "t", "mag", "lat", "lon"])
+    assert {r.id for r in got} == greedy(pdf) and len(rounds) <= 4
+
+
 def test_conflict_chain(spark):
     # 1 beats 2, 2 beats 3: 3 stays because 2 is gone
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (4, 5)], "w int, l int")
