@@ -474,6 +474,53 @@ def test_passages_are_covered_whoever_else_holds_their_seeds(spark):
         assert best >= near - 0.06
 
 
+def test_every_pair_of_many_holders_is_linked(spark):
+    """Texts that hold the same common lines; only pairs of them go on alike, one word edited beside each line, and a seed
+    of many places in one text. Every pair that goes on alike has a row, the others have none."""
+    r = random.Random(31)
+    number = iter(range(10 ** 6))
+
+    def own(n):
+        return [f"h{next(number)}" for _ in range(n)]
+
+    lines = [own(12) for _ in range(5)]
+    rows, order = [], list(range(60))
+    for pair in range(60):
+        parts = [own(2) for _ in lines]
+        pool = [sum((line + part for line, part in zip(r.sample(lines, 5), parts)), [])]
+        pool.append([w if w not in [part[0] for part in parts] else own(1)[0] for w in pool[0]])
+        rows += [(2 * pair + k, " ".join(own(70) + pool[k] + own(70))) for k in (0, 1)]
+    r.shuffle(rows)
+    common = lines[0]
+    rows += [(1000 + k, " ".join(sum((common + own(30) for _ in range(12)), []))) for k in range(3)]
+    out = passage_chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {(x.doc_id, x.partner_id) for x in out}
+    assert {(2 * p + k, 2 * p + 1 - k) for p in order for k in (0, 1)} <= found
+    texts = {i: t.split() for i, t in rows}
+    for x in out:
+        assert x.end_word - x.start_word >= 50 and x.identity >= 0.8
+        assert len(set(texts[x.doc_id][x.start_word:x.end_word]) & set(texts[x.partner_id][x.partner_start:x.partner_end])) >= 40
+    assert not any(max(pair) >= 1000 for pair in found)
+
+
+def test_bound_of_compared_places_keeps_every_passage():
+    """Passages around a seed with edits at random places: kept by the bound, while other rows of the seed are left out."""
+    r, kept = np.random.default_rng(7), 0
+    side, seed = passage_chains.SIDE, passage_chains.KMER
+    for _ in range(40):
+        x = r.integers(0, 60000, (30, 2 * side + seed)).astype(np.int32)
+        y = r.integers(0, 60000, (30, 2 * side + seed)).astype(np.int32)
+        x[:, side:side + seed] = y[:, side:side + seed] = x[0, side:side + seed]
+        low = side - int(r.integers(0, 46))
+        y[3, low:low + 50] = x[8, low:low + 50]
+        free = [k for k in range(low, low + 50) if not side <= k < side + seed]
+        y[3, r.choice(free, 10, replace=False)] = 60001
+        p, q, _ = passage_chains._able(x, y)
+        kept += (3, 8) in set(zip(p.tolist(), q.tolist()))
+        assert len(p) < 20
+    assert kept == 40
+
+
 def test_recall_of_edited_passages():
     """Substitutions at random places in 50 words, every match of equal seeds given."""
     r, hits = np.random.default_rng(3), []
