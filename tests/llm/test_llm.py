@@ -503,6 +503,24 @@ def test_every_pair_of_many_holders_is_linked(spark):
     assert not any(max(pair) >= 1000 for pair in found)
 
 
+def test_classes_of_a_seed_in_parts():
+    """A seed whose rows come out in parts has the classes, and firsts in one count, that it has as a whole."""
+    r = np.random.default_rng(5)
+    rows = sorted({(int(k), int(a), int(d) * 1000 + int(p)) for k, a, d, p in zip(r.integers(0, 3, 900), r.integers(0, 12, 900), r.integers(0, 80, 900), r.integers(0, 1000, 900))})
+    table = pa.table({n: [row[k] for row in rows] for k, n in enumerate(("key", "around", "place"))})
+
+    def run(held):
+        out = [row for b in passage_chains._classes(iter(table.to_batches(37)), 1000, held_rows=held) for row in b.to_pylist()]
+        return out, {row["place"] for row in out if row["key"] is not None}, {(row["place"], row["other"]) for row in out if row["key"] is None}
+
+    (whole, firsts, matches), (parts, firsts_in_parts, matches_in_parts) = run(1 << 17), run(50)
+    assert firsts <= firsts_in_parts and matches == matches_in_parts
+    for out in (whole, parts):
+        for key in range(3):
+            ranks = sorted(row["rank"] for row in out if row["key"] == key)
+            assert ranks == list(range(len(ranks)))
+
+
 def test_bound_of_compared_places_keeps_every_passage():
     """Passages around a seed with edits at random places: kept by the bound, while other rows of the seed are left out."""
     r, kept = np.random.default_rng(7), 0
