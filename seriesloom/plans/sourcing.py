@@ -80,7 +80,7 @@ def _(t):
     i = F.col("doc_id")
     w = F.to_json(F.struct(F.lit("T").alias("title"), F.concat(F.lit("https://doi.org/10.1/"), i.cast("string")).alias("doi"), (1990 + i % 30).cast("int").alias("publication_year"),
                            F.col("inverted").alias("abstract_inverted_index"), (i % 7).alias("cited_by_count"), i.cast("string").alias("id")))
-    p = R.normalise_works(R.inverted_index(t.documents, "doc_id", "text").select(w.alias("payload")), "payload", "graph")
+    p = R.normalise_works(R.inverted_index(t.documents, "doc_id", "text", every_row=True).select(w.alias("payload")), "payload", "graph")
     return p.select(F.col("source_ids")["graph"].cast("bigint").alias("doc_id"), F.md5("abstract").alias("abstract"), "year", "doi", F.col("cited_by_count").alias("cited"))
 
 

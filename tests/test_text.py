@@ -11,6 +11,7 @@ from seriesloom.functions import scalars as K
 from seriesloom.functions import wordlists as L
 from seriesloom.operators import evidence as E
 from seriesloom.operators import text as T
+from seriesloom.plans import catalog
 from seriesloom.sources import readers as R
 
 ABSTRACTS = {
@@ -284,6 +285,18 @@ def test_inverted_index_stays_in_its_row(spark):
     assert {r.id: r.inverted for r in out.collect()} == {1: {"a": [1], "b": [0, 2, 4], "c": [3]}, 4: {"x": [0]}}
 
 
+def test_works_without_words_and_with_vertical_tabs_match_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["a\x0bb c", "\x0b", " \t\n", "", None, " b a\r\nb\x0c ", "a\u00a0b\u0085c \u3000"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    catalog.load_all()
+    got = catalog.QUERIES["a06_normalise_works"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(catalog.SQL["a06_normalise_works"]).fetchall())
+
+
 def test_clean_up_marks_are_found_wherever_a_pattern_is():
     texts = ["- a b", "•\tx", "a[12, 3]b", "a[x]", "^ note", "seaLevel rise", "iPhone", "Open Menu", "Openly", "ab– cd2024-01-02 Commented on", "12@ab c", "a 1@b", "",
              *ABSTRACTS.values()]
