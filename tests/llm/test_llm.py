@@ -503,6 +503,21 @@ def test_every_pair_of_many_holders_is_linked(spark):
     assert not any(max(pair) >= 1000 for pair in found)
 
 
+def test_stored_tables_leave_no_shuffle_and_hold_no_seeds(spark):
+    """Seeds are formed again from the stored words, and what a stored table shuffled is gone when it is written."""
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(k).getName() for k in range(files.size())) if name.startswith("shuffle_")}
+
+    docs = spark.createDataFrame([(i, words(60 + i)) for i in range(8)], "doc_id long, text string")
+    before = shuffled()
+    texts = passage_chains.stored(passage_chains.coded_texts(docs, "doc_id", "text").repartition(3, "doc_id"), "coded")
+    assert not shuffled() - before and texts.columns == ["doc", "doc_id", "words"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    found = passage_chains.seed_table(texts, "doc_id", 1000).collect()
+    assert {r.place // 1000 for r in found} == set(range(8)) and all(r.place % 1000 <= 60 + 8 - passage_chains.KMER for r in found)
+
+
 def test_classes_of_a_seed_in_parts():
     """A seed whose rows come out in parts has the classes, and firsts in one count, that it has as a whole."""
     r = np.random.default_rng(5)
