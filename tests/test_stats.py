@@ -250,6 +250,33 @@ def test_weighted_kde_sums_in_blocks(spark):
             assert np.allclose([got[g] for g in range(40)], want, rtol=1e-9)
 
 
+def test_omori_errors_rank_only_open_stretches(spark, monkeypatch):
+    """Distances equal those of all times ranked, whatever the stretches; times move only inside stretches that are open."""
+    rng = np.random.default_rng(8)
+    rows = [(k, float(v)) for k, n in (("a", 400), ("b", 60), ("c", 15), (None, 30)) for v in np.round(rng.exponential(4, n), 2)]
+    df = spark.createDataFrame(rows, "k string, d double")
+    fits = spark.createDataFrame([("a", 0.5, 1.1), ("b", 0.05, 0.7), ("c", 2.0, 1.0), (None, 1.0, 0.4)], "k string, c double, p double")
+    want = {}
+    for k, c, p in fits.collect():
+        x = np.sort([v for key, v in rows if key == k and v > 0])
+        mass = lambda e: np.log((e + c) / c) if p == 1 else ((e + c) ** (1 - p) - c ** (1 - p)) / (1 - p)  # noqa: B023, E731
+        cdf = mass(x) / mass(x[-1])
+        want[k] = max(np.abs(np.searchsorted(x, x, "right") / len(x) - cdf).max(), np.abs(cdf - np.searchsorted(x, x, "left") / len(x)).max())
+    for bins in (1, 4, S.ERROR_BINS):
+        monkeypatch.setattr(S, "ERROR_BINS", bins)
+        got = {r.k: r.ks for r in S.omori_errors(df, fits, ["k"], "d").collect()}
+        assert got == pytest.approx(want, abs=1e-12)
+
+    asked = []
+
+    def attach(known):
+        asked.append(known.columns)
+        return df.join(known.withColumnRenamed("k", "__k"), F.expr("k <=> __k")).drop("__k")
+
+    assert {r.k: r.ks for r in S.omori_errors(df, fits, ["k"], "d", attach=attach).collect()} == pytest.approx(want, abs=1e-12)
+    assert [c[-1] for c in asked] == ["p", "n_total", "__open"]
+
+
 def test_omori_times_are_not_shuffled(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(k, float(x)) for k in (1, 2, None) for x in rng.pareto(1.1, 300) * 0.2 + 0.01] + [(9, 1.0)], "k int, d double").repartition(4)
