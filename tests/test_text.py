@@ -285,6 +285,15 @@ def test_inverted_index_stays_in_its_row(spark):
     assert {r.id: r.inverted for r in out.collect()} == {1: {"a": [1], "b": [0, 2, 4], "c": [3]}, 4: {"x": [0]}}
 
 
+def test_theme_claims_are_made_once_and_not_broadcast(spark):
+    """Claims come from one written table, whose estimate is its size; only the distinctive terms may be sent to every task."""
+    catalog.load_all()
+    plan = catalog.QUERIES["l11_themes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    built = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert "part.parquet" not in plan and "p_name" not in plan
+    assert not any("cid" in line or "p_partkey" in line for line in built)
+
+
 def test_works_without_words_and_with_vertical_tabs_match_sql(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     texts = ["a\x0bb c", "\x0b", " \t\n", "", None, " b a\r\nb\x0c ", "a\u00a0b\u0085c \u3000"]
