@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import whole
@@ -72,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- zones and whole-span features ---------------------------------------------------------------------------
 
-_TOKEN = re.compile(r"\S+")
+_REST = re.compile(r"\S*")
 _MARK = re.compile("[0-9@]")
 _PIECE = re.compile(r"[0-9]+|[^\W\d_]+|.", re.DOTALL)
 #: Longest entity, in pieces (digit runs, letter runs, single signs). It bounds the segments at each position.
@@ -83,15 +83,17 @@ FEATURES = 24
 def zones(text: str) -> Iterator[tuple[int, int]]:
     """Runs of words that hold a digit or @, joined over single spaces. Outside them no segment can be an entity."""
     start = end = -1
-    for m in _TOKEN.finditer(text):
-        if not _MARK.search(m.group()):
-            continue
-        if start >= 0 and m.start() == end + 1 and text[end] == " ":
-            end = m.end()
-            continue
-        if start >= 0:
+    mark = _MARK.search(text)
+    while mark:
+        first, free = mark.start(), max(end, 0)
+        while first > free and not text[first - 1].isspace():
+            first -= 1
+        last = _REST.match(text, mark.end()).end()
+        if start >= 0 and not (first == end + 1 and text[end] == " "):
             yield start, end
-        start, end = m.span()
+            start = -1
+        start, end = first if start < 0 else start, last
+        mark = _MARK.search(text, end)
     if start >= 0:
         yield start, end
 
@@ -288,12 +290,18 @@ def _variants(text: str, spans: Sequence[Span]) -> Iterator[tuple[str, list[Span
 NEGATIVES = ("1999", "2024-05-17", "3.14159", "v2.0.1", "100,000", "1/2", "10:45", "4.0.", "555", "12-34", "1000000000", "A4", "40%", "@home", "300.400.500.600")
 
 
+def marked(text: Column) -> Column:
+    """Whether a text has a digit or @: no other has zones or spans."""
+    return text.rlike("[0-9@]")
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = 300, examples: int = 120) -> SemiCRF:
     """Fit on zones of a bounded hash sample: at most `sample_docs` documents that have digits or @, eight short zones
     each, `examples` zones in all, labelled by the base detectors, with variants of the spans found and fixed negatives."""
-    near = F.regexp_extract_all(whole(text), F.lit(r"(?:[^\s]{0,40}[0-9@][^\s]{0,40}\x20?){1,8}"), F.lit(0))
-    rows = (docs.select(F.xxhash64(whole(text)).alias("order"), F.slice(near, 1, 8).alias("zones")).where(F.size("zones") > 0)
-            .orderBy("order").limit(sample_docs).collect())
+    near = F.regexp_extract_all("text", F.lit(r"(?:[^\s]{0,40}[0-9@][^\s]{0,40}\x20?){1,8}"), F.lit(0))
+    # zones are cut from the sampled texts only
+    sample = docs.where(marked(whole(text))).select(F.xxhash64(whole(text)).alias("order"), whole(text).alias("text")).orderBy("order").limit(sample_docs)
+    rows = sample.select(F.slice(near, 1, 8).alias("zones")).collect()
     found: list = []
     counts = dict.fromkeys((*KINDS, ""), 0)
     for row in rows:
@@ -339,11 +347,12 @@ def personal_data(docs: DataFrame, model: SemiCRF | None = None, margin: float =
     """doc_id, base (kind:start:end list), spans (base and added), and the number of base spans of each kind.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans; repeated rows are read each; an empty
-    table gives no rows. The model is a few hundred numbers.
+    table gives no rows. The model is a few hundred numbers. Texts without a digit or @ have no spans and are not sent to
+    Python, only their rows are.
     """
     model = model or train(docs, text)
     weights, moves = model.weights, model.moves
-    base = docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.when(marked(whole(text)), whole(text)).otherwise("").alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

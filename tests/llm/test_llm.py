@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -310,6 +311,23 @@ def test_cache_keeps_the_keys_in_use():
     assert made.count("often") == 1
 
 
+def test_zones_and_texts_sent_for_personal_data(spark):
+    """Zones are the runs of marked words, as found word by word; texts without a mark stay behind, their rows do not."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab0@ \n \u00a0.") for _ in range(r.randrange(16))) for _ in range(3000)]
+    for t in texts:
+        want: list = []
+        for m in re.finditer(r"\S+", t):
+            if re.search("[0-9@]", m.group()):
+                joins = want and m.start() == want[-1][1] + 1 and t[want[-1][1]] == " "
+                want[-1:] = [(want[-1][0], m.end())] if joins else [*want[-1:], m.span()]
+        assert list(pii_semicrf.zones(t)) == want
+    rows = [(1, "no mark here"), (2, None), (3, "mail a@b.cd now"), (4, "")]
+    out = pii_semicrf.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), pii_semicrf.SemiCRF(), margin=1e9)
+    assert {x.doc_id: x.base for x in out.collect()} == {1: "", 2: "", 3: "email:5:11", 4: ""}
+    assert "RLIKE" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_passages(spark, docs, empty):
     passage = words(60).split()
     rows = [(i, words(90) + " " + " ".join(passage) + " " + words(40)) for i in range(12)]
