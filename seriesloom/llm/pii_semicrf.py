@@ -299,9 +299,11 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = 300, examples:
     """Fit on zones of a bounded hash sample: at most `sample_docs` documents that have digits or @, eight short zones
     each, `examples` zones in all, labelled by the base detectors, with variants of the spans found and fixed negatives."""
     near = F.regexp_extract_all("text", F.lit(r"(?:[^\s]{0,40}[0-9@][^\s]{0,40}\x20?){1,8}"), F.lit(0))
-    # zones are cut from the sampled texts only
-    sample = docs.where(marked(whole(text))).select(F.xxhash64(whole(text)).alias("order"), whole(text).alias("text")).orderBy("order").limit(sample_docs)
-    rows = sample.select(F.slice(near, 1, 8).alias("zones")).collect()
+    hashed = docs.where(marked(whole(text))).select(F.xxhash64(whole(text)).alias("order"), whole(text).alias("text"))
+    # The sample's last hash is found first: zones are cut from its texts only, and no others leave their tasks.
+    last = hashed.select("order").orderBy("order").limit(sample_docs).agg(F.max("order")).first()[0]
+    rows = (hashed.where(F.col("order") <= F.lit(last).cast("bigint")).select("order", F.slice(near, 1, 8).alias("zones"))
+            .orderBy("order").limit(sample_docs).collect())
     found: list = []
     counts = dict.fromkeys((*KINDS, ""), 0)
     for row in rows:
